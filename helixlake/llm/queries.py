@@ -21,10 +21,10 @@ ORACLE_SQL = {
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
      d AS (SELECT page_id, octet_length(encode(h)) AS n,
-                  array_to_string(list_transform(string_split(sha1(h), ''), c -> substr(
+                  array_to_string(list_transform(string_split(sha1(h), ''), lambda c: substr(
                     '0000000100100011010001010110011110001001101010111100110111101111',
                     4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS bits FROM p),
-     e AS (SELECT page_id, n, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+     e AS (SELECT page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                     1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT
                       + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT
                       + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS digest FROM d),
