@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from helixlake.llm._shared import discard, saved
 
 
+class Forest:
+    """Union-find over positions 0 to n - 1, for the links inside one task."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def link(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            self.parent[max(i, j)] = min(i, j)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id that it can reach.
 

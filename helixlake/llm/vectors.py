@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm._shared import saved, table
-from helixlake.llm.graph import connected_components
+from helixlake.llm.graph import Forest, connected_components
 
 BLOCK = 8
 #: Vectors in a chunk of a cell; a task holds two chunks.
@@ -87,24 +87,6 @@ def _cells(cosine: float, gridded: int, with_vectors: bool):
     return cells
 
 
-class Forest:
-    """Union-find over positions; gives the links of a spanning forest."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            i, j = self.find(i), self.find(j)
-            if i != j:
-                self.parent[max(i, j)] = min(i, j)
-
-
 def _links(cosine: float):
     def links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         dim, block = int(key[0]), int(key[1])
@@ -140,7 +122,8 @@ def _links(cosine: float):
                     p, q = p[mine], q[mine]
                     np.add.at(counts, p, 1)
                     np.add.at(counts, q, 1)
-                    forest.join(p, q)
+                    for u, w in zip(p.tolist(), q.tolist(), strict=True):
+                        forest.link(u, w)
         linked = np.flatnonzero(counts)
         ids = group["id"].to_numpy()
         return pd.DataFrame({"a": ids[linked], "b": ids[[forest.find(i) for i in linked.tolist()]] if len(linked) else ids[:0], "n": counts[linked]})
