@@ -9,6 +9,7 @@ from helixlake.llm.minhash import op2_minhash
 from helixlake.llm.packing import op6_packing
 from helixlake.llm.pii import op5_pii
 from helixlake.llm.spotsigs import op7_spotsigs
+from helixlake.llm.suffixes import op9_suffixes
 from helixlake.llm.vectors import op8_vectors
 from helixlake.llm.warc import op10_warc
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_spotsigs": op7_spotsigs,
     "op8_vectors": op8_vectors,
+    "op9_suffixes": op9_suffixes,
     "op10_warc": op10_warc,
 }
 
