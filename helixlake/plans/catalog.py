@@ -1,5 +1,212 @@
 """Every query of the library by name, with its oracle in DuckDB SQL where SQL can express it."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixlake.functions import alphabet as ab
+from helixlake.functions import stats
+from helixlake.operators import columns, intervals
+from helixlake.sources import tables
+from helixlake.sources.tables import ALN_SQL, HITS_SQL, SEQS_SQL
+
 FLAGSHIP = "search"
+#: A fixed ungapped profile of twelve positions: the favoured residue of each, worth 2 bits, others cost 1.
+PROFILE = "GGCAUUCGAUGC"
+#: Location and slope of the profile's scores, residues and hits that they were fitted on, and the E-values to report and include.
+MU, LAMBDA, DBSIZE, NHITS, REPORT, INCLUDE = 9.0, 0.7, 1.0e6, 1000, 1.0e4, 10.0
+
+
+def digitized(spark: SparkSession, d: str) -> DataFrame:
+    codes = ab.digitize(F.col("seq"))
+    return tables.sequences(spark, d).filter("len > 0").select("seq_id", F.array_join(codes, ",").alias("codes"), ab.textize(codes).alias("text"))
+
+
+def reverse_complement(spark: SparkSession, d: str) -> DataFrame:
+    return tables.sequences(spark, d).select("seq_id", ab.reverse_complement(F.col("seq")).alias("rc"))
+
+
+def composition(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.col("seq")
+    freq = {f"f_{r.lower()}": F.round(ab.frequency(seq, r), 6) for r in "ACGU"}
+    return tables.sequences(spark, d).select("seq_id", F.round(ab.gc_canonical(seq), 6).alias("gc"), F.round(ab.gc_span(seq), 6).alias("gc_span"), *(v.alias(k) for k, v in freq.items()))
+
+
+def null_models(spark: SparkSession, d: str) -> DataFrame:
+    seq, n = F.col("seq"), F.col("len")
+    bias = stats.null3(n, [ab.frequency(seq, r) for r in "ACGU"])
+    return tables.sequences(spark, d).filter("len > 0").select("seq_id", F.round(stats.null1(n), 6).alias("null1"), F.round(bias, 6).alias("null3"))
+
+
+def score_statistics(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("value")
+    return tables.table(spark, d, "events").select(
+        "event_id",
+        F.round(stats.exponential_survival(x, 20.0, 0.02), 9).alias("exp_surv"),
+        F.round(stats.gumbel_cdf(x, 50.0, 0.03), 9).alias("gumbel_cdf"),
+        F.round(stats.gumbel_survival(x, 50.0, 0.03), 9).alias("gumbel_surv"),
+        F.round(stats.evalue(x, 20.0, 0.02, 2.0e6, 1.0e6, 500), 6).alias("evalue"),
+        F.round(stats.log2_odds(x / 500.0), 6).alias("log_odds"),
+        stats.filter_threshold(x * 100).alias("f1"),
+    )
+
+
+def windows(spark: SparkSession, d: str) -> DataFrame:
+    tiles = intervals.tile(tables.sequences(spark, d), 500, 50)
+    return tiles.select("seq_id", "strand", "core", "ws", "we", F.length("window").alias("n"))
+
+
+def merged_windows(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.merge_overlapping(tables.hits(spark, d), ["seq_id", "strand"], "lo", "hi")
+
+
+def split_windows(spark: SparkSession, d: str) -> DataFrame:
+    merged = intervals.merge_overlapping(tables.hits(spark, d), ["seq_id", "strand"], "lo", "hi")
+    return intervals.split_long(merged, 30, "lo", "hi").select("seq_id", "strand", "lo", "hi", "piece", "piece_end")
+
+
+def _ranked() -> list:
+    return [F.desc("score"), F.asc("lo"), F.asc("hi"), F.asc("hit_id"), F.asc("sub_id")]
+
+
+def overlap_removal(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.remove_overlaps(tables.hits(spark, d), ["seq_id", "strand"], _ranked(), ["lo", "hi", "score", "hit_id", "sub_id"])
+
+
+def overlap_marks(spark: SparkSession, d: str) -> DataFrame:
+    marked = intervals.mark_overlaps(tables.hits(spark, d), ["seq_id", "strand"], _ranked(), 64)
+    return marked.select("seq_id", "strand", "rank", "hit_id", "sub_id", F.col("marked").cast("int").alias("marked"), "any_rank")
+
+
+def clan_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A left join of hits with their group, -1 for those without one; here nations of a region are the models of a clan."""
+    clans = tables.table(spark, d, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("model"), F.col("n_regionkey").alias("clan"))
+    models = tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("seq_id"), F.col("s_nationkey").alias("model"))
+    found = tables.hits(spark, d).join(models, "seq_id").join(clans, "model", "left")
+    return found.groupBy("model", F.coalesce("clan", F.lit(-1)).alias("clan")).agg(F.count("*").alias("n"), F.max("score").alias("best"))
+
+
+def column_counts(spark: SparkSession, d: str) -> DataFrame:
+    return columns.residues(tables.alignments(spark, d)).groupBy("aln_id", "apos", "residue").agg(F.count("*").alias("n"))
+
+
+def match_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of an alignment of which at least half of the rows hold a residue."""
+    cells = columns.residues(tables.alignments(spark, d))
+    held = cells.groupBy("aln_id", "apos").agg(F.avg((F.col("residue") != "-").cast("int")).alias("share"))
+    return held.filter("share >= 0.5").select("aln_id", "apos", F.round("share", 6).alias("share"))
+
+
+def sequence_weights(spark: SparkSession, d: str) -> DataFrame:
+    return columns.position_weights(columns.residues(tables.alignments(spark, d))).select("aln_id", "seq_id", F.round("weight", 6).alias("weight"))
+
+
+def identities(spark: SparkSession, d: str) -> DataFrame:
+    return columns.pair_identity(columns.residues(tables.alignments(spark, d))).select("aln_id", "s1", "s2", F.round("pid", 6).alias("pid"))
+
+
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    cents = tables.table(spark, d, "events").select("event_type", F.round(F.col("value") * 100).cast("long").alias("x"))
+    return columns.histogram(cents, "event_type", "x", 1000)
+
+
+def tail_fit(spark: SparkSession, d: str) -> DataFrame:
+    fitted = columns.exponential_fit(columns.tail(tables.table(spark, d, "events"), "event_type", "value", 0.1), "event_type", "value")
+    return fitted.select("event_type", "n", F.round("mu", 6).alias("mu"), F.round("lambda", 6).alias("lambda"))
+
+
+def gumbel_fit(spark: SparkSession, d: str) -> DataFrame:
+    fitted = columns.gumbel_location(tables.table(spark, d, "events"), "event_type", "value", 0.03)
+    return fitted.select("event_type", "n", F.round("mu", 6).alias("mu"))
+
+
+def search(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the fixed profile on both strands: windows, scores, E-values, threshold, removal of overlaps, inclusion."""
+    seqs = tables.sequences(spark, d).filter(F.col("len") >= len(PROFILE))
+    z = seqs.agg((2 * F.sum("len")).cast("double").alias("z"))
+    tiles = intervals.tile(seqs, 500, len(PROFILE) - 1)
+    oriented = tiles.withColumn("w", F.when(F.col("strand") == "-", ab.reverse_complement(F.col("window"))).otherwise(F.col("window")))
+    letters = oriented.filter(F.length("w") >= len(PROFILE)).withColumn("r", F.split("w", ""))
+    at = lambda i: sum((F.when(F.col("r")[i + k] == x, 2).otherwise(-1) for k, x in enumerate(PROFILE)), F.lit(0))
+    scores = F.transform(F.sequence(F.lit(0), F.size("r") - len(PROFILE)), at)
+    placed = letters.select("seq_id", "strand", "ws", "we", F.posexplode(scores).alias("p0", "score"))
+    scored = placed.filter(F.col("score") >= 6).withColumn("p", F.col("p0") + 1)
+    low = F.when(F.col("strand") == "+", F.col("ws") + F.col("p") - 1).otherwise(F.col("we") - F.col("p") - (len(PROFILE) - 2))
+    hits = scored.select("seq_id", "strand", low.cast("long").alias("lo"), (low + (len(PROFILE) - 1)).cast("long").alias("hi"), "score")
+    # One row with the size of the search space joins all hits.
+    valued = hits.crossJoin(F.broadcast(z)).withColumn("evalue", stats.exponential_survival(F.col("score"), MU, LAMBDA) * (F.col("z") / DBSIZE * NHITS))
+    reported = valued.filter(F.col("evalue") <= REPORT).distinct()
+    kept = intervals.remove_overlaps(reported, ["seq_id", "strand"], [F.desc("score"), F.asc("lo")], ["lo", "hi", "score", "evalue"])
+    return kept.select("seq_id", "strand", "lo", "hi", "score", F.round("evalue", 6).alias("evalue"), (F.col("evalue") <= INCLUDE).cast("int").alias("included"))
+
+
+QUERIES = {f.__name__: f for f in (digitized, reverse_complement, composition, null_models, score_statistics, windows, merged_windows, split_windows, overlap_removal, overlap_marks, clan_lookup, column_counts, match_columns, sequence_weights, identities, score_histogram, tail_fit, gumbel_fit, search)}
+
+_COUNTS = f"WITH {SEQS_SQL}, c AS (SELECT *, len(seq) AS l, len(seq) - len(translate(seq, 'ACGU', '')) AS n, len(seq) - len(translate(seq, 'GC', '')) AS gc, " + ", ".join(f"len(seq) - len(translate(seq, '{r}', '')) AS n{r}" for r in "ACGU") + " FROM seqs), f AS (SELECT *, " + ", ".join(f"CASE WHEN n > 0 THEN n{r}::DOUBLE / n ELSE 0.25e0 END AS f{r}" for r in "ACGU") + " FROM c)"
+_ISLANDS = f"""WITH {HITS_SQL}, m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY seq_id, strand ORDER BY lo, hi
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY seq_id, strand ORDER BY lo, hi) = 1 THEN 1 ELSE 0 END AS new FROM hits),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY seq_id, strand ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m),
+  islands AS (SELECT seq_id, strand, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM g GROUP BY seq_id, strand, island)"""
+_CELLS = f"WITH {ALN_SQL}, cells AS (SELECT aln_id, seq_id, p::INT AS apos, substr(row, p::INT, 1) AS residue FROM aln, range(1, 41) AS r(p))"
+
+ORACLE_SQL = {
+    "digitized": f"""WITH {SEQS_SQL} SELECT seq_id, array_to_string(list_transform(string_split(seq, ''),
+  lambda c: (strpos('ACGU-RYMKSWHBVDN*~', c) - 1)::VARCHAR), ',') AS codes, seq AS text FROM seqs WHERE len(seq) > 0""",
+    "reverse_complement": f"WITH {SEQS_SQL} SELECT seq_id, reverse(translate(seq, 'ACGU', 'UGCA')) AS rc FROM seqs",
+    "composition": _COUNTS + " SELECT seq_id, round(CASE WHEN n > 0 THEN gc::DOUBLE / n ELSE 0.5e0 END, 6) AS gc, round(CASE WHEN l > 0 THEN gc::DOUBLE / l ELSE 0e0 END, 6) AS gc_span, " + ", ".join(f"round(f{r}, 6) AS f_{r.lower()}" for r in "ACGU") + " FROM f",
+    "null_models": _COUNTS + ", b AS (SELECT *, log2(1e0 / 65536) + " + " + ".join(f"CASE WHEN f{r} > 0 THEN f{r} * l * log2(f{r} / 0.25e0) ELSE 0 END" for r in "ACGU") + " AS x FROM f WHERE l > 0) SELECT seq_id, round(l * ln(l / (l + 1e0)) + ln(1e0 / (l + 1e0)), 6) AS null1, round(greatest(0e0, x) + log2(1 + pow(2e0, -abs(x))), 6) AS null3 FROM b",
+    "score_statistics": """SELECT event_id, round(CASE WHEN value < 20 THEN 1e0 ELSE exp(-0.02e0 * (value - 20)) END, 9) AS exp_surv,
+  round(exp(-exp(-0.03e0 * (value - 50))), 9) AS gumbel_cdf, round(1 - exp(-exp(-0.03e0 * (value - 50))), 9) AS gumbel_surv,
+  round(CASE WHEN value < 20 THEN 1e0 ELSE exp(-0.02e0 * (value - 20)) END * 1000e0, 6) AS evalue,
+  round(CASE WHEN value > 0 THEN ln(value / 500e0 / 0.25e0) * 1.44269504e0 ELSE -1e36 END, 6) AS log_odds,
+  CASE WHEN value * 100 >= 20000 THEN 0.06e0 WHEN value * 100 >= 200 THEN 0.15e0 ELSE 0.35e0 END AS f1 FROM events""",
+    "windows": f"""WITH {SEQS_SQL}, t AS (SELECT seq_id, len(seq) AS l, unnest(range(1, len(seq) + 1, 500)) AS core FROM seqs WHERE len(seq) > 0)
+  SELECT seq_id, strand, core::INT AS core, greatest(1, core - 50)::INT AS ws, least(l, core + 499)::INT AS we,
+  (least(l, core + 499) - greatest(1, core - 50) + 1)::INT AS n FROM t, (VALUES ('+'), ('-')) AS s(strand)""",
+    "merged_windows": _ISLANDS + " SELECT * FROM islands",
+    "split_windows": _ISLANDS + """ SELECT seq_id, strand, lo, hi, unnest(CASE WHEN hi - lo + 1 > 60 THEN range(lo, hi - 29, 30) ELSE [lo] END) AS piece,
+  CASE WHEN hi - lo + 1 > 60 THEN least(hi, piece + 59) ELSE hi END AS piece_end FROM islands""",
+    "overlap_marks": f"""WITH {HITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, strand ORDER BY score DESC, lo, hi, hit_id, sub_id)::INT AS rank FROM hits),
+  b AS (SELECT b.seq_id, b.strand, b.rank, min(a.rank) AS any_rank FROM r a JOIN r b ON a.seq_id = b.seq_id AND a.strand = b.strand AND a.rank < b.rank
+  AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY ALL)
+  SELECT seq_id, strand, rank, hit_id, sub_id, (any_rank IS NOT NULL)::INT AS marked, any_rank FROM r LEFT JOIN b USING (seq_id, strand, rank)""",
+    "overlap_removal": f"""WITH RECURSIVE {HITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, strand ORDER BY score DESC, lo, hi, hit_id, sub_id) AS rank FROM hits),
+  k AS (SELECT seq_id, strand, 0::BIGINT AS rank, []::STRUCT(lo BIGINT, hi BIGINT)[] AS kept, false AS stays FROM r GROUP BY ALL
+  UNION ALL SELECT k.seq_id, k.strand, r.rank,
+    CASE WHEN len(list_filter(k.kept, lambda y: y.lo <= r.hi AND r.lo <= y.hi)) = 0 THEN list_append(k.kept, {{'lo': r.lo, 'hi': r.hi}}) ELSE k.kept END,
+    len(list_filter(k.kept, lambda y: y.lo <= r.hi AND r.lo <= y.hi)) = 0
+  FROM k JOIN r ON k.seq_id = r.seq_id AND k.strand = r.strand AND r.rank = k.rank + 1)
+  SELECT seq_id, strand, lo, hi, score, hit_id, sub_id FROM r JOIN k USING (seq_id, strand, rank) WHERE stays""",
+    "search": f"""WITH RECURSIVE {SEQS_SQL}, s AS (SELECT *, len(seq) AS l FROM seqs WHERE len(seq) >= 12),
+  z AS (SELECT 2e0 * sum(l) AS z FROM s),
+  p AS (SELECT seq_id, seq, unnest(range(1, l - 10)) AS lo FROM s),
+  w AS (SELECT seq_id, '+' AS strand, lo, substr(seq, lo, 12) AS w FROM p
+        UNION ALL SELECT seq_id, '-', lo, reverse(translate(substr(seq, lo, 12), 'ACGU', 'UGCA')) FROM p),
+  h AS (SELECT seq_id, strand, lo, lo + 11 AS hi, ({" + ".join(f"CASE WHEN substr(w, {k + 1}, 1) = '{r}' THEN 2 ELSE -1 END" for k, r in enumerate(PROFILE))})::INT AS score FROM w),
+  e AS (SELECT h.*, CASE WHEN score < {MU} THEN 1e0 ELSE exp(-{LAMBDA}::DOUBLE * (score - {MU}::DOUBLE)) END * (z / {DBSIZE}::DOUBLE * {NHITS}) AS evalue FROM h, z WHERE score >= 6),
+  r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, strand ORDER BY score DESC, lo) AS rank FROM e WHERE evalue <= {REPORT}),
+  k AS (SELECT seq_id, strand, 0::BIGINT AS rank, []::STRUCT(lo BIGINT, hi BIGINT)[] AS kept, false AS stays FROM r GROUP BY ALL
+  UNION ALL SELECT k.seq_id, k.strand, r.rank,
+    CASE WHEN len(list_filter(k.kept, lambda y: y.lo <= r.hi AND r.lo <= y.hi)) = 0 THEN list_append(k.kept, {{'lo': r.lo, 'hi': r.hi}}) ELSE k.kept END,
+    len(list_filter(k.kept, lambda y: y.lo <= r.hi AND r.lo <= y.hi)) = 0
+  FROM k JOIN r ON k.seq_id = r.seq_id AND k.strand = r.strand AND r.rank = k.rank + 1)
+  SELECT seq_id, strand, lo, hi, score, round(evalue, 6) AS evalue, (evalue <= {INCLUDE})::INT AS included FROM r JOIN k USING (seq_id, strand, rank) WHERE stays""",
+    "clan_lookup": f"""WITH {HITS_SQL} SELECT s_nationkey AS model, coalesce(n_regionkey, -1) AS clan, count(*) AS n, max(score) AS best
+  FROM hits JOIN supplier ON s_suppkey = seq_id LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON n_nationkey = s_nationkey GROUP BY ALL""",
+    "column_counts": _CELLS + " SELECT aln_id, apos, residue, count(*) AS n FROM cells GROUP BY ALL",
+    "match_columns": _CELLS + " SELECT aln_id, apos, round(avg((residue <> '-')::INT), 6) AS share FROM cells GROUP BY ALL HAVING avg((residue <> '-')::INT) >= 0.5",
+    "sequence_weights": _CELLS + """, c AS (SELECT *, count(*) OVER (PARTITION BY aln_id, apos, residue) AS copies FROM cells WHERE residue IN ('A','C','G','U')),
+  k AS (SELECT aln_id, apos, count(DISTINCT residue) AS kinds FROM c GROUP BY ALL),
+  s AS (SELECT aln_id, seq_id, avg(1e0 / (kinds * copies)) AS raw FROM c JOIN k USING (aln_id, apos) GROUP BY ALL)
+  SELECT aln_id, seq_id, round(raw * count(*) OVER (PARTITION BY aln_id) / sum(raw) OVER (PARTITION BY aln_id), 6) AS weight FROM s""",
+    "identities": _CELLS + """, r AS (SELECT * FROM cells WHERE residue <> '-'), l AS (SELECT aln_id, seq_id, count(*) AS n FROM r GROUP BY ALL),
+  p AS (SELECT a.aln_id, a.seq_id AS s1, b.seq_id AS s2, count(*) AS nid FROM r a JOIN r b ON a.aln_id = b.aln_id AND a.apos = b.apos AND a.residue = b.residue
+  AND a.seq_id < b.seq_id GROUP BY ALL)
+  SELECT p.aln_id, s1, s2, round(nid::DOUBLE / least(x.n, y.n), 6) AS pid FROM p JOIN l x ON x.aln_id = p.aln_id AND x.seq_id = s1 JOIN l y ON y.aln_id = p.aln_id AND y.seq_id = s2""",
+    "score_histogram": "SELECT event_type, ceil(round(value * 100) / 1000 - 1)::BIGINT AS bin, count(*) AS n FROM events GROUP BY ALL",
+    "tail_fit": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC) AS k,
+  floor(count(*) OVER (PARTITION BY event_type) * 0.1) AS m FROM events)
+  SELECT event_type, count(*) AS n, round(min(value), 6) AS mu, round(1 / (avg(value) - min(value)), 6) AS lambda FROM r WHERE k <= m GROUP BY ALL""",
+    "gumbel_fit": "SELECT event_type, count(*) AS n, round(-ln(avg(exp(-0.03e0 * value))) / 0.03e0, 6) AS mu FROM events GROUP BY ALL",
+}
