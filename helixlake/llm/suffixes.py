@@ -139,7 +139,7 @@ def _sample(length: int, modulus: int):
             for text, packed in zip(b["text"], b["packed"], strict=True):
                 data = encoded(text)
                 out += [right for right, left, _ in contexts(data, packed, length) if zlib.crc32(left + right) % modulus == 0]
-            yield pd.DataFrame({"suffix": out})
+            yield pd.DataFrame({"suffix": out}, dtype=object)
 
     return sample
 
@@ -318,7 +318,7 @@ def _merge(length: int):
                 close(group, prefixes)
                 group, prefixes = [entry], [same]
         close(group, prefixes)
-        return pd.DataFrame({"tkey": list(out), "spans": [np.array(v, np.int64) for v in out.values()]})
+        return pd.DataFrame({"tkey": list(out), "spans": [np.array(v, np.int64) for v in out.values()]}, dtype=object)
 
     return merge
 
