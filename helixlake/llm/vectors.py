@@ -98,28 +98,29 @@ def _links(cosine: float):
         y, home, chunk = turned(x), group["home"].to_numpy(), group["chunk"].to_numpy()
         parts = blocks(dim, cosine)
         first, end, share = parts[block]
-        z = np.ascontiguousarray(y[:, first:end], np.float32)
-        square = (z * z).sum(1)
+        z = y[:, first:end].astype(np.float32)
+        square, ones = (z * z).sum(1, keepdims=True), np.ones((len(z), 1), np.float32)
+        # One product gives the squared distances of a block.
+        mine, theirs = np.hstack([-2 * z, square, ones]), np.hstack([z, ones, square])
         counts, forest = np.zeros(len(x), np.int64), Forest(len(x))
-        left = np.arange(len(x)) if same else np.flatnonzero(chunk == key[3])
-        right = left if same else np.flatnonzero(chunk == key[4])
-        for i in range(0, len(left), 1024):
-            rows = left[i : i + 1024]
-            for j in range(i if same else 0, len(right), 4096):
-                cols = right[j : j + 4096]
-                near = square[rows][:, None] + square[cols][None] - 2 * (z[rows] @ z[cols].T) <= share + SLACK
-                a, b = np.nonzero(near)
-                a, b = rows[a], cols[b]
-                fit = (home[a] | home[b]) & ((a < b) if same else True)
-                a, b = a[fit], b[fit]
+        at = [[np.flatnonzero((chunk == c) & (home == h)) for h in (True, False)] for c in key[3:5]]
+        # Two visitors of a cell do not meet in it.
+        sides = [(at[0][0], at[0][0]), (at[0][0], at[0][1])] if same else [(at[0][0], np.concatenate(at[1])), (at[0][1], at[1][0])]
+        for left, right in sides:
+            for i, j in ((i, j) for i in range(0, len(left), 1024) for j in range(i if left is right else 0, len(right), 4096)):
+                rows, cols = left[i : i + 1024], right[j : j + 4096]
+                near = np.flatnonzero(mine[rows] @ theirs[cols].T <= share + SLACK)
+                a, b = rows[near // len(cols)], cols[near % len(cols)]
+                if left is right:
+                    a, b = a[a < b], b[a < b]
                 for k in range(0, len(a), 65_536):
                     p, q = a[k : k + 65_536], b[k : k + 65_536]
                     ok = np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q]) >= cosine
                     p, q = p[ok], q[ok]
                     d = (y[p] - y[q]) ** 2
                     holds = np.stack([d[:, s:e].sum(1) <= w + SLACK / 10 for s, e, w in parts], 1)
-                    mine = holds.argmax(1) == block
-                    p, q = p[mine], q[mine]
+                    here = holds.argmax(1) == block
+                    p, q = p[here], q[here]
                     np.add.at(counts, p, 1)
                     np.add.at(counts, q, 1)
                     for u, w in zip(p.tolist(), q.tolist(), strict=True):
@@ -135,7 +136,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, *, id_col: str = "
     """(id, n_links, component_id) of every vector that is linked with another one."""
     rows = vectors.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vec_col).alias("vec"))
     rows = saved(rows)
-    gridded = min(8, max(1, math.ceil(math.log2(max(1, rows.count()) / 16_384))))
+    gridded = min(8, max(1, math.ceil(math.log2(max(1, rows.count()) / 8_192))))
     keys = "dim int, block int, cell long, home boolean, id long"
     sizes = rows.mapInPandas(_cells(cosine, gridded, False), keys).groupBy(*KEYS).count()
     large = sizes.filter(F.col("count") > CHUNK).select(*KEYS, F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))

@@ -171,7 +171,9 @@ def test_spotsigs(docs, rows):
     assert spotsigs.with_next(d.select("doc_id", "text").limit(0)).count() == 0
 
 
-def test_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("chunk", [vectors.CHUNK, 20])
+def test_vectors_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(vectors, "CHUNK", chunk)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 24)).astype(np.float32)
     x[100:200] = x[:100] + rng.normal(size=(100, 24)).astype(np.float32) * rng.uniform(0, 0.5, (100, 1)).astype(np.float32)
