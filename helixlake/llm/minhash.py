@@ -40,7 +40,8 @@ SHORT = 32
 CHUNK = 1_000
 #: Ids up to which a set of them is sent to every executor, at 8 bytes; beyond it they are joined by a shuffle.
 SENT = 500_000
-_REMEMBERED = 500_000
+#: Words remembered by one task; beyond it they are forgotten and hashed anew.
+_REMEMBERED = 250_000
 _words: dict[bytes, int] = {}
 
 
@@ -74,9 +75,13 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
 
 def _sketches(size: int, kept: int):
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingles(t, size) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [s[:kept].astype(np.int64) for s in sets]})
+        try:
+            for b in batches:
+                sets = [shingles(t, size) for t in b["text"]]
+                yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [s[:kept].astype(np.int64) for s in sets]})
+        finally:
+            # The worker lives on for other stages; its words need not.
+            _words.clear()
 
     return sketch
 
@@ -84,15 +89,18 @@ def _sketches(size: int, kept: int):
 def _verify(size: int, percent: int):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, of_last = None, None
-        for b in batches:
-            ok = np.zeros(len(b), bool)
-            for i, (a, ta, tb) in enumerate(zip(b["a"], b["ta"], b["tb"], strict=True)):
-                if a != last:
-                    last, of_last = a, shingles(ta, size)
-                other = shingles(tb, size)
-                inter = len(np.intersect1d(of_last, other, assume_unique=True))
-                ok[i] = 100 * inter >= percent * (len(of_last) + len(other) - inter)
-            yield b.loc[ok, ["a", "b"]]
+        try:
+            for b in batches:
+                ok = np.zeros(len(b), bool)
+                for i, (a, ta, tb) in enumerate(zip(b["a"], b["ta"], b["tb"], strict=True)):
+                    if a != last:
+                        last, of_last = a, shingles(ta, size)
+                    other = shingles(tb, size)
+                    inter = len(np.intersect1d(of_last, other, assume_unique=True))
+                    ok[i] = 100 * inter >= percent * (len(of_last) + len(other) - inter)
+                yield b.loc[ok, ["a", "b"]]
+        finally:
+            _words.clear()
 
     return verify
 

@@ -32,8 +32,8 @@ from helixlake.llm.bpe import byte_of_symbol
 CAPACITY = 2048
 #: Bins with at most so many free places are emitted at once.
 NEARLY_FULL = 4
-#: Words remembered by one worker; beyond it they are forgotten and encoded anew.
-REMEMBERED = 1_000_000
+#: Words remembered by one task; beyond it they are forgotten and encoded anew.
+REMEMBERED = 250_000
 #: Fixed value: how the vocabulary's own file splits normalised text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 #: Characters that str.split() takes for white space and Unicode's White_Space does not.
@@ -126,19 +126,23 @@ def _pack_partition(vocabulary: str, capacity: int) -> Callable[[Iterator[pd.Dat
 
         first = TaskContext.get().partitionId() << 33
         encoder, rows = words(vocabulary), []
-        for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = encoder.encode(text or "") + b"\0\0\0\0"
-                n = len(ids) // 4
-                for k, start in enumerate(range(0, n, capacity)):
-                    end = min(n, start + capacity)
-                    rows.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
-            if len(rows) >= 200_000:
-                packed, first = _local(rows, capacity, first)
-                yield packed
-                rows = []
-        if rows:
-            yield _local(rows, capacity, first)[0]
+        try:
+            for b in batches:
+                for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                    ids = encoder.encode(text or "") + b"\0\0\0\0"
+                    n = len(ids) // 4
+                    for k, start in enumerate(range(0, n, capacity)):
+                        end = min(n, start + capacity)
+                        rows.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
+                if len(rows) >= 200_000:
+                    packed, first = _local(rows, capacity, first)
+                    yield packed
+                    rows = []
+            if rows:
+                yield _local(rows, capacity, first)[0]
+        finally:
+            # The worker lives on for other stages; its words need not.
+            encoder.known.clear()
 
     return pack
 
