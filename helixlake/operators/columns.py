@@ -53,3 +53,19 @@ def pair_identity(cells: DataFrame) -> DataFrame:
     nid = same.groupBy(F.col("a.aln_id").alias("aln_id"), F.col("a.seq_id").alias("s1"), F.col("b.seq_id").alias("s2")).agg(F.count("*").alias("nid"))
     l1, l2 = lengths.select("aln_id", F.col("seq_id").alias("s1"), F.col("n").alias("n1")), lengths.select("aln_id", F.col("seq_id").alias("s2"), F.col("n").alias("n2"))
     return nid.join(l1, ["aln_id", "s1"]).join(l2, ["aln_id", "s2"]).select("aln_id", "s1", "s2", (F.col("nid") / F.least("n1", "n2")).alias("pid"))
+
+
+def binned_tail(bins: DataFrame, group: str, parts: int) -> DataFrame:
+    """The highest bins that together hold at least one in `parts` values of a group: the lowest of them, and the values in and below them.
+
+    Works on the bins of `histogram`, of which there are few, not on the values.
+    """
+    downwards = Window.partitionBy(group).orderBy(F.desc("bin"))
+    summed = bins.withColumns({"above": F.sum("n").over(downwards), "total": F.sum("n").over(Window.partitionBy(group))})
+    first = summed.filter(F.col("above") * parts >= F.col("total")).groupBy(group)
+    return first.agg(F.max("bin").alias("bin"), F.min("above").alias("n_tail"), F.first("total").alias("total")).select(group, "bin", "n_tail", (F.col("total") - F.col("n_tail")).alias("n_below"))
+
+
+def moments(values: DataFrame, group: str, value: str) -> DataFrame:
+    """Mean and sample variance of each group; the variance of a single value is null."""
+    return values.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.abs(F.var_samp(value)).alias("variance"))

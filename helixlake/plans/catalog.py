@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import alphabet as ab
@@ -111,6 +111,25 @@ def score_histogram(spark: SparkSession, d: str) -> DataFrame:
     return columns.histogram(cents, "event_type", "x", 1000)
 
 
+def expected_bins(spark: SparkSession, d: str) -> DataFrame:
+    """What a Gumbel distribution expects in each bin that holds a score, beside what was observed."""
+    low, high = F.col("bin") * 10.0, F.col("bin") * 10.0 + 10.0
+    total = F.sum("n").over(Window.partitionBy("event_type"))
+    expected = total * (stats.gumbel_cdf(high, 50.0, 0.03) - stats.gumbel_cdf(low, 50.0, 0.03))
+    return score_histogram(spark, d).select("event_type", "bin", "n", F.round(expected, 6).alias("expected"))
+
+
+def binned_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Where each group's tail of a tenth of its scores starts, on the bins' bounds."""
+    found = columns.binned_tail(score_histogram(spark, d), "event_type", 10)
+    return found.select("event_type", (F.col("bin") * 10.0).alias("phi"), "n_tail", "n_below")
+
+
+def score_moments(spark: SparkSession, d: str) -> DataFrame:
+    found = columns.moments(tables.table(spark, d, "events"), "event_type", "value")
+    return found.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
 def tail_fit(spark: SparkSession, d: str) -> DataFrame:
     fitted = columns.exponential_fit(columns.tail(tables.table(spark, d, "events"), "event_type", "value", 0.1), "event_type", "value")
     return fitted.select("event_type", "n", F.round("mu", 6).alias("mu"), F.round("lambda", 6).alias("lambda"))
@@ -141,13 +160,14 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("seq_id", "strand", "lo", "hi", "score", F.round("evalue", 6).alias("evalue"), (F.col("evalue") <= INCLUDE).cast("int").alias("included"))
 
 
-QUERIES = {f.__name__: f for f in (digitized, reverse_complement, composition, null_models, score_statistics, windows, merged_windows, split_windows, overlap_removal, overlap_marks, clan_lookup, column_counts, match_columns, sequence_weights, identities, score_histogram, tail_fit, gumbel_fit, search)}
+QUERIES = {f.__name__: f for f in (digitized, reverse_complement, composition, null_models, score_statistics, windows, merged_windows, split_windows, overlap_removal, overlap_marks, clan_lookup, column_counts, match_columns, sequence_weights, identities, score_histogram, expected_bins, binned_tail, score_moments, tail_fit, gumbel_fit, search)}
 
 _COUNTS = f"WITH {SEQS_SQL}, c AS (SELECT *, len(seq) AS l, len(seq) - len(translate(seq, 'ACGU', '')) AS n, len(seq) - len(translate(seq, 'GC', '')) AS gc, " + ", ".join(f"len(seq) - len(translate(seq, '{r}', '')) AS n{r}" for r in "ACGU") + " FROM seqs), f AS (SELECT *, " + ", ".join(f"CASE WHEN n > 0 THEN n{r}::DOUBLE / n ELSE 0.25e0 END AS f{r}" for r in "ACGU") + " FROM c)"
 _ISLANDS = f"""WITH {HITS_SQL}, m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY seq_id, strand ORDER BY lo, hi
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) OR row_number() OVER (PARTITION BY seq_id, strand ORDER BY lo, hi) = 1 THEN 1 ELSE 0 END AS new FROM hits),
   g AS (SELECT *, sum(new) OVER (PARTITION BY seq_id, strand ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m),
   islands AS (SELECT seq_id, strand, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM g GROUP BY seq_id, strand, island)"""
+_BINS = "WITH h AS (SELECT event_type, ceil(round(value * 100) / 1000 - 1)::BIGINT AS bin, count(*) AS n FROM events GROUP BY ALL)"
 _CELLS = f"WITH {ALN_SQL}, cells AS (SELECT aln_id, seq_id, p::INT AS apos, substr(row, p::INT, 1) AS residue FROM aln, range(1, 41) AS r(p))"
 
 ORACLE_SQL = {
@@ -205,6 +225,12 @@ ORACLE_SQL = {
   AND a.seq_id < b.seq_id GROUP BY ALL)
   SELECT p.aln_id, s1, s2, round(nid::DOUBLE / least(x.n, y.n), 6) AS pid FROM p JOIN l x ON x.aln_id = p.aln_id AND x.seq_id = s1 JOIN l y ON y.aln_id = p.aln_id AND y.seq_id = s2""",
     "score_histogram": "SELECT event_type, ceil(round(value * 100) / 1000 - 1)::BIGINT AS bin, count(*) AS n FROM events GROUP BY ALL",
+    "expected_bins": _BINS + """ SELECT event_type, bin, n, round(sum(n) OVER (PARTITION BY event_type)
+  * (exp(-exp(-0.03e0 * (bin * 10e0 + 10 - 50))) - exp(-exp(-0.03e0 * (bin * 10e0 - 50)))), 6) AS expected FROM h""",
+    "binned_tail": _BINS + """, c AS (SELECT *, (sum(n) OVER (PARTITION BY event_type ORDER BY bin DESC))::BIGINT AS above,
+  (sum(n) OVER (PARTITION BY event_type))::BIGINT AS total FROM h)
+  SELECT event_type, max(bin) * 10e0 AS phi, min(above) AS n_tail, any_value(total) - min(above) AS n_below FROM c WHERE above * 10 >= total GROUP BY ALL""",
+    "score_moments": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance FROM events GROUP BY ALL",
     "tail_fit": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC) AS k,
   floor(count(*) OVER (PARTITION BY event_type) * 0.1) AS m FROM events)
   SELECT event_type, count(*) AS n, round(min(value), 6) AS mu, round(1 / (avg(value) - min(value)), 6) AS lambda FROM r WHERE k <= m GROUP BY ALL""",
