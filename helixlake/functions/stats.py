@@ -48,6 +48,11 @@ def null3(length: Column, frequencies: list[Column]) -> Column:
     return high + F.log2(1.0 + F.pow(F.lit(2.0), -F.abs(biased)))
 
 
+def composition_bias(n: Column, frequencies: list[Column]) -> Column:
+    """Bits that n canonical residues of these frequencies carry over uniform ones; 0 for none."""
+    return F.greatest(F.lit(0.0), n * sum((F.when(f > 0, f * F.log2(f / 0.25)).otherwise(0.0) for f in frequencies), F.lit(0.0)))
+
+
 def filter_threshold(z_mb: Column) -> Column:
     """First filter's P-value by the size of the search space in Mb. The six tiers are fixed values."""
     return F.when(z_mb >= 20000, 0.06).when(z_mb >= 200, 0.15).otherwise(0.35)

@@ -39,6 +39,13 @@ def null_models(spark: SparkSession, d: str) -> DataFrame:
     return tables.sequences(spark, d).filter("len > 0").select("seq_id", F.round(stats.null1(n), 6).alias("null1"), F.round(bias, 6).alias("null3"))
 
 
+def composition_bias(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.col("seq")
+    n = F.length(F.regexp_replace(seq, "[^ACGU]", ""))
+    bias = stats.composition_bias(n, [ab.frequency(seq, r) for r in "ACGU"])
+    return tables.sequences(spark, d).select("seq_id", F.round(bias, 6).alias("bias"))
+
+
 def score_statistics(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("value")
     return tables.table(spark, d, "events").select(
@@ -160,7 +167,7 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("seq_id", "strand", "lo", "hi", "score", F.round("evalue", 6).alias("evalue"), (F.col("evalue") <= INCLUDE).cast("int").alias("included"))
 
 
-QUERIES = {f.__name__: f for f in (digitized, reverse_complement, composition, null_models, score_statistics, windows, merged_windows, split_windows, overlap_removal, overlap_marks, clan_lookup, column_counts, match_columns, sequence_weights, identities, score_histogram, expected_bins, binned_tail, score_moments, tail_fit, gumbel_fit, search)}
+QUERIES = {f.__name__: f for f in (digitized, reverse_complement, composition, null_models, composition_bias, score_statistics, windows, merged_windows, split_windows, overlap_removal, overlap_marks, clan_lookup, column_counts, match_columns, sequence_weights, identities, score_histogram, expected_bins, binned_tail, score_moments, tail_fit, gumbel_fit, search)}
 
 _COUNTS = f"WITH {SEQS_SQL}, c AS (SELECT *, len(seq) AS l, len(seq) - len(translate(seq, 'ACGU', '')) AS n, len(seq) - len(translate(seq, 'GC', '')) AS gc, " + ", ".join(f"len(seq) - len(translate(seq, '{r}', '')) AS n{r}" for r in "ACGU") + " FROM seqs), f AS (SELECT *, " + ", ".join(f"CASE WHEN n > 0 THEN n{r}::DOUBLE / n ELSE 0.25e0 END AS f{r}" for r in "ACGU") + " FROM c)"
 _ISLANDS = f"""WITH {HITS_SQL}, m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY seq_id, strand ORDER BY lo, hi
@@ -176,6 +183,7 @@ ORACLE_SQL = {
     "reverse_complement": f"WITH {SEQS_SQL} SELECT seq_id, reverse(translate(seq, 'ACGU', 'UGCA')) AS rc FROM seqs",
     "composition": _COUNTS + " SELECT seq_id, round(CASE WHEN n > 0 THEN gc::DOUBLE / n ELSE 0.5e0 END, 6) AS gc, round(CASE WHEN l > 0 THEN gc::DOUBLE / l ELSE 0e0 END, 6) AS gc_span, " + ", ".join(f"round(f{r}, 6) AS f_{r.lower()}" for r in "ACGU") + " FROM f",
     "null_models": _COUNTS + ", b AS (SELECT *, log2(1e0 / 65536) + " + " + ".join(f"CASE WHEN f{r} > 0 THEN f{r} * l * log2(f{r} / 0.25e0) ELSE 0 END" for r in "ACGU") + " AS x FROM f WHERE l > 0) SELECT seq_id, round(l * ln(l / (l + 1e0)) + ln(1e0 / (l + 1e0)), 6) AS null1, round(greatest(0e0, x) + log2(1 + pow(2e0, -abs(x))), 6) AS null3 FROM b",
+    "composition_bias": _COUNTS + " SELECT seq_id, round(greatest(0e0, n * (" + " + ".join(f"CASE WHEN f{r} > 0 THEN f{r} * log2(f{r} / 0.25e0) ELSE 0e0 END" for r in "ACGU") + ")), 6) AS bias FROM f",
     "score_statistics": """SELECT event_id, round(CASE WHEN value < 20 THEN 1e0 ELSE exp(-0.02e0 * (value - 20)) END, 9) AS exp_surv,
   round(exp(-exp(-0.03e0 * (value - 50))), 9) AS gumbel_cdf, round(1 - exp(-exp(-0.03e0 * (value - 50))), 9) AS gumbel_surv,
   round(CASE WHEN value < 20 THEN 1e0 ELSE exp(-0.02e0 * (value - 20)) END * 1000e0, 6) AS evalue,
