@@ -7,7 +7,7 @@ Every string of `length` bytes that also starts anywhere else is repeated; all b
   suffixes at their anchors (and the bytes before them). Each anchor owns a run of consecutive windows.
 * Anchors whose piece stands nowhere else (counted over all documents) own unique windows and are dropped.
 * The suffixes at the others are sorted in every task to a run, which is front-coded (common prefix with the
-  string before, and the rest), cut at splitters from a bounded sample, and exchanged.
+  string before, and the rest), cut at splitters (whole pieces from a bounded sample), and exchanged.
 * Each range merges its runs with a loser tree that carries common prefixes: heads with different common
   prefixes with the last output are ordered without looking at a byte, and equal ones are compared
   only beyond it. The merge gives each suffix's common prefix with the one before it.
@@ -348,7 +348,8 @@ def with_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH) ->
     ranges = max(1, min(RANGES, n // PER_RANGE))
     single = chosen.select("tkey", "text", "packed")
     sample = sorted({r[0] for r in single.mapInPandas(_sample(length, max(1, n // (ranges * SAMPLED))), "suffix binary").toLocalIterator()}) if ranges > 1 else []
-    splitters = [bytes(sample[len(sample) * i // ranges]) for i in range(1, ranges)] if len(sample) > ranges else []
+    # Cut to the anchor's piece, so that no border falls inside a group; what few distinct ones a sample has are all used.
+    splitters = sorted({bytes(sample[len(sample) * i // ranges])[:GRAM] for i in range(1, ranges)}) if sample else []
     runs = single.mapInPandas(_runs(length, splitters), "range int, blob binary")
     found = saved(runs.groupBy("range").applyInPandas(_merge(length), "tkey binary, spans array<long>"))
     whole = chosen.filter("copies > 1").select("tkey", F.array(F.lit(0).cast("long"), F.octet_length("text").cast("long")).alias("spans"))

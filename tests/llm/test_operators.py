@@ -90,6 +90,21 @@ def test_suffixes_large_groups_and_empty_table(spark):
     assert suffixes.with_spans(d.limit(0)).count() == 0
 
 
+def test_suffixes_of_a_group_stay_in_one_range(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PER_RANGE", 3)
+    rng = random.Random(7)
+    data = {}
+    for k in range(30):
+        passage = prose(rng, 30)
+        for j in range(2 + k % 3 * 5):
+            data[len(data)] = (prose(rng, 4) + passage + prose(rng, 30)).encode()
+    seen = collections.Counter(b[p : p + 200] for b in data.values() for p in range(len(b) - 199))
+    d = spark.createDataFrame([(i, b.decode()) for i, b in data.items()], "doc_id long, text string")
+    found = {r.doc_id: suffixes.union(np.array(r.spans or [], np.int64)) for r in suffixes.with_spans(d).collect()}
+    want = {i: suffixes.union(np.array([x for p in range(len(b) - 199) if seen[b[p : p + 200]] > 1 for x in (p, p + 200)], np.int64)) for i, b in data.items()}
+    assert found == want
+
+
 def test_loser_tree_keeps_common_prefixes():
     rng = random.Random(1)
     runs, everything = [], []
