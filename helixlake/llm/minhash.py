@@ -161,8 +161,12 @@ def links(docs: DataFrame, classes: DataFrame, *, size: int, kept: int, percent:
     several = saved(values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
     held = values.join(several, "value")
     # Linked sketches share so many values that they share one of the rarest ones: of a whole set one of a quarter and
-    # one more, of a sample of it one of a half and one more. Values held by one class are the rarest of all.
-    among = F.when(F.col("m") < kept, F.floor(F.col("m") * (100 - percent) / 100) + 1).otherwise(F.lit(kept // 2 + 1))
+    # one more, of a sample of it one of a half and one more. Values held by one class are the rarest of all. The largest
+    # set that a whole one of m can be linked with contains it and has 100 m / percent values; what its sample leaves out
+    # of them may all be shared ones, so that many more are listed.
+    both_whole = F.floor(F.col("m") * (100 - percent) / 100) + 1
+    one_sampled = F.floor(F.col("m") * 100 / percent) - kept + 1
+    among = F.when(F.col("m") < kept, F.greatest(both_whole, one_sampled)).otherwise(F.lit(kept // 2 + 1))
     rarest = F.array_sort(F.collect_list(F.struct("df", "value")))
     keys = held.groupBy("id").agg(rarest.alias("r")).join(classes.select("id", F.size("sketch").alias("m")), "id")
     keys = keys.withColumn("take", (among - (F.col("m") - F.size("r"))).cast("int")).filter("take > 0")

@@ -65,6 +65,24 @@ def test_minhash_nulls_and_empty_table(spark):
     assert minhash.components(d.limit(0)).count() == 0
 
 
+def test_minhash_sets_about_as_large_as_a_sketch(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(60):
+        small, large = (63, 84 - k % 2) if k < 40 else sorted((rng.randint(48, 90), rng.randint(48, 90)))
+        words = [f"w{k}x{j}" for j in range(large + 4)]
+        at = rng.randint(0, large - small)
+        texts += [" ".join(words), " ".join(words[at : at + small + 4])]
+    sets = [shingle_set(t) for t in texts]
+    part = list(range(len(sets)))
+    for i in range(0, len(sets), 2):
+        a, b = sets[i], sets[i + 1]
+        if 100 * len(a & b) >= 75 * len(a | b):
+            part[i + 1] = i
+    found = {r.doc_id: r.component_id for r in minhash.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(part))
+
+
 def test_suffixes_remove_what_brute_force_removes(docs, rows):
     data = {i: (t or "").encode() for i, t in rows}
     seen = collections.Counter(b[p : p + 200] for b in data.values() for p in range(len(b) - 199))
