@@ -195,6 +195,14 @@ def test_pii_added_kinds_and_redaction(spark):
     assert [r.text for r in pii.redact(d).orderBy("doc_id").collect()] == ["bank [iban] end", "078-05-1120", "SSN [ssn].", "[email], [email]"]
 
 
+def test_pii_ibans_end_at_their_countrys_length(spark):
+    ibans = ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO9386011117947"]
+    texts = [f"{a} {b}" for a in ibans for b in ["BIC WESTGB22", "2024 paid", "I paid", ibans[0]]] + ["DE88370400440532013000 I paid"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [[r.text[s.start : s.end] for s in r.pii if s.kind == "iban"] for r in pii.find(d).orderBy("doc_id").collect()]
+    assert found == [[a] if b != 3 else [a, ibans[0]] for a in ibans for b in range(4)] + [[]]
+
+
 def test_spotsigs(docs, rows):
     d = docs.filter("text is not null")
     found = {r.doc_id: r for r in spotsigs.with_next(d.select("doc_id", "text"), per_bucket=7).collect()}
