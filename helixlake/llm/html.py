@@ -4,7 +4,9 @@ The standard library's streaming parser turns a page into lines, one for every b
 number of characters, tags and characters in links. The ratio of text to tags of the lines is smoothed
 with a Gaussian, and lines whose smoothed ratio reaches a threshold of one standard deviation (at most the
 mean of the longest line's and zero) form the content regions. A region is then completed with the other
-lines of the block container it stands in, so that short paragraphs and the headline of an article stay.
+lines of its article or main or, where there is none, of the lowest container that all regions stand in, so
+that short paragraphs, table cells and the headline of an article stay. An article inside an article (a comment,
+a teaser) is a region of its own.
 What stands in menus, headers, footers, asides, forms, notices, adverts and comment lists, by element, role,
 class or id, never becomes a line; nor do scripts, styles and hidden elements.
 
@@ -34,9 +36,9 @@ CONTAINERS = frozenset("article main section div td body blockquote".split())
 WHOLE = frozenset({"article", "main"})
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-#: Parts of class and id names that mark what is not the article.
+#: Parts of class and id names that mark what is not the article; after has-, with-, without- or no- they tell of a layout.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription|sign-?up|log-?in|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?<!\bno[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription|sign-?up|log-?in|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -49,17 +51,19 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = []  # name, dropped, container, in an article
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, characters in links, container, in an article
+        self.open: list[tuple[str, bool, int]] = []  # name, dropped, container
+        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, characters in links, container
+        # Of every container the one around it and its article or main; of those what they are part of. 0 is the page.
+        self.parent, self.article, self.outer = [0], [0], {0: 0}
+        self.in_article: set[int] = set()
         self.text: list[str] = []
-        self.tags = self.linked = self.containers = self.links = 0
+        self.tags = self.linked = self.links = 0
 
     def flush(self) -> None:
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
-                _, _, container, whole = self.open[-1] if self.open else ("", False, 0, False)
-                self.lines.append((line, self.tags, self.linked, container, whole))
+                self.lines.append((line, self.tags, self.linked, self.open[-1][2] if self.open else 0))
             self.text, self.linked = [], 0
             self.tags = 0
 
@@ -81,12 +85,21 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        _, dropped, container, whole = self.open[-1] if self.open else ("", False, 0, False)
-        if tag in CONTAINERS:
-            self.containers += 1
-            container = self.containers
+        _, dropped, container = self.open[-1] if self.open else ("", False, 0)
+        article = self.article[container]
+        drops = dropped or self.drops(tag, attrs, article > 0)
+        # What is dropped has no lines.
+        if tag in CONTAINERS and not drops:
+            self.parent.append(container)
+            container = len(self.article)
+            if tag in WHOLE:
+                self.outer[container] = 0 if tag == "article" and article in self.in_article else article
+                if tag == "article" or article in self.in_article:
+                    self.in_article.add(container)
+                article = container
+            self.article.append(article)
         self.links += tag == "a"
-        self.open.append((tag, dropped or self.drops(tag, attrs, whole), container, whole or tag in WHOLE))
+        self.open.append((tag, drops, container))
 
     def close_open(self, tag: str) -> None:
         """Close an element of this name that is still open inside the nearest container, list or table."""
@@ -139,14 +152,29 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    sizes = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _, _ in lines])
+    sizes = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _ in lines])
     smooth = gaussian(sizes)
     threshold = min(float(smooth.std()), float(smooth.max()) / 2)
     chosen = smooth >= threshold
-    if any(whole and c for (*_, whole), c in zip(lines, chosen, strict=True)):
-        chosen &= np.array([x[4] for x in lines])
     holding = {x[3] for x, c in zip(lines, chosen, strict=True) if c}
-    kept = [text for text, _, linked, container, whole in lines if container in holding and (whole or 2 * linked <= len(text))]
+    parent, article = parser.parent, parser.article
+    articles = {article[c] for c in holding} - {0}
+    if articles:
+        # A container stands after the one around it.
+        for x, outer in parser.outer.items():
+            if outer in articles:
+                articles.add(x)
+        kept = [text for text, *_, container in lines if article[container] in articles]
+    else:
+        lowest = holding.pop()
+        for other in holding:
+            while lowest != other:
+                lowest, other = min(lowest, other), parent[max(lowest, other)]
+        inside = {lowest}
+        for c in range(lowest + 1, len(parent)):
+            if parent[c] in inside:
+                inside.add(c)
+        kept = [text for text, _, linked, container in lines if container in inside and (article[container] or 2 * linked <= len(text))]
     return "\n".join(kept)
 
 

@@ -245,6 +245,14 @@ def test_html_article_only():
     assert html.main_text(None) == html.main_text("") == html.main_text("<script>x</script>") == ""
 
 
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", '<div class="layout has-sidebar with-comments"><article>%s</article></div>', "<div id=c>%s</div>"])
+def test_html_keeps_short_blocks_of_the_article(wrap):
+    long, cells = "many words stand here " * 12, [f"c{k}" for k in range(20)]
+    inner = "".join(f"<p>{long}</p>" for _ in range(5)) + "<table>" + "".join(f"<tr><td>{c}</td></tr>" for c in cells) + "</table>" + "".join(f"<section><div>s{k}</div></section>" for k in range(9)) + f"<div><p>{long}</p></div>"
+    page = "<body><div class=sidebar><p>side</p></div><div><a href=x>Home</a></div>" + wrap % inner + '<div id="comments"><p>I say so.</p></div><footer>f</footer></body>'
+    assert html.main_text(page).split("\n") == [long.strip()] * 5 + cells + [f"s{k}" for k in range(9)] + [long.strip()]
+
+
 def test_language_network_learns_and_rejects(spark):
     rng = random.Random(6)
     text = {"x": lambda: " ".join(rng.choice(["the", "this", "that", "with", "which"]) for _ in range(60)), "y": lambda: " ".join(rng.choice(["der", "nicht", "und", "eine", "ist"]) for _ in range(60))}
