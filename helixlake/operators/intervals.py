@@ -58,3 +58,104 @@ def mark_overlaps(rows: DataFrame, keys: list[str], order: list[Column], width:
     hit = [F.col("a.rank") < F.col("b.rank"), F.col("a.lo") <= F.col("b.hi"), F.col("b.lo") <= F.col("a.hi")]
     best = a.join(b, [*same, *hit]).groupBy(*(F.col(f"b.{k}").alias(k) for k in keys), F.col("b.rank").alias("rank")).agg(F.min("a.rank").alias("any_rank"))
     return ranked.join(best, [*keys, "rank"], "left").withColumn("marked", F.col("any_rank").isNotNull())
+
+
+def extend(rows: DataFrame, lengths: DataFrame, max_length: int) -> DataFrame:
+    """Windows (seq_id, start, n, first, last: model positions) widened by shares of the model's length before and after them.
+
+    lengths (k, prefix, suffix) has a row for each model position, few enough to be broadcast.
+    """
+    low = F.broadcast(lengths.select(F.col("k").alias("first"), "prefix"))
+    high = F.broadcast(lengths.select(F.col("k").alias("last"), "suffix"))
+    both = rows.join(low, "first").join(high, "last")
+    ws = F.greatest(F.lit(1.0), F.col("start") - max_length * (0.1 + F.col("prefix"))).cast("long")
+    we = F.least(F.col("len").cast("double"), F.col("start") + F.col("n") + max_length * (0.1 + F.col("suffix"))).cast("long")
+    return both.withColumns({"ws": ws, "we": we}).drop("prefix", "suffix")
+
+
+def merge_by_share(rows: DataFrame, keys: list[str], start: str, end: str, share: float) -> DataFrame:
+    """Windows in order of their starts, each joined to the last one kept if more than `share` of the shorter one is common.
+
+    Windows that touch nothing cannot be joined, so every island of overlapping ones is folded by itself.
+    """
+    islands = _islands(rows, keys, start, end)
+    item = F.struct(F.col(start).alias("lo"), F.col(end).alias("hi"))
+    folded = islands.groupBy(*keys, "__island").agg(F.array_sort(F.collect_list(item)).alias("all"))
+
+    def step(kept: Column, x: Column) -> Column:
+        last = F.element_at(kept, -1)
+        common = F.least(last["hi"], x["hi"]) - F.greatest(last["lo"], x["lo"]) + 1
+        shorter = F.least(last["hi"] - last["lo"], x["hi"] - x["lo"]) + 1
+        whole = F.struct(F.least(last["lo"], x["lo"]).alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))
+        return F.when(F.size(kept) == 0, F.array(x)).when(common / shorter > share, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(whole))).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.aggregate("all", F.slice("all", 1, 0), step)
+    return folded.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.lo").alias(start), F.col("k.hi").alias(end))
+
+
+def _islands(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    by_place = Window.partitionBy(*keys).orderBy(start, end)
+    new = F.coalesce(F.col(start) > F.max(end).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    return rows.withColumn("__new", new).withColumn("__island", F.sum("__new").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def merge_survivors(rows: DataFrame, keys: list[str], start: str, end: str, score: str, order: str) -> DataFrame:
+    """Windows that abut or overlap the one before: from the first start to the last one's end (not the largest), with the best score."""
+    by_place = Window.partitionBy(*keys).orderBy(start, end, order)
+    new = F.coalesce(F.lag(end).over(by_place) + 1 < F.col(start), F.lit(True)).cast("int")
+    runs = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max_by(end, F.struct(start, end, order))
+    return runs.groupBy(*keys, "__run").agg(F.min(start).alias(start), last.alias(end), F.max(score).alias(score)).drop("__run")
+
+
+def tally(rows: DataFrame, keys: list[str], start: str, end: str, order: str) -> DataFrame:
+    """Windows and residues of each key; what two neighbours share counts once."""
+    by_place = Window.partitionBy(*keys).orderBy(start, end, order)
+    shared = F.greatest(F.lit(0), F.coalesce(F.lag(end).over(by_place) - F.col(start) + 1, F.lit(0)))
+    new = rows.withColumn("__n", F.col(end) - F.col(start) + 1 - shared)
+    return new.groupBy(*keys).agg(F.count("*").alias("windows"), F.sum("__n").alias("residues"))
+
+
+def double_tiles(seqs: DataFrame, width: int) -> DataFrame:
+    """Windows of twice a width whose starts are a width and one apart, until one reaches the end."""
+    last = F.greatest(F.lit(1), F.col("len") - 2 * width + 1 + width)
+    starts = F.sequence(F.lit(1), last, F.lit(width + 1))
+    return seqs.filter("len > 0").select("seq_id", "len", F.explode(starts).alias("ws")).withColumn("we", F.least("len", F.col("ws") + (2 * width - 1)))
+
+
+def record_scores(rows: DataFrame, keys: list[str], order: str, score: str, cutoff: float) -> DataFrame:
+    """In order within keys, the rows of at least a cutoff that beat every score before them."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    enough = rows.filter(F.col(score) >= cutoff)
+    return enough.withColumn("__best", F.max(score).over(before)).filter(F.col("__best").isNull() | (F.col(score) > F.col("__best"))).drop("__best")
+
+
+def first_overlaps(rows: DataFrame, keys: list[str], order: list[Column], width: int) -> DataFrame:
+    """Overlap marks with `any_rank`, the best better row that overlaps, and `win_rank`, the best such one that is not marked itself."""
+    marked = mark_overlaps(rows, keys, order, width)
+    spread = marked.withColumn("bin", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"hi div {width}"))))
+    a, b = spread.filter("not marked").alias("a"), spread.filter("marked").alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "bin"]]
+    hit = [F.col("a.rank") < F.col("b.rank"), F.col("a.lo") <= F.col("b.hi"), F.col("b.lo") <= F.col("a.hi")]
+    best = a.join(b, [*same, *hit]).groupBy(*(F.col(f"b.{k}").alias(k) for k in keys), F.col("b.rank").alias("rank")).agg(F.min("a.rank").alias("win_rank"))
+    return marked.join(best, [*keys, "rank"], "left")
+
+
+def regions(inside: Column, enter: Column, leave: Column, trigger: float = 0.25, end: float = 0.10) -> Column:
+    """array<struct<first, last>> of the regions of one sequence, from three arrays of probabilities by position.
+
+    A region begins at the last place where `inside` less `enter` is below `end` (or right after the region before it); it
+    counts once `inside` reaches `trigger`, and ends at the next place where `inside` less `leave` is below `end`.
+    """
+    at = F.arrays_zip(F.sequence(F.lit(1), F.size(inside)).alias("j"), inside.alias("m"), enter.alias("b"), leave.alias("e"))
+    state = "struct<start:int,on:boolean,found:array<struct<first:int,last:int>>>"
+    nothing = F.struct(F.lit(-1).alias("start"), F.lit(False).alias("on"), F.array().cast("array<struct<first:int,last:int>>").alias("found")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        start = F.when((x["m"] - x["b"] < end) | (s["start"] == -1), x["j"]).otherwise(s["start"])
+        searching = F.struct(start.alias("start"), (x["m"] >= trigger).alias("on"), s["found"].alias("found"))
+        region = F.struct(s["start"].alias("first"), x["j"].alias("last"))
+        closed = F.struct(F.lit(-1).alias("start"), F.lit(False).alias("on"), F.concat(s["found"], F.array(region)).alias("found"))
+        return F.when(~s["on"], searching).when(x["m"] - x["e"] < end, closed).otherwise(s)
+
+    return F.when(F.size(inside) > 0, F.aggregate(at, nothing, step, lambda s: s["found"])).otherwise(F.array().cast("array<struct<first:int,last:int>>"))

@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 
 from helixlake.functions import alphabet
 from helixlake.operators import intervals
-from helixlake.plans import catalog
+from helixlake.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 
 
 def plain(v):
-    return float(f"{v:.9g}") if isinstance(v, float) else v
+    return float(f"{v:.9g}") + 0.0 if isinstance(v, float) else v
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    found = catalog.QUERIES[name](spark, SF)
-    wanted = db.sql(catalog.ORACLE_SQL[name])
+    found = registry.QUERIES[name](spark, SF)
+    wanted = db.sql(registry.ORACLE_SQL[name])
     assert sorted(found.columns) == sorted(wanted.columns)
     order = sorted(found.columns)
     rows = sorted((tuple(plain(r[c]) for c in order) for r in found.collect()), key=str)
