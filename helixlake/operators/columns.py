@@ -2,24 +2,84 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def residues(aln: DataFrame) -> DataFrame:
-    """aln_id, seq_id, apos (from 1), residue of every cell of an alignment."""
-    return aln.select("aln_id", "seq_id", F.posexplode(F.split("row", "")).alias("p", "residue")).select("aln_id", "seq_id", (F.col("p") + 1).alias("apos"), "residue")
-
-
-def position_weights(cells: DataFrame) -> DataFrame:
-    """Position-based weights: 1 / (kinds in the column * copies of the residue), summed and scaled to a mean of 1."""
-    canonical = cells.filter(F.col("residue").isin("A", "C", "G", "U"))
-    each = canonical.groupBy("aln_id", "apos", "residue").agg(F.count("*").alias("copies"))
+    """aln_id, seq_id, apos (from 1), residue of every cell of an alignment that its rows spell out."""
+    cells = aln.select("aln_id", "seq_id", F.posexplode(F.split("row", "")).alias("p", "residue")).filter("residue <> ''")
+    return cells.select("aln_id", "seq_id", (F.col("p") + 1).alias("apos"), "residue")
+
+
+def shapes(aln: DataFrame) -> DataFrame:
+    """aln_id, nseq, alen: rows of each alignment, and columns (the longest row's)."""
+    return aln.groupBy("aln_id").agg(F.count("*").alias("nseq"), F.max(F.length("row")).alias("alen"))
+
+
+def counts(aln: DataFrame) -> DataFrame:
+    """aln_id, apos, residue, n of every column; gaps are what the rows of the alignment leave open."""
+    each = residues(aln).groupBy("aln_id", "apos", "residue").agg(F.count("*").alias("n"))
+    spelled = each.groupBy("aln_id", "apos").agg(F.sum("n").alias("spelled"))
+    gaps = spelled.join(shapes(aln), "aln_id").filter("spelled < nseq").select("aln_id", "apos", F.lit("-").alias("residue"), (F.col("nseq") - F.col("spelled")).alias("n"))
+    return each.unionByName(gaps).groupBy("aln_id", "apos", "residue").agg(F.sum("n").alias("n"))
+
+
+def fragments(aln: DataFrame, share: float = 0.5) -> DataFrame:
+    """Rows with `fragment`: whether the span of their residues is below a share of the columns, rounded up. A fragment's ends
+    are missing data, those of other rows gaps."""
+    return aln.join(shapes(aln), "aln_id").withColumn("fragment", F.length("row") < F.ceil(F.lit(share) * F.col("alen")))
+
+
+def consensus_columns(aln: DataFrame, share: float = 0.5) -> DataFrame:
+    """aln_id, apos of the columns where gaps are less than a share; ends of fragments count for nothing."""
+    rows = fragments(aln)
+    spelled = residues(aln).groupBy("aln_id", "apos").agg(F.sum((F.col("residue") != "-").cast("long")).alias("held"), F.count("*").alias("spelled"))
+    whole = rows.filter("not fragment").groupBy("aln_id", F.length("row").alias("n")).agg(F.count("*").alias("rows"))
+    # Rows that are no fragments and end before a column hold a gap there: all of them less those that reach it.
+    of_all = whole.groupBy("aln_id").agg(F.sum("rows").alias("whole"))
+    reaching = whole.select("aln_id", F.col("n").alias("apos"), "rows").unionByName(spelled.select("aln_id", "apos", F.lit(0).cast("long").alias("rows")))
+    reaching = reaching.groupBy("aln_id", "apos").agg(F.sum("rows").alias("rows"))
+    downwards = Window.partitionBy("aln_id").orderBy(F.desc("apos"))
+    reached = reaching.withColumn("reach", F.sum("rows").over(downwards)).select("aln_id", "apos", "reach")
+    gaps = F.col("spelled") - F.col("held") + F.coalesce("whole", F.lit(0)) - F.coalesce("reach", F.lit(0))
+    found = spelled.join(reached, ["aln_id", "apos"], "left").join(of_all, "aln_id", "left").withColumn("gaps", gaps)
+    return found.filter(F.col("gaps") / (F.col("held") + F.col("gaps")) < share).select("aln_id", "apos")
+
+
+def position_weights(aln: DataFrame) -> DataFrame:
+    """Position-based weights over the consensus columns (all columns, if there are none): each canonical residue counts
+    1 / (canonical kinds in its column * copies of it), a row's mean is scaled to a mean of 1. Rows without any weigh 0; so
+    all weigh 1 in an alignment of such rows or of one row."""
+    consensus = consensus_columns(aln)
+    none = aln.select("aln_id").distinct().join(consensus, "aln_id", "left_anti").withColumn("all", F.lit(True))
+    cells = residues(aln).filter(F.col("residue").isin("A", "C", "G", "U"))
+    used = cells.join(consensus, ["aln_id", "apos"], "left_semi").unionByName(cells.join(none, "aln_id", "left_semi"))
+    each = used.groupBy("aln_id", "apos", "residue").agg(F.count("*").alias("copies"))
     kinds = each.groupBy("aln_id", "apos").agg(F.count("*").alias("kinds"))
     scores = each.join(kinds, ["aln_id", "apos"]).select("aln_id", "apos", "residue", (1.0 / (F.col("kinds") * F.col("copies"))).alias("w"))
-    summed = canonical.join(scores, ["aln_id", "apos", "residue"]).groupBy("aln_id", "seq_id").agg((F.sum("w") / F.count("*")).alias("raw"))
-    per = summed.groupBy("aln_id").agg((F.count("*") / F.sum("raw")).alias("scale"))
-    return summed.join(per, "aln_id").select("aln_id", "seq_id", (F.col("raw") * F.col("scale")).alias("weight"))
+    summed = used.join(scores, ["aln_id", "apos", "residue"]).groupBy("aln_id", "seq_id").agg((F.sum("w") / F.count("*")).alias("raw"))
+    rows = aln.select("aln_id", "seq_id").join(summed, ["aln_id", "seq_id"], "left").fillna(0.0, ["raw"])
+    per = rows.groupBy("aln_id").agg(F.count("*").alias("nseq"), F.sum("raw").alias("total"))
+    weight = F.when((F.col("nseq") == 1) | (F.col("total") == 0), 1.0).otherwise(F.col("raw") * F.col("nseq") / F.col("total"))
+    return rows.join(per, "aln_id").select("aln_id", "seq_id", weight.alias("weight"))
+
+
+def identities(aln: DataFrame, every: int = 100, blocks: int = 16) -> DataFrame:
+    """Identity of each query row (every hundredth seq_id) with all other rows of its alignment: equal residues over the
+    shorter row's residues, 0 where no place is equal or a row has none. An alignment's rows are dealt into blocks that the
+    queries visit, so that a large one is no single task."""
+    queries = aln.filter(F.col("seq_id") % every == 0).select("aln_id", F.col("seq_id").alias("s1"), F.col("row").alias("r1"))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    others = aln.select("aln_id", F.col("seq_id").alias("s2"), F.col("row").alias("r2"), F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int").alias("block"))
+    both = queries.join(others, ["aln_id", "block"]).filter("s1 <> s2")
+    letters = lambda c: F.split(c, "")
+    equal = F.size(F.filter(F.zip_with(letters("r1"), letters("r2"), lambda x, y: (x == y) & ~x.isin("", "-")), lambda t: t))
+    real = lambda c: F.length(F.translate(c, "-", ""))
+    shorter = F.least(real("r1"), real("r2"))
+    return both.select("aln_id", "s1", "s2", F.when(shorter > 0, equal / shorter).otherwise(0.0).alias("pid"))
 
 
 def histogram(samples: DataFrame, group: str, x: str, width: float) -> DataFrame:
@@ -28,15 +88,58 @@ def histogram(samples: DataFrame, group: str, x: str, width: float) -> DataFrame
 
 
 def tail(samples: DataFrame, group: str, x: str, mass: float) -> DataFrame:
-    """The floor(n * mass) largest samples of each group."""
-    ranked = samples.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(x))))
+    """The floor(n * mass) largest samples of each group as distinct values with their numbers (x, n).
+
+    Equal samples are summed up first, so that only distinct values are ordered.
+    """
+    values = samples.groupBy(group, x).agg(F.count("*").alias("n"))
+    summed = values.withColumn("__upto", F.sum("n").over(Window.partitionBy(group).orderBy(F.desc(x))))
     sizes = samples.groupBy(group).agg(F.floor(F.count("*") * mass).alias("__m"))
-    return ranked.join(sizes, group).filter("__r <= __m").drop("__r", "__m")
+    taken = F.least(F.col("n"), F.col("__m") - (F.col("__upto") - F.col("n")))
+    return summed.join(sizes, group).withColumn("n", taken).filter("n > 0").drop("__upto", "__m")
+
+
+def exponential_fit(values: DataFrame, group: str, x: str) -> DataFrame:
+    """Maximum-likelihood mu (the minimum) and lambda (1 over the mean excess) of values with their numbers n."""
+    mean = F.sum(F.col(x) * F.col("n")) / F.sum("n")
+    return values.groupBy(group).agg(F.sum("n").alias("n"), F.min(x).alias("mu"), (1.0 / (mean - F.min(x))).alias("lambda"))
 
 
-def exponential_fit(samples: DataFrame, group: str, x: str) -> DataFrame:
-    """Maximum-likelihood mu (the minimum) and lambda (1 over the mean excess)."""
-    return samples.groupBy(group).agg(F.count("*").alias("n"), F.min(x).alias("mu"), (1.0 / (F.avg(x) - F.min(x))).alias("lambda"))
+def tail_above(bins: DataFrame, group: str, x: float) -> DataFrame:
+    """Of a histogram the bins above the one that x is in: the bound that they start at, and the values in and below them."""
+    inside = F.ceil(F.lit(x) - 1).cast("long")
+    above, below = F.col("bin") > inside, F.col("bin") <= inside
+    return bins.groupBy(group).agg((inside + 1).alias("bin"), F.sum(F.when(above, F.col("n")).otherwise(0)).alias("n_tail"), F.sum(F.when(below, F.col("n")).otherwise(0)).alias("n_below"))
+
+
+def gumbel_newton(samples: DataFrame, group: str, x: str, rounds: int = 100, tolerance: float = 1e-5) -> DataFrame:
+    """Maximum-likelihood mu and lambda of a Gumbel distribution for each group, by Newton's method on Lawless's equation.
+
+    Equal samples are summed up first; a group's distinct values then meet in one task. Null where a group has one sample or
+    none, where all are equal, or where Newton's method does not end.
+    """
+    values = samples.filter(F.col(x).isNotNull()).groupBy(group, x).agg(F.count("*").alias("n"))
+
+    def fit(key: tuple, v: pd.DataFrame) -> pd.DataFrame:
+        xs, n = v[x].to_numpy(float), v["n"].to_numpy(float)
+        total, mean = n.sum(), np.average(xs, weights=n)
+        variance = (n * (xs - mean) ** 2).sum() / max(1.0, total - 1)
+        if total < 2 or variance == 0:
+            return pd.DataFrame({group: [key[0]], "n": [int(total)], "mu": [np.nan], "lambda": [np.nan]})
+        lam, low = np.pi / np.sqrt(6 * variance), xs.min()
+        for _ in range(rounds):
+            # Weights relative to the smallest value, so that none underflows for all.
+            w = n * np.exp(-lam * (xs - low))
+            w0, w1, w2 = w.sum(), (w * xs).sum(), (w * xs * xs).sum()
+            value = 1 / lam - mean + w1 / w0
+            if abs(value) < tolerance:
+                return pd.DataFrame({group: [key[0]], "n": [int(total)], "mu": [low - np.log(w0 / total) / lam], "lambda": [lam]})
+            slope = (w1 / w0) ** 2 - w2 / w0 - 1 / lam**2
+            lam = lam - value / slope if value / slope < lam else 0.001
+        return pd.DataFrame({group: [key[0]], "n": [int(total)], "mu": [np.nan], "lambda": [np.nan]})
+
+    found = values.groupBy(group).applyInPandas(fit, f"{group} string, n long, mu double, lambda double")
+    return found.select(group, "n", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("mu", "lambda")))
 
 
 def gumbel_location(samples: DataFrame, group: str, x: str, lam: float) -> DataFrame:
@@ -44,17 +147,6 @@ def gumbel_location(samples: DataFrame, group: str, x: str, lam: float) -> DataF
     return samples.groupBy(group).agg(F.count("*").alias("n"), (-F.log(F.avg(F.exp(-lam * F.col(x)))) / lam).alias("mu"))
 
 
-def pair_identity(cells: DataFrame) -> DataFrame:
-    """Identity of every two rows of an alignment: equal residues over the shorter row's residues."""
-    real = cells.filter(F.col("residue") != "-")
-    lengths = real.groupBy("aln_id", "seq_id").agg(F.count("*").alias("n"))
-    a, b = real.alias("a"), real.alias("b")
-    same = a.join(b, (F.col("a.aln_id") == F.col("b.aln_id")) & (F.col("a.apos") == F.col("b.apos")) & (F.col("a.residue") == F.col("b.residue")) & (F.col("a.seq_id") < F.col("b.seq_id")))
-    nid = same.groupBy(F.col("a.aln_id").alias("aln_id"), F.col("a.seq_id").alias("s1"), F.col("b.seq_id").alias("s2")).agg(F.count("*").alias("nid"))
-    l1, l2 = lengths.select("aln_id", F.col("seq_id").alias("s1"), F.col("n").alias("n1")), lengths.select("aln_id", F.col("seq_id").alias("s2"), F.col("n").alias("n2"))
-    return nid.join(l1, ["aln_id", "s1"]).join(l2, ["aln_id", "s2"]).select("aln_id", "s1", "s2", (F.col("nid") / F.least("n1", "n2")).alias("pid"))
-
-
 def binned_tail(bins: DataFrame, group: str, parts: int) -> DataFrame:
     """The highest bins that together hold at least one in `parts` values of a group: the lowest of them, and the values in and below them.
 

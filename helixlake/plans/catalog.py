@@ -9,7 +9,7 @@ from helixlake.functions import alphabet as ab
 from helixlake.functions import stats
 from helixlake.operators import columns, intervals
 from helixlake.sources import tables
-from helixlake.sources.tables import ALN_SQL, HITS_SQL, SEQS_SQL
+from helixlake.sources.tables import HITS_SQL, SEQS_SQL
 
 FLAGSHIP = "search"
 #: A fixed ungapped profile of twelve positions: the favoured residue of each, worth 2 bits, others cost 1.
@@ -55,7 +55,6 @@ def score_statistics(spark: SparkSession, d: str) -> DataFrame:
         F.round(stats.gumbel_survival(x, 50.0, 0.03), 9).alias("gumbel_surv"),
         F.round(stats.evalue(x, 20.0, 0.02, 2.0e6, 1.0e6, 500), 6).alias("evalue"),
         F.round(stats.log2_odds(x / 500.0), 6).alias("log_odds"),
-        stats.filter_threshold(x * 100).alias("f1"),
     )
 
 
@@ -94,25 +93,6 @@ def clan_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("model", F.coalesce("clan", F.lit(-1)).alias("clan")).agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
-def column_counts(spark: SparkSession, d: str) -> DataFrame:
-    return columns.residues(tables.alignments(spark, d)).groupBy("aln_id", "apos", "residue").agg(F.count("*").alias("n"))
-
-
-def match_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of an alignment of which at least half of the rows hold a residue."""
-    cells = columns.residues(tables.alignments(spark, d))
-    held = cells.groupBy("aln_id", "apos").agg(F.avg((F.col("residue") != "-").cast("int")).alias("share"))
-    return held.filter("share >= 0.5").select("aln_id", "apos", F.round("share", 6).alias("share"))
-
-
-def sequence_weights(spark: SparkSession, d: str) -> DataFrame:
-    return columns.position_weights(columns.residues(tables.alignments(spark, d))).select("aln_id", "seq_id", F.round("weight", 6).alias("weight"))
-
-
-def identities(spark: SparkSession, d: str) -> DataFrame:
-    return columns.pair_identity(columns.residues(tables.alignments(spark, d))).select("aln_id", "s1", "s2", F.round("pid", 6).alias("pid"))
-
-
 def score_histogram(spark: SparkSession, d: str) -> DataFrame:
     cents = tables.table(spark, d, "events").select("event_type", F.round(F.col("value") * 100).cast("long").alias("x"))
     return columns.histogram(cents, "event_type", "x", 1000)
@@ -132,6 +112,17 @@ def binned_tail(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_type", (F.col("bin") * 10.0).alias("phi"), "n_tail", "n_below")
 
 
+def tail_above(spark: SparkSession, d: str) -> DataFrame:
+    """Each group's tail of scores above 400, on the bins' bounds."""
+    found = columns.tail_above(score_histogram(spark, d), "event_type", 40.0)
+    return found.select("event_type", (F.col("bin") * 10.0).alias("phi"), "n_tail", "n_below")
+
+
+def gumbel_newton(spark: SparkSession, d: str) -> DataFrame:
+    fitted = columns.gumbel_newton(tables.table(spark, d, "events"), "event_type", "value")
+    return fitted.select("event_type", "n", F.round("mu", 2).alias("mu"), F.round("lambda", 5).alias("lambda"))
+
+
 def score_moments(spark: SparkSession, d: str) -> DataFrame:
     found = columns.moments(tables.table(spark, d, "events"), "event_type", "value")
     return found.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
@@ -167,7 +158,7 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("seq_id", "strand", "lo", "hi", "score", F.round("evalue", 6).alias("evalue"), (F.col("evalue") <= INCLUDE).cast("int").alias("included"))
 
 
-QUERIES = {f.__name__: f for f in (digitized, reverse_complement, composition, null_models, composition_bias, score_statistics, windows, merged_windows, split_windows, overlap_removal, overlap_marks, clan_lookup, column_counts, match_columns, sequence_weights, identities, score_histogram, expected_bins, binned_tail, score_moments, tail_fit, gumbel_fit, search)}
+QUERIES = {f.__name__: f for f in (digitized, reverse_complement, composition, null_models, composition_bias, score_statistics, windows, merged_windows, split_windows, overlap_removal, overlap_marks, clan_lookup, score_histogram, expected_bins, binned_tail, tail_above, score_moments, tail_fit, gumbel_fit, gumbel_newton, search)}
 
 _COUNTS = f"WITH {SEQS_SQL}, c AS (SELECT *, len(seq) AS l, len(seq) - len(translate(seq, 'ACGU', '')) AS n, len(seq) - len(translate(seq, 'GC', '')) AS gc, " + ", ".join(f"len(seq) - len(translate(seq, '{r}', '')) AS n{r}" for r in "ACGU") + " FROM seqs), f AS (SELECT *, " + ", ".join(f"CASE WHEN n > 0 THEN n{r}::DOUBLE / n ELSE 0.25e0 END AS f{r}" for r in "ACGU") + " FROM c)"
 _ISLANDS = f"""WITH {HITS_SQL}, m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY seq_id, strand ORDER BY lo, hi
@@ -175,7 +166,6 @@ _ISLANDS = f"""WITH {HITS_SQL}, m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PAR
   g AS (SELECT *, sum(new) OVER (PARTITION BY seq_id, strand ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m),
   islands AS (SELECT seq_id, strand, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM g GROUP BY seq_id, strand, island)"""
 _BINS = "WITH h AS (SELECT event_type, ceil(round(value * 100) / 1000 - 1)::BIGINT AS bin, count(*) AS n FROM events GROUP BY ALL)"
-_CELLS = f"WITH {ALN_SQL}, cells AS (SELECT aln_id, seq_id, p::INT AS apos, substr(row, p::INT, 1) AS residue FROM aln, range(1, 41) AS r(p))"
 
 ORACLE_SQL = {
     "digitized": f"""WITH {SEQS_SQL} SELECT seq_id, array_to_string(list_transform(string_split(seq, ''),
@@ -187,8 +177,7 @@ ORACLE_SQL = {
     "score_statistics": """SELECT event_id, round(CASE WHEN value < 20 THEN 1e0 ELSE exp(-0.02e0 * (value - 20)) END, 9) AS exp_surv,
   round(exp(-exp(-0.03e0 * (value - 50))), 9) AS gumbel_cdf, round(1 - exp(-exp(-0.03e0 * (value - 50))), 9) AS gumbel_surv,
   round(CASE WHEN value < 20 THEN 1e0 ELSE exp(-0.02e0 * (value - 20)) END * 1000e0, 6) AS evalue,
-  round(CASE WHEN value > 0 THEN ln(value / 500e0 / 0.25e0) * 1.44269504e0 ELSE -1e36 END, 6) AS log_odds,
-  CASE WHEN value * 100 >= 20000 THEN 0.06e0 WHEN value * 100 >= 200 THEN 0.15e0 ELSE 0.35e0 END AS f1 FROM events""",
+  round(CASE WHEN value > 0 THEN ln(value / 500e0 / 0.25e0) * 1.44269504e0 ELSE -1e36 END, 6) AS log_odds FROM events""",
     "windows": f"""WITH {SEQS_SQL}, t AS (SELECT seq_id, len(seq) AS l, unnest(range(1, len(seq) + 1, 500)) AS core FROM seqs WHERE len(seq) > 0)
   SELECT seq_id, strand, core::INT AS core, greatest(1, core - 50)::INT AS ws, least(l, core + 499)::INT AS we,
   (least(l, core + 499) - greatest(1, core - 50) + 1)::INT AS n FROM t, (VALUES ('+'), ('-')) AS s(strand)""",
@@ -196,7 +185,8 @@ ORACLE_SQL = {
     "split_windows": _ISLANDS + """ SELECT seq_id, strand, lo, hi, unnest(CASE WHEN hi - lo + 1 > 60 THEN range(lo, hi - 29, 30) ELSE [lo] END) AS piece,
   CASE WHEN hi - lo + 1 > 60 THEN least(hi, piece + 59) ELSE hi END AS piece_end FROM islands""",
     "overlap_marks": f"""WITH {HITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, strand ORDER BY score DESC, lo, hi, hit_id, sub_id)::INT AS rank FROM hits),
-  b AS (SELECT b.seq_id, b.strand, b.rank, min(a.rank) AS any_rank FROM r a JOIN r b ON a.seq_id = b.seq_id AND a.strand = b.strand AND a.rank < b.rank
+  p AS (SELECT seq_id, strand, rank, lo, hi, unnest(range(lo // 64, hi // 64 + 1)) AS bin FROM r),
+  b AS (SELECT b.seq_id, b.strand, b.rank, min(a.rank) AS any_rank FROM p a JOIN p b ON a.seq_id = b.seq_id AND a.strand = b.strand AND a.bin = b.bin AND a.rank < b.rank
   AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY ALL)
   SELECT seq_id, strand, rank, hit_id, sub_id, (any_rank IS NOT NULL)::INT AS marked, any_rank FROM r LEFT JOIN b USING (seq_id, strand, rank)""",
     "overlap_removal": f"""WITH RECURSIVE {HITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, strand ORDER BY score DESC, lo, hi, hit_id, sub_id) AS rank FROM hits),
@@ -222,22 +212,21 @@ ORACLE_SQL = {
   SELECT seq_id, strand, lo, hi, score, round(evalue, 6) AS evalue, (evalue <= {INCLUDE})::INT AS included FROM r JOIN k USING (seq_id, strand, rank) WHERE stays""",
     "clan_lookup": f"""WITH {HITS_SQL} SELECT s_nationkey AS model, coalesce(n_regionkey, -1) AS clan, count(*) AS n, max(score) AS best
   FROM hits JOIN supplier ON s_suppkey = seq_id LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON n_nationkey = s_nationkey GROUP BY ALL""",
-    "column_counts": _CELLS + " SELECT aln_id, apos, residue, count(*) AS n FROM cells GROUP BY ALL",
-    "match_columns": _CELLS + " SELECT aln_id, apos, round(avg((residue <> '-')::INT), 6) AS share FROM cells GROUP BY ALL HAVING avg((residue <> '-')::INT) >= 0.5",
-    "sequence_weights": _CELLS + """, c AS (SELECT *, count(*) OVER (PARTITION BY aln_id, apos, residue) AS copies FROM cells WHERE residue IN ('A','C','G','U')),
-  k AS (SELECT aln_id, apos, count(DISTINCT residue) AS kinds FROM c GROUP BY ALL),
-  s AS (SELECT aln_id, seq_id, avg(1e0 / (kinds * copies)) AS raw FROM c JOIN k USING (aln_id, apos) GROUP BY ALL)
-  SELECT aln_id, seq_id, round(raw * count(*) OVER (PARTITION BY aln_id) / sum(raw) OVER (PARTITION BY aln_id), 6) AS weight FROM s""",
-    "identities": _CELLS + """, r AS (SELECT * FROM cells WHERE residue <> '-'), l AS (SELECT aln_id, seq_id, count(*) AS n FROM r GROUP BY ALL),
-  p AS (SELECT a.aln_id, a.seq_id AS s1, b.seq_id AS s2, count(*) AS nid FROM r a JOIN r b ON a.aln_id = b.aln_id AND a.apos = b.apos AND a.residue = b.residue
-  AND a.seq_id < b.seq_id GROUP BY ALL)
-  SELECT p.aln_id, s1, s2, round(nid::DOUBLE / least(x.n, y.n), 6) AS pid FROM p JOIN l x ON x.aln_id = p.aln_id AND x.seq_id = s1 JOIN l y ON y.aln_id = p.aln_id AND y.seq_id = s2""",
     "score_histogram": "SELECT event_type, ceil(round(value * 100) / 1000 - 1)::BIGINT AS bin, count(*) AS n FROM events GROUP BY ALL",
     "expected_bins": _BINS + """ SELECT event_type, bin, n, round(sum(n) OVER (PARTITION BY event_type)
   * (exp(-exp(-0.03e0 * (bin * 10e0 + 10 - 50))) - exp(-exp(-0.03e0 * (bin * 10e0 - 50)))), 6) AS expected FROM h""",
     "binned_tail": _BINS + """, c AS (SELECT *, (sum(n) OVER (PARTITION BY event_type ORDER BY bin DESC))::BIGINT AS above,
   (sum(n) OVER (PARTITION BY event_type))::BIGINT AS total FROM h)
   SELECT event_type, max(bin) * 10e0 AS phi, min(above) AS n_tail, any_value(total) - min(above) AS n_below FROM c WHERE above * 10 >= total GROUP BY ALL""",
+    "tail_above": _BINS + " SELECT event_type, 400e0 AS phi, coalesce(sum(n) FILTER (bin >= 40), 0)::BIGINT AS n_tail, coalesce(sum(n) FILTER (bin < 40), 0)::BIGINT AS n_below FROM h GROUP BY ALL",
+    # Newton's method from the moments' slope, a step for each row of the recursion.
+    "gumbel_newton": """WITH RECURSIVE s AS (SELECT event_type, count(*) AS n, avg(value) AS mean, pi() / sqrt(6 * var_samp(value)) AS l0, min(value) AS low FROM events GROUP BY ALL),
+  k AS (SELECT event_type, l0 AS l, 0 AS i FROM s UNION ALL
+    SELECT event_type, l - value / slope, i + 1 FROM (SELECT k.event_type, any_value(l) AS l, any_value(i) AS i, 1 / any_value(l) - any_value(mean) + sum(w * x) / sum(w) AS value,
+      pow(sum(w * x) / sum(w), 2) - sum(w * x * x) / sum(w) - 1 / pow(any_value(l), 2) AS slope
+      FROM k JOIN s USING (event_type) JOIN (SELECT event_type AS t, value AS x FROM events) e ON e.t = k.event_type, LATERAL (SELECT exp(-l * (x - low)) AS w) GROUP BY k.event_type) WHERE i < 12),
+  f AS (SELECT event_type, arg_max(l, i) AS l FROM k GROUP BY ALL)
+  SELECT f.event_type, count(*) AS n, round(any_value(low) - ln(avg(exp(-l * (value - low)))) / any_value(l), 2) AS mu, round(any_value(l), 5) AS lambda FROM f JOIN s USING (event_type) JOIN events USING (event_type) GROUP BY f.event_type""",
     "score_moments": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance FROM events GROUP BY ALL",
     "tail_fit": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC) AS k,
   floor(count(*) OVER (PARTITION BY event_type) * 0.1) AS m FROM events)

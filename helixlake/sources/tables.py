@@ -44,12 +44,12 @@ HITS_SQL = """hits AS (SELECT l_suppkey AS seq_id, CASE WHEN l_returnflag = 'R'
   l_partkey + 1 AS lo, l_partkey + l_quantity::BIGINT AS hi, l_extendedprice AS score, l_orderkey AS hit_id, l_linenumber AS sub_id FROM lineitem)"""
 
 
-def alignments(spark: SparkSession, sf_dir: str, columns: int = 40) -> DataFrame:
-    """aln_id, seq_id, row: the first residues of the documents of a language and source, padded with gaps."""
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """aln_id, seq_id, row: all residues of the documents of a language and source are an alignment's rows, from its first
+    column on. Where a row ends before the longest one of its alignment, the rest of it is gaps, which are not spelled out."""
     docs = table(spark, sf_dir, "documents")
-    row = F.rpad(F.substring(residues_of(F.col("text")), 1, columns), columns, "-")
-    return docs.select(F.concat_ws("/", "lang", "source").alias("aln_id"), F.col("doc_id").alias("seq_id"), row.alias("row"))
+    return docs.select(F.concat_ws("/", "lang", "source").alias("aln_id"), F.col("doc_id").alias("seq_id"), residues_of(F.col("text")).alias("row"))
 
 
-ALN_SQL = """aln AS (SELECT concat_ws('/', lang, source) AS aln_id, doc_id AS seq_id, rpad(substr(translate(regexp_replace(upper(
-  regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGUTRYMKSWHBVDNXI]', '', 'g'), 'TXI', 'UNA'), 1, 40), 40, '-') AS row FROM documents)"""
+ALN_SQL = """aln AS (SELECT concat_ws('/', lang, source) AS aln_id, doc_id AS seq_id, coalesce(translate(regexp_replace(upper(
+  regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGUTRYMKSWHBVDNXI]', '', 'g'), 'TXI', 'UNA'), '') AS row FROM documents)"""
