@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from helixlake.functions import alphabet as ab
 from helixlake.functions import stats
 from helixlake.operators import columns, intervals
+from helixlake.operators import search as ungapped
 from helixlake.sources import tables
 from helixlake.sources.tables import HITS_SQL, SEQS_SQL
 
 FLAGSHIP = "search"
-#: A fixed ungapped profile of twelve positions: the favoured residue of each, worth 2 bits, others cost 1.
-PROFILE = "GGCAUUCGAUGC"
-#: Location and slope of the profile's scores, residues and hits that they were fitted on, and the E-values to report and include.
-MU, LAMBDA, DBSIZE, NHITS, REPORT, INCLUDE = 9.0, 0.7, 1.0e6, 1000, 1.0e4, 10.0
+#: Ungapped models: a favoured residue for each position (worth 2 bits, others cost 1), and the Gumbel tail of their scores.
+MODELS = [
+    {"name": "stem", "consensus": "GGCAUUCGAUGC", "mu": 4.0, "lambda": 0.8},
+    {"name": "loop", "consensus": "ACGUUGCAAC", "mu": 3.5, "lambda": 0.8},
+    {"name": "tail", "consensus": "UUUUCCGGAAUUGC", "mu": 4.5, "lambda": 0.8},
+]
+REPORT, INCLUDE = 3000.0, 300.0
 
 
 def digitized(spark: SparkSession, d: str) -> DataFrame:
@@ -139,26 +143,20 @@ def gumbel_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of the fixed profile on both strands: windows, scores, E-values, threshold, removal of overlaps, inclusion."""
-    seqs = tables.sequences(spark, d).filter(F.col("len") >= len(PROFILE))
-    z = seqs.agg((2 * F.sum("len")).cast("double").alias("z"))
-    tiles = intervals.tile(seqs, 500, len(PROFILE) - 1)
-    oriented = tiles.withColumn("w", F.when(F.col("strand") == "-", ab.reverse_complement(F.col("window"))).otherwise(F.col("window")))
-    letters = oriented.filter(F.length("w") >= len(PROFILE)).withColumn("r", F.split("w", ""))
-    at = lambda i: sum((F.when(F.col("r")[i + k] == x, 2).otherwise(-1) for k, x in enumerate(PROFILE)), F.lit(0))
-    scores = F.transform(F.sequence(F.lit(0), F.size("r") - len(PROFILE)), at)
-    placed = letters.select("seq_id", "strand", "ws", "we", F.posexplode(scores).alias("p0", "score"))
-    scored = placed.filter(F.col("score") >= 6).withColumn("p", F.col("p0") + 1)
-    low = F.when(F.col("strand") == "+", F.col("ws") + F.col("p") - 1).otherwise(F.col("we") - F.col("p") - (len(PROFILE) - 2))
-    hits = scored.select("seq_id", "strand", low.cast("long").alias("lo"), (low + (len(PROFILE) - 1)).cast("long").alias("hi"), "score")
-    # One row with the size of the search space joins all hits.
-    valued = hits.crossJoin(F.broadcast(z)).withColumn("evalue", stats.exponential_survival(F.col("score"), MU, LAMBDA) * (F.col("z") / DBSIZE * NHITS))
-    reported = valued.filter(F.col("evalue") <= REPORT).distinct()
-    kept = intervals.remove_overlaps(reported, ["seq_id", "strand"], [F.desc("score"), F.asc("lo")], ["lo", "hi", "score", "evalue"])
-    return kept.select("seq_id", "strand", "lo", "hi", "score", F.round("evalue", 6).alias("evalue"), (F.col("evalue") <= INCLUDE).cast("int").alias("included"))
-
-
-QUERIES = {f.__name__: f for f in (digitized, reverse_complement, composition, null_models, composition_bias, score_statistics, windows, merged_windows, split_windows, overlap_removal, overlap_marks, clan_lookup, score_histogram, expected_bins, binned_tail, tail_above, score_moments, tail_fit, gumbel_fit, gumbel_newton, search)}
+    """Hits of all models on both strands: windows, diagonals, the first filter, E-values, removal of overlaps, inclusion."""
+    found = ungapped.search(tables.sequences(spark, d), MODELS, report=REPORT, include=INCLUDE)
+    return found.select("seq_id", "strand", "model", "lo", "hi", "score", F.round("evalue", 6).alias("evalue"), F.col("included").cast("int").alias("included"))
+
+
+def emission_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Each sequence's residues joined with every model's emission scores: the score of each position over all of them."""
+    rows = [(m["name"], k, r, 2 if r == x else -1) for m in MODELS for k, x in enumerate(m["consensus"]) for r in "ACGU"]
+    profile = F.broadcast(spark.createDataFrame(rows, "model string, k int, residue string, score int"))
+    counts = tables.sequences(spark, d).select("seq_id", F.explode(F.split("seq", "")).alias("residue")).groupBy("seq_id", "residue").agg(F.count("*").alias("n"))
+    return counts.join(profile, "residue").groupBy("seq_id", "model").agg(F.sum(F.col("n") * F.col("score")).alias("total"), F.max("score").alias("best"))
+
+
+QUERIES = {f.__name__: f for f in (digitized, reverse_complement, composition, null_models, composition_bias, score_statistics, windows, merged_windows, split_windows, overlap_removal, overlap_marks, clan_lookup, score_histogram, expected_bins, binned_tail, tail_above, score_moments, tail_fit, gumbel_fit, gumbel_newton, search, emission_totals)}
 
 _COUNTS = f"WITH {SEQS_SQL}, c AS (SELECT *, len(seq) AS l, len(seq) - len(translate(seq, 'ACGU', '')) AS n, len(seq) - len(translate(seq, 'GC', '')) AS gc, " + ", ".join(f"len(seq) - len(translate(seq, '{r}', '')) AS n{r}" for r in "ACGU") + " FROM seqs), f AS (SELECT *, " + ", ".join(f"CASE WHEN n > 0 THEN n{r}::DOUBLE / n ELSE 0.25e0 END AS f{r}" for r in "ACGU") + " FROM c)"
 _ISLANDS = f"""WITH {HITS_SQL}, m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY seq_id, strand ORDER BY lo, hi
@@ -167,6 +165,28 @@ _ISLANDS = f"""WITH {HITS_SQL}, m AS (SELECT *, CASE WHEN lo > max(hi) OVER (PAR
   islands AS (SELECT seq_id, strand, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM g GROUP BY seq_id, strand, island)"""
 _BINS = "WITH h AS (SELECT event_type, ceil(round(value * 100) / 1000 - 1)::BIGINT AS bin, count(*) AS n FROM events GROUP BY ALL)"
 
+
+def _search_sql() -> str:
+    """Kadane's running sums along every diagonal, a column for each position; a row's later residues by window functions."""
+    parts, longest = [], max(len(m["consensus"]) for m in MODELS)
+    turn = str.maketrans("ACGU", "UGCA")
+    for m in MODELS:
+        n = len(m["consensus"])
+        for strand, word in (("+", m["consensus"]), ("-", m["consensus"][::-1].translate(turn))):
+            sums = [f"greatest(0, {f's{k - 1} + ' if k else ''}CASE WHEN c{k} = '{x}' THEN 2 ELSE -1 END) AS s{k}" for k, x in enumerate(word)]
+            parts.append(f"SELECT seq_id, '{m['name']}' AS model, '{strand}' AS strand, lo, lo + {n - 1} AS hi, greatest({', '.join(f's{k}' for k in range(n))}) AS score, {m['mu']}e0 AS mu, {m['lambda']}e0 AS lam FROM (SELECT seq_id, lo, {', '.join(sums)} FROM c WHERE lo + {n - 1} <= l)")
+    leads = ", ".join(f"lead(x, {k}) OVER w AS c{k}" for k in range(longest))
+    return f"""WITH RECURSIVE {SEQS_SQL}, x AS (SELECT seq_id, len(seq) AS l, unnest(string_split(seq, '')) AS x, generate_subscripts(string_split(seq, ''), 1) AS lo FROM seqs WHERE len(seq) > 0),
+  z AS (SELECT 2e0 * sum(len(seq)) AS z FROM seqs), c AS (SELECT seq_id, l, lo, {leads} FROM x WINDOW w AS (PARTITION BY seq_id ORDER BY lo)), h AS ({' UNION ALL '.join(parts)}),
+  v AS (SELECT h.*, 1 - exp(-exp(-lam * (score - mu))) AS pvalue, z FROM h, z WHERE score >= 8),
+  e AS (SELECT *, pvalue * z AS evalue FROM v WHERE pvalue <= CASE WHEN z >= 2e10 THEN 0.06e0 WHEN z >= 2e8 THEN 0.15e0 ELSE 0.35e0 END),
+  r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, strand, model ORDER BY score DESC, lo, hi) AS rank FROM e WHERE evalue <= {REPORT}),
+  k AS (SELECT seq_id, strand, model, 0::BIGINT AS rank, []::STRUCT(lo BIGINT, hi BIGINT)[] AS kept, false AS stays FROM r GROUP BY ALL
+  UNION ALL SELECT k.seq_id, k.strand, k.model, r.rank, CASE WHEN f THEN list_append(k.kept, {{'lo': r.lo, 'hi': r.hi}}) ELSE k.kept END, f
+  FROM k JOIN r ON k.seq_id = r.seq_id AND k.strand = r.strand AND k.model = r.model AND r.rank = k.rank + 1, LATERAL (SELECT len(list_filter(k.kept, lambda y: y.lo <= r.hi AND r.lo <= y.hi)) = 0 AS f))
+  SELECT seq_id, strand, model, lo, hi, score::INT AS score, round(evalue, 6) AS evalue, (evalue <= {INCLUDE})::INT AS included FROM r JOIN k USING (seq_id, strand, model, rank) WHERE stays"""
+
+
 ORACLE_SQL = {
     "digitized": f"""WITH {SEQS_SQL} SELECT seq_id, array_to_string(list_transform(string_split(seq, ''),
   lambda c: (strpos('ACGU-RYMKSWHBVDN*~', c) - 1)::VARCHAR), ',') AS codes, seq AS text FROM seqs WHERE len(seq) > 0""",
@@ -196,20 +216,10 @@ ORACLE_SQL = {
     len(list_filter(k.kept, lambda y: y.lo <= r.hi AND r.lo <= y.hi)) = 0
   FROM k JOIN r ON k.seq_id = r.seq_id AND k.strand = r.strand AND r.rank = k.rank + 1)
   SELECT seq_id, strand, lo, hi, score, hit_id, sub_id FROM r JOIN k USING (seq_id, strand, rank) WHERE stays""",
-    "search": f"""WITH RECURSIVE {SEQS_SQL}, s AS (SELECT *, len(seq) AS l FROM seqs WHERE len(seq) >= 12),
-  z AS (SELECT 2e0 * sum(l) AS z FROM s),
-  p AS (SELECT seq_id, seq, unnest(range(1, l - 10)) AS lo FROM s),
-  w AS (SELECT seq_id, '+' AS strand, lo, substr(seq, lo, 12) AS w FROM p
-        UNION ALL SELECT seq_id, '-', lo, reverse(translate(substr(seq, lo, 12), 'ACGU', 'UGCA')) FROM p),
-  h AS (SELECT seq_id, strand, lo, lo + 11 AS hi, ({" + ".join(f"CASE WHEN substr(w, {k + 1}, 1) = '{r}' THEN 2 ELSE -1 END" for k, r in enumerate(PROFILE))})::INT AS score FROM w),
-  e AS (SELECT h.*, CASE WHEN score < {MU} THEN 1e0 ELSE exp(-{LAMBDA}::DOUBLE * (score - {MU}::DOUBLE)) END * (z / {DBSIZE}::DOUBLE * {NHITS}) AS evalue FROM h, z WHERE score >= 6),
-  r AS (SELECT *, row_number() OVER (PARTITION BY seq_id, strand ORDER BY score DESC, lo) AS rank FROM e WHERE evalue <= {REPORT}),
-  k AS (SELECT seq_id, strand, 0::BIGINT AS rank, []::STRUCT(lo BIGINT, hi BIGINT)[] AS kept, false AS stays FROM r GROUP BY ALL
-  UNION ALL SELECT k.seq_id, k.strand, r.rank,
-    CASE WHEN len(list_filter(k.kept, lambda y: y.lo <= r.hi AND r.lo <= y.hi)) = 0 THEN list_append(k.kept, {{'lo': r.lo, 'hi': r.hi}}) ELSE k.kept END,
-    len(list_filter(k.kept, lambda y: y.lo <= r.hi AND r.lo <= y.hi)) = 0
-  FROM k JOIN r ON k.seq_id = r.seq_id AND k.strand = r.strand AND r.rank = k.rank + 1)
-  SELECT seq_id, strand, lo, hi, score, round(evalue, 6) AS evalue, (evalue <= {INCLUDE})::INT AS included FROM r JOIN k USING (seq_id, strand, rank) WHERE stays""",
+    "search": _search_sql(),
+    "emission_totals": f"""WITH {SEQS_SQL}, p(model, k, residue, score) AS (VALUES {", ".join(f"('{m['name']}', {k}, '{r}', {2 if r == x else -1})" for m in MODELS for k, x in enumerate(m["consensus"]) for r in "ACGU")}),
+  c AS (SELECT seq_id, residue, count(*) AS n FROM (SELECT seq_id, unnest(string_split(seq, '')) AS residue FROM seqs) GROUP BY ALL)
+  SELECT seq_id, model, sum(n * score)::BIGINT AS total, max(score) AS best FROM c JOIN p USING (residue) GROUP BY ALL""",
     "clan_lookup": f"""WITH {HITS_SQL} SELECT s_nationkey AS model, coalesce(n_regionkey, -1) AS clan, count(*) AS n, max(score) AS best
   FROM hits JOIN supplier ON s_suppkey = seq_id LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON n_nationkey = s_nationkey GROUP BY ALL""",
     "score_histogram": "SELECT event_type, ceil(round(value * 100) / 1000 - 1)::BIGINT AS bin, count(*) AS n FROM events GROUP BY ALL",
