@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def tile(seqs: DataFrame, step: int, context: int) -> DataFrame:
-    """Windows of `step` new residues with `context` residues before them, on both strands; 1-based, inclusive."""
+    """Windows of `step` new residues with `context` residues before them, on both strands; 1-based, inclusive. Their residues
+    are cut out only where they are asked for."""
     ws = F.explode(F.sequence(F.lit(1), F.col("len"), F.lit(step)))
     tiles = seqs.filter("len > 0").select("seq_id", "seq", "len", ws.alias("core"))
     tiles = tiles.withColumns({"ws": F.greatest(F.lit(1), F.col("core") - context), "we": F.least("len", F.col("core") + (step - 1))})
@@ -15,13 +19,9 @@ def tile(seqs: DataFrame, step: int, context: int) -> DataFrame:
 
 
 def merge_overlapping(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Islands of overlapping intervals within keys, with the number of intervals of each."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    new = F.coalesce(F.col(start) > F.max(end).over(before), F.lit(True)).cast("int")
-    marked = rows.withColumn("__new", new)
-    numbered = marked.withColumn("island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("island")
+    """Islands of overlapping intervals within keys, with the number of intervals of each; merge_by_share asks for more than a touch."""
+    numbered = _islands(rows, keys, start, end)
+    return numbered.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
 
 
 def split_long(rows: DataFrame, width: int, start: str, end: str) -> DataFrame:
@@ -31,19 +31,31 @@ def split_long(rows: DataFrame, width: int, start: str, end: str) -> DataFrame:
     return out.withColumn("piece_end", F.when(F.col(end) - F.col(start) + 1 > 2 * width, F.least(F.col(end), F.col("piece") + (2 * width - 1))).otherwise(F.col(end)))
 
 
-def remove_overlaps(rows: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
+def remove_overlaps(rows: DataFrame, keys: list[str], order: list[Column], columns: list[str], islands: int = 256) -> DataFrame:
     """Greedy removal: by rank, a row goes if it overlaps a better one that stays. columns hold lo, hi and what to keep.
 
-    Rows are first cut into islands that touch each other, so that a fold never sees more than one island.
+    Rows are first cut into islands that touch each other; a task takes so many islands at one time. The rows that stay are
+    kept in order of place, so that a row looks at its two neighbours only.
     """
-    by_place = Window.partitionBy(*keys).orderBy("lo", "hi")
-    new = F.coalesce(F.col("lo") > F.max("hi").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    islands = rows.withColumn("__new", new).withColumn("__island", F.sum("__new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = islands.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, "__island").orderBy(*order)))
-    item = F.struct(F.col("__rank").alias("rank"), *columns)
-    gathered = ranked.groupBy(*keys, "__island").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda a, x: F.when(F.exists(a, lambda y: (y["lo"] <= x["hi"]) & (x["lo"] <= y["hi"])), a).otherwise(F.concat(a, F.array(x))))
-    return gathered.select(*keys, F.explode(kept).alias("k")).select(*keys, *(F.col(f"k.{c}").alias(c) for c in columns))
+    placed = _islands(rows, keys, "lo", "hi")
+    ranked = placed.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, "__island").orderBy(*order)))
+    dealt = ranked.select(*keys, *columns, "__rank", "__island", F.expr(f"__island div {islands}").alias("__part"))
+
+    def greedy(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["__island", "__rank"], ignore_index=True)
+        starts, ends, stays, now = [], [], [], None
+        for island, lo, hi in zip(group["__island"].tolist(), group["lo"].tolist(), group["hi"].tolist(), strict=True):
+            if island != now:
+                starts, ends, now = [], [], island
+            at = bisect_right(starts, hi)
+            free = at == 0 or ends[at - 1] < lo
+            stays.append(free)
+            if free:
+                starts.insert(at, lo)
+                ends.insert(at, hi)
+        return group.loc[stays, [*keys, *columns]]
+
+    return dealt.groupBy(*keys, "__part").applyInPandas(greedy, dealt.select(*keys, *columns).schema)
 
 
 def mark_overlaps(rows: DataFrame, keys: list[str], order: list[Column], width: int) -> DataFrame:
@@ -90,7 +102,7 @@ def merge_by_share(rows: DataFrame, keys: list[str], start: str, end: str, share
         return F.when(F.size(kept) == 0, F.array(x)).when(common / shorter > share, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(whole))).otherwise(F.concat(kept, F.array(x)))
 
     kept = F.aggregate("all", F.slice("all", 1, 0), step)
-    return folded.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.lo").alias(start), F.col("k.hi").alias(end))
+    return folded.select(*keys, F.explode(kept).alias("__k")).select(*keys, F.col("__k.lo").alias(start), F.col("__k.hi").alias(end))
 
 
 def _islands(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -64,7 +64,7 @@ def score_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def windows(spark: SparkSession, d: str) -> DataFrame:
     tiles = intervals.tile(tables.sequences(spark, d), 500, 50)
-    return tiles.select("seq_id", "strand", "core", "ws", "we", F.length("window").alias("n"))
+    return tiles.select("seq_id", "strand", "core", "ws", "we", (F.col("we") - F.col("ws") + 1).alias("n"))
 
 
 def merged_windows(spark: SparkSession, d: str) -> DataFrame:
