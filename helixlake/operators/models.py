@@ -59,6 +59,18 @@ def summary(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("model").agg(F.count("*").alias("nodes"), F.sum(number).alias("states"), F.sum(columns).alias("clen"), count("MATP").alias("pairs"), count("BIF").alias("bifurcations"))
 
 
+def emit_map(nodes: DataFrame) -> DataFrame:
+    """(model, nd, node, lpos, rpos): the consensus positions that each node of a model without bifurcations covers, from the
+    left one it emits or has emitted to its left, to the right one it emits or the one before what was emitted to its right."""
+    order = Window.partitionBy("model").orderBy("nd")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    left, right = F.col("node").isin("MATP", "MATL").cast("long"), F.col("node").isin("MATP", "MATR").cast("long")
+    clen = F.sum(left + right).over(Window.partitionBy("model"))
+    lpos = F.coalesce(F.sum(left).over(before), F.lit(0)) + left
+    rpos = clen + 1 - F.coalesce(F.sum(right).over(before), F.lit(0)) - right
+    return nodes.select("model", "nd", "node", lpos.alias("lpos"), rpos.alias("rpos"))
+
+
 def local_begins(nodes: DataFrame, internal: float) -> DataFrame:
     """(model, nd, p): the first node is entered unless one of the later nodes that match or split is, all of them alike."""
     starts = F.col("node").isin("MATP", "MATL", "MATR", "BIF") & (F.col("nd") > 1)

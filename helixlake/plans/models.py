@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixlake.functions import alphabet as ab
 from helixlake.operators import columns, models
 from helixlake.sources import tables
 from helixlake.sources.tables import SEQS_SQL
@@ -91,7 +92,48 @@ def weighted_counts(spark: SparkSession, d: str) -> DataFrame:
     return counted.groupBy("aln_id", "residue").agg(F.round(F.sum("c"), 5).alias("count"))
 
 
-QUERIES = {f.__name__: f for f in (model_states, model_summary, state_counts, local_begins, matrix_sizes, base_pairs, bias_null, random_numbers, model_files, calibrated_tails, weighted_counts)}
+def emit_map(spark: SparkSession, d: str) -> DataFrame:
+    return models.emit_map(_nodes(spark, d))
+
+
+def _column_shares(spark: SparkSession, d: str) -> DataFrame:
+    """(aln_id, apos, residue, share) of the canonical residues of consensus columns."""
+    aln = tables.alignments(spark, d)
+    counts = columns.counts(aln).filter(F.col("residue").isin("A", "C", "G", "U")).join(columns.consensus_columns(aln), ["aln_id", "apos"], "left_semi")
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("aln_id", "apos")))
+
+
+def consensus_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest residue of each consensus column (the first of equals), in capitals where it carries a bit or more."""
+    best = _column_shares(spark, d).groupBy("aln_id", "apos").agg(F.max_by(F.struct("residue", "share"), F.struct("share", F.translate("residue", "ACGU", "4321"))).alias("b"))
+    letter = F.when(F.log2(F.col("b.share") / 0.25) >= 1.0, F.col("b.residue")).otherwise(F.lower("b.residue"))
+    rows = best.select("aln_id", F.struct("apos", letter.alias("c")).alias("x")).groupBy("aln_id").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    return rows.select("aln_id", F.size("all").alias("n"), F.array_join(F.transform("all", lambda x: x["c"]), "").alias("consensus"))
+
+
+def row_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of each row against its columns' residues in bits, and the mean of its posterior codes, here the residues' shares."""
+    cells = columns.residues(tables.alignments(spark, d)).join(_column_shares(spark, d), ["aln_id", "apos", "residue"])
+    bits, code = F.log2(F.col("share") / 0.25), ab.posterior_code(F.col("share"))
+    return cells.groupBy("aln_id", "seq_id").agg(F.count("*").alias("n"), F.round(F.sum(bits), 5).alias("score"), F.round(F.avg(ab.mean_of_code(code)), 5).alias("pp"))
+
+
+def transition_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How often rows go from a match or a gap to a match or a gap between neighbouring consensus columns.
+
+    Rows are residues up to their end, so that a row leaves its matches once at most.
+    """
+    aln = tables.alignments(spark, d)
+    order = Window.partitionBy("aln_id").orderBy("apos")
+    steps = columns.consensus_columns(aln).withColumn("next", F.lead("apos").over(order)).filter("next is not null")
+    nseq = columns.shapes(aln).select("aln_id", "nseq")
+    held = columns.residues(aln).groupBy("aln_id", "apos").agg(F.count("*").alias("held"))
+    after = held.select("aln_id", F.col("apos").alias("next"), F.col("held").alias("stay"))
+    found = steps.join(held, ["aln_id", "apos"]).join(after, ["aln_id", "next"]).join(nseq, "aln_id")
+    return found.groupBy("aln_id").agg(F.sum("stay").alias("mm"), F.sum(F.col("held") - F.col("stay")).alias("md"), F.sum(F.col("nseq") - F.col("held")).alias("dd"))
+
+
+QUERIES = {f.__name__: f for f in (model_states, model_summary, state_counts, local_begins, matrix_sizes, base_pairs, bias_null, random_numbers, model_files, calibrated_tails, weighted_counts, emit_map, consensus_rows, row_scores, transition_counts)}
 
 _NODES = """nodes AS (SELECT p_partkey AS model, unnest(k) AS node, (generate_subscripts(k, 1) - 1)::INT AS nd FROM (SELECT p_partkey, ['ROOT'] || list_transform(range(p_size % 7), lambda x: 'MATP')
   || list_transform(range(p_partkey % 5 + 1), lambda x: 'MATL') || list_transform(range(p_partkey % 3), lambda x: 'MATR') || ['END'] AS k FROM part))"""
@@ -138,4 +180,24 @@ def _weighted_sql() -> str:
   SELECT c.aln_id, residue, round(sum(weight), 5) AS count FROM cells c JOIN wt USING (aln_id, seq_id) JOIN cons USING (aln_id, apos) WHERE residue IN ('A', 'C', 'G', 'U') GROUP BY ALL"""
 
 
-ORACLE_SQL["weighted_counts"] = _weighted_sql()
+def _share_sql() -> str:
+    from helixlake.plans import alignments
+
+    return alignments._CONSENSUS + """, share AS (SELECT aln_id, apos, residue, n::DOUBLE / sum(n) OVER (PARTITION BY aln_id, apos) AS share FROM counts SEMI JOIN cons USING (aln_id, apos) WHERE residue IN ('A', 'C', 'G', 'U'))"""
+
+
+ORACLE_SQL |= {
+    "weighted_counts": _weighted_sql(),
+    "emit_map": f"""WITH {_NODES}, n AS (SELECT model, nd, node, (node IN ('MATP', 'MATL'))::BIGINT AS l, (node IN ('MATP', 'MATR'))::BIGINT AS r FROM nodes)
+  SELECT model, nd, node, (sum(l) OVER w)::BIGINT AS lpos, (sum(l + r) OVER (PARTITION BY model) + 1 - sum(r) OVER w)::BIGINT AS rpos FROM n WINDOW w AS (PARTITION BY model ORDER BY nd)""",
+    "consensus_rows": _share_sql()
+    + """, b AS (SELECT aln_id, apos, residue, share, row_number() OVER (PARTITION BY aln_id, apos ORDER BY share DESC, residue) AS k FROM share)
+  SELECT aln_id, count(*)::INT AS n, string_agg(CASE WHEN log2(share / 0.25e0) >= 1 THEN residue ELSE lower(residue) END, '' ORDER BY apos) AS consensus FROM b WHERE k = 1 GROUP BY ALL""",
+    "row_scores": _share_sql()
+    + """ SELECT aln_id, seq_id, count(*) AS n, round(sum(log2(share / 0.25e0)), 5) AS score, round(avg(CASE WHEN share + 0.05e0 >= 1 THEN 0.975e0 WHEN floor((share + 0.05e0) * 10) = 0 THEN 0.025e0 ELSE floor((share + 0.05e0) * 10) / 10 END), 5) AS pp
+  FROM cells JOIN share USING (aln_id, apos, residue) GROUP BY ALL""",
+    # Every row at every step between neighbouring consensus columns.
+    "transition_counts": _share_sql()
+    + """, p AS (SELECT aln_id, apos, lead(apos) OVER (PARTITION BY aln_id ORDER BY apos) AS q FROM cons)
+  SELECT aln_id, count(*) FILTER (len(row) >= q) AS mm, count(*) FILTER (len(row) >= apos AND len(row) < q) AS md, count(*) FILTER (len(row) < apos) AS dd FROM p JOIN aln USING (aln_id) WHERE q IS NOT NULL GROUP BY ALL""",
+}
