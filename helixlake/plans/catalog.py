@@ -19,7 +19,7 @@ MODELS = [
     {"name": "loop", "consensus": "ACGUUGCAAC", "mu": 3.5, "lambda": 0.8},
     {"name": "tail", "consensus": "UUUUCCGGAAUUGC", "mu": 4.5, "lambda": 0.8},
 ]
-REPORT, INCLUDE = 3000.0, 300.0
+REPORT, INCLUDE = 20000.0, 2000.0
 
 
 def digitized(spark: SparkSession, d: str) -> DataFrame:
