@@ -1,17 +1,22 @@
-"""Personal data in texts, with built-in functions only.
+"""Personal data and secrets in texts, with built-in functions only.
 
-Regular expressions propose spans; validators confirm them (the Luhn sum for cards, mod 97 for IBANs, ranges
-for addresses, digit counts for phones); context words in the neighbourhood raise the score. The four base
-kinds are always kept, whatever their score; the added kinds are kept from `min_score` on, which an
-IBAN reaches by its checksum and a social security number only beside a context word.
+Regular expressions propose spans; validators confirm them (the Luhn sum for cards, mod 97 and the country's length for IBANs,
+ranges for addresses and social security numbers, digit counts for phones, the mix of letters and digits for secrets); context
+words of four languages in the neighbourhood raise the score. The four base kinds are always kept, whatever their score;
+the added kinds are kept from `min_score` on, which an IBAN reaches by its checksum, a social security number or a secret (a
+token, key or password) only beside a context word.
 
 All expressions are linear in the text but for folding the matches of one kind in one text. Defined
 results: a null or empty text has no spans; matches of one kind don't overlap (leftmost first); spans of
-different kinds may; texts are read whole; repeated rows are repeated; other columns are not touched.
+different kinds may; texts are read whole; repeated rows are repeated. `find` replaces a column of the name that it
+adds; `redact` adds none, and no other column is touched.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,20 +36,24 @@ IBAN_LENGTHS = {
 }
 _KNOWN = [rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()]
 # A known country's IBAN ends at its length, so that words after it stay out; of other countries the length is not known.
-_OTHER = rf"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
-IBAN = rf"(?<![A-Za-z0-9])(?:{'|'.join([*_KNOWN, _OTHER])})(?![A-Za-z0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-#: Kinds in the order of output, what a text must hold to be searched, and words that raise a score.
+_OTHER = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+_APART, _ENDS = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+IBAN = f"{_APART}(?:{'|'.join([*_KNOWN, _OTHER])}){_ENDS}"
+SSN = f"{_APART}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_ENDS}"
+SECRET = f"{_APART}[A-Za-z0-9_]{{20,}}+"
+#: Kinds in the order of output, what a text must hold to be searched, and the starts of words that raise a
+#: score, in English, French, German and Spanish.
 KINDS = {
-    "email": (EMAIL, "@", "mail|contact|write"),
-    "ip": (IP, r"[0-9]\.[0-9]", "ip|address|host|server"),
-    "card": (CARD, r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "card|visa|mastercard|credit|payment"),
-    "phone": (PHONE, r"\+[0-9]", "phone|call|tel|mobile|fax"),
-    "iban": (IBAN, "[A-Z]{2}[0-9]{2}", "iban|account|bank|transfer"),
-    "ssn": (SSN, "[0-9]-[0-9]", "ssn|social security"),
+    "email": (EMAIL, "@", "mail|contact|write|courriel|kontakt|schreib|correo|contacto"),
+    "ip": (IP, r"[0-9]\.[0-9]", "ip|address|host|server|adresse|serveur|dirección|servidor"),
+    "card": (CARD, r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "card|visa|mastercard|credit|payment|carte|paiement|karte|zahlung|tarjeta|pago"),
+    "phone": (PHONE, r"\+[0-9]", "phone|call|tel|mobile|fax|appel|portable|anruf|handy|llama|móvil"),
+    "iban": (IBAN, "[A-Z]{2}[0-9]{2}", "iban|account|bank|transfer|compte|banque|virement|konto|überweis|cuenta|banco"),
+    "ssn": (SSN, "[0-9]-[0-9]", "ssn|social security|sécurité sociale|sozialversicherung|seguridad social"),
+    "secret": (SECRET, "[A-Za-z0-9_]{20}", "token|secret|password|passwd|pwd|api|auth|bearer|access|private|credential|key|jeton|mot de passe|clé|passwort|kennwort|schlüssel|geheim|contraseña|clave"),
 }
 BASE = ("email", "ip", "card", "phone")
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 #: Code points on either side of a span in which context words count, and what they add to the score.
 NEARBY, CONTEXT = 40, 0.3
 SPAN = "array<struct<start:int,end:int,match:string>>"
@@ -76,7 +85,16 @@ def valid(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.length(digits(m)).between(9, 15)
     if kind == "iban":
-        return F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(m, F.lit(" "), F.lit("")))
+        plain, country = F.replace(m, F.lit(" "), F.lit("")), F.substring(m, 1, 2)
+        right = [country.isin(*c.split()) & (F.length(plain) == n) for n, c in IBAN_LENGTHS.items()]
+        known = country.isin(*" ".join(IBAN_LENGTHS.values()).split())
+        return F.when(known, functools.reduce(operator.or_, right)).otherwise(F.length(plain).between(15, 34)) & mod97(plain)
+    if kind == "ssn":
+        return ~F.substring(m, 1, 3).isin("000", "666") & (F.substring(m, 1, 1) != "9") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
+    if kind == "secret":
+        # Words and names have few digits, numbers few letters, dates and versions few borders between the two.
+        borders = F.length(F.regexp_replace(F.regexp_replace(m, "[0-9]++", "0"), "[^0]", ""))
+        return (F.length(m) <= 512) & (F.length(digits(m)) >= 3) & (F.length(F.regexp_replace(m, "[^A-Za-z]", "")) >= 3) & (borders >= 3)
     return F.lit(True)
 
 
@@ -98,7 +116,7 @@ def matches(kind: str, text: Column) -> Column:
 
 def _kept(kind: str, whole: Column, min_score: float) -> Column:
     """The validated and scored spans of one kind."""
-    near = rf"\b(?:{KINDS[kind][2]})"
+    near = rf"(?:^|[^a-z0-9])(?:{KINDS[kind][2]})"
 
     def scored(s: Column) -> Column:
         around = F.substring(whole, F.greatest(F.lit(1), s["start"] + 1 - NEARBY), s["end"] - F.greatest(F.lit(0), s["start"] - NEARBY) + NEARBY)
@@ -109,19 +127,19 @@ def _kept(kind: str, whole: Column, min_score: float) -> Column:
     return kept if kind in BASE else F.filter(kept, lambda s: s["score"] >= min_score)
 
 
-def find(docs: DataFrame, *, text: str = "text", min_score: float = 0.5) -> DataFrame:
-    """Add `pii`: array of (kind, start, end, score), by kind as listed and then by start; end is exclusive."""
+def find(docs: DataFrame, *, text: str = "text", min_score: float = 0.5, out: str = "pii") -> DataFrame:
+    """Add `out`: array of (kind, start, end, score), by kind as listed and then by start; end is exclusive."""
     whole = F.coalesce(F.col(text), F.lit(""))
     # Each kind's matches are a column of their own, so that no expression is computed twice.
-    out = docs.withColumns({f"__pii_{k}": matches(k, whole) for k in KINDS})
+    proposed = docs.withColumns({f"__pii_{k}": matches(k, whole) for k in KINDS})
     kinds = [_kept(k, whole, min_score) for k in KINDS]
-    return out.withColumn("pii", F.concat(*kinds)).drop(*(f"__pii_{k}" for k in KINDS))
+    return proposed.withColumn(out, F.concat(*kinds)).drop(*(f"__pii_{k}" for k in KINDS))
 
 
 def redact(docs: DataFrame, *, text: str = "text", min_score: float = 0.5) -> DataFrame:
     """Put `[kind]` in the place of every span of a text; of overlapping spans the first gives the name."""
-    found = find(docs, text=text, min_score=min_score)
-    spans = F.array_sort(F.col("pii"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    found = find(docs, text=text, min_score=min_score, out="__pii")
+    spans = F.array_sort(F.col("__pii"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(a: Column, s: Column) -> Column:
@@ -130,7 +148,7 @@ def redact(docs: DataFrame, *, text: str = "text", min_score: float = 0.5) -> Da
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["done"]).alias("done"))
 
     rest = lambda a: F.concat(a["done"], F.substring(F.col(text), a["at"] + 1, F.length(text)))
-    return found.withColumn(text, F.when(F.size("pii") > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col(text))).drop("pii")
+    return found.withColumn(text, F.when(F.size("__pii") > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col(text))).drop("__pii")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,4 +156,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    added = [k for k in KINDS if k not in BASE]
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), *map(count, added), F.size("pii").cast("long").alias("n_spans"))

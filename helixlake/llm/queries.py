@@ -9,10 +9,13 @@ from helixlake.llm.minhash import op2_minhash
 from helixlake.llm.packing import op6_packing
 from helixlake.llm.pii import op5_pii
 from helixlake.llm.spotsigs import op7_spotsigs
+from helixlake.llm.sql import ORACLE_SQL
 from helixlake.llm.suffixes import op9_suffixes
 from helixlake.llm.vectors import op8_vectors
 from helixlake.llm.warc import op10_warc
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_minhash": op2_minhash,
@@ -25,22 +28,3 @@ QUERIES = {
     "op9_suffixes": op9_suffixes,
     "op10_warc": op10_warc,
 }
-
-ORACLE_SQL = {
-    # Base 32 of a SHA-1: five bits of its 160 at a time.
-    "op10_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-     d AS (SELECT page_id, octet_length(encode(h)) AS n,
-                  array_to_string(list_transform(string_split(sha1(h), ''), lambda c: substr(
-                    '0000000100100011010001010110011110001001101010111100110111101111',
-                    4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS bits FROM p),
-     e AS (SELECT page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                    1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT
-                      + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT
-                      + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS digest FROM d),
-     m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS newest FROM e)
-SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
-       CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> newest THEN newest END AS refers_to
-FROM m""",
-}
