@@ -13,6 +13,8 @@ row. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,18 +91,24 @@ def with_next(docs: DataFrame, *, per_bucket: int = PER_BUCKET) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, threshold: float = 0.75, *, id_col: str = "doc_id", sigs: str = "sigs") -> DataFrame:
-    """Pairs (a < b, similarity) of distinct fingerprints with at least that likeness; copies are joined by `sigs`.
+    """Pairs (a < b, similarity) of distinct fingerprints with at least that likeness, each named by its smallest id; copies are joined by `sigs`.
 
-    Sets are partitioned by length: at likeness t a set of n can only match sets of n*t to n/t, and shares one of
-    the floor(n - n*t) + 1 rarest signatures, which alone are joined. One row stands for equal sets.
+    Sets are partitioned by length: partition p holds the sizes from t^-p up to t^-(p+1), so that a set can only match sets of
+    its own partition and its two neighbours, and visits the one above. Within a partition only the floor(n - n*t) + 1 rarest
+    signatures of a set are joined, one of which two matches must share; those of several sets are told from others first.
     """
     sets = saved(prints.groupBy(sigs).agg(F.min(id_col).alias("id")).select("id", F.col(sigs).alias("s"), F.size(sigs).alias("n")))
     rarity = saved(sets.select(F.explode("s").alias("sig")).groupBy("sig").agg(F.count("*").alias("df")))
     each = sets.select("id", "n", F.explode("s").alias("sig")).join(rarity, "sig")
     rarest = Window.partitionBy("id").orderBy("df", "sig")
     keys = each.withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= F.floor(F.col("n") * (1 - threshold)) + 1).filter("df > 1")
-    a, b = keys.select("sig", F.col("id").alias("a"), F.col("n").alias("na")), keys.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "sig").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    # A thousandth more keeps sizes at a border on the safe side: they visit one partition too many.
+    part = F.floor(F.log("n") / -math.log(threshold) * 1.001).cast("int")
+    home = saved(keys.select("sig", "id", "n", part.alias("part")))
+    visits = home.withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
+    a, b = visits.select("sig", "part", F.col("id").alias("a"), F.col("n").alias("na")), home.select("sig", "part", F.col("id").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, ["sig", "part"]).filter((F.col("a") != F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     return pairs.join(left, "a").join(right, "b").withColumn("similarity", likeness(F.col("sa"), F.col("sb"))).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
