@@ -5,29 +5,37 @@ maximum over the window goes to a softmax. A text's prediction is the mean of it
 probabilities, weighted by their lengths. All windows of all texts are scored, in batches; texts are never shortened.
 
 Training uses a bounded sample: about `per_language` labelled texts of each language (by a hash of their ids, so
-the same ones at every run) and at most `windows` windows of each. That bound is a parameter; nothing else is
-sampled. The trained arrays (a few kilobytes) travel with the task.
+the same ones at every run) and at most `windows` windows of each, which the executors cut out of the whole texts; only they
+reach the driver. Those bounds are parameters; more than `languages` different labels are an error. Nothing else is sampled.
+The trained arrays (a few kilobytes) travel with the task. Windows are scored in buffers of fixed size.
 
 Defined results: `und` with score 0 for a null or empty text and one without any letter; with no labelled text at all every
 text is `und`; rows with a null id or language are never learned from; ties go to the language that sorts
-first. Repeated rows have equal predictions. Other columns are not touched.
+first. Repeated rows have equal predictions. Columns that are called `lang_pred` or `score` already are replaced by the
+prediction; no other column is touched.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm._shared import table
+from helixlake.llm._shared import release, slices, small_batches, table
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 12, 8
-LETTER = re.compile(r"[^\W\d_]").search
+RESULT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+#: Windows that are scored together: their buffers take about 10 MB.
+TOGETHER = 128
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def windows_of(text: str) -> np.ndarray:
@@ -58,23 +66,60 @@ class Network:
         hidden = (np.ascontiguousarray(patches).reshape(-1, deep) @ self.filters).reshape(n, places, -1)
         return patches, hidden, hidden.max(1)
 
-    def probabilities(self, batch: np.ndarray) -> np.ndarray:
-        logits = np.maximum(self.pooled(batch)[2] + self.bias, 0) @ self.out + self.out_bias
+    def probabilities(self, top: np.ndarray) -> np.ndarray:
+        """Softmax over the languages, from each filter's maximum."""
+        logits = np.maximum(top + self.bias, 0) @ self.out + self.out_bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], *, windows: int = 4, epochs: int = 8, rate: float = 0.004, seed: int = 7) -> Network:
-    """Adam on cross-entropy over at most `windows` evenly spaced windows of each text, classes weighted equally."""
+class Scorer:
+    """Scores windows of many texts, TOGETHER at a time, in buffers that are made once."""
+
+    def __init__(self, net: Network) -> None:
+        long, deep, total = WINDOW + max(WIDTHS) - 1, max(WIDTHS) * EMBEDDING, len(net.bias)
+        self.net, self.n = net, 0
+        self.windows = np.zeros((TOGETHER, long), np.uint8)
+        self.owner, self.size = np.zeros(TOGETHER, np.int64), np.zeros(TOGETHER)
+        self.embedded = np.zeros((TOGETHER, long, EMBEDDING), np.float32)
+        self.patches = np.zeros((TOGETHER, WINDOW, deep), np.float32)
+        self.hidden = np.zeros((TOGETHER, WINDOW, total), np.float32)
+        step = self.embedded.strides
+        self.sliding = np.lib.stride_tricks.as_strided(self.embedded, self.patches.shape, (step[0], step[1], step[2]))
+
+    def add(self, text: str, owner: int, sums: np.ndarray) -> None:
+        """Put a text's windows in line; full buffers are scored into sums[owner]."""
+        windows, at = windows_of(text), 0
+        while at < len(windows):
+            some = min(TOGETHER - self.n, len(windows) - at)
+            to = slice(self.n, self.n + some)
+            self.windows[to], self.owner[to] = windows[at : at + some], owner
+            self.size[to] = (self.windows[to, :WINDOW] != 0).sum(1)
+            self.n, at = self.n + some, at + some
+            if self.n == TOGETHER:
+                self.flush(sums)
+
+    def flush(self, sums: np.ndarray) -> None:
+        n, self.n = self.n, 0
+        if n:
+            np.take(self.net.embed, self.windows[:n], axis=0, out=self.embedded[:n], mode="clip")
+            np.copyto(self.patches[:n], self.sliding[:n])
+            np.matmul(self.patches[:n], self.net.filters, out=self.hidden[:n])
+            np.add.at(sums, self.owner[:n], self.net.probabilities(self.hidden[:n].max(1)) * self.size[:n, None])
+
+
+def spread(text: str, windows: int = 4) -> np.ndarray:
+    """At most `windows` evenly spaced windows of a whole text."""
+    w = windows_of(text)
+    return w[np.unique(np.linspace(0, len(w) - 1, windows).astype(int))]
+
+
+def train(samples: list[np.ndarray], labels: list[str], *, epochs: int = 8, rate: float = 0.004, seed: int = 7) -> Network:
+    """Adam on cross-entropy over the windows of each text, classes weighted equally."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
-    data, target = [], []
-    for t, lang in zip(texts, labels, strict=True):
-        w = windows_of(t)
-        w = w[np.unique(np.linspace(0, len(w) - 1, windows).astype(int))]
-        data.append(w)
-        target += [languages.index(lang)] * len(w)
-    x, y = np.concatenate(data), np.array(target)
+    target = [languages.index(lang) for w, lang in zip(samples, labels, strict=True) for _ in range(len(w))]
+    x, y = np.concatenate(samples), np.array(target)
     weight = (len(y) / len(languages) / np.bincount(y, minlength=len(languages)))[y].astype(np.float32)
     total, deep = FILTERS * len(WIDTHS), max(WIDTHS) * EMBEDDING
     mask = np.repeat(np.array([[1.0 if k < w else 0.0 for w in WIDTHS for _ in range(FILTERS)] for k in range(max(WIDTHS))], np.float32), EMBEDDING, 0)
@@ -111,55 +156,62 @@ def train(texts: list[str], labels: list[str], *, windows: int = 4, epochs: int
     return net
 
 
-def sample(labelled: DataFrame, per_language: int, languages: int = 1000) -> list:
-    """About per_language rows of each of the (at most `languages`, commonest) languages, by a hash of their ids; of a text, its first 100,000 code points."""
+def sample(labelled: DataFrame, per_language: int, windows: int, languages: int = 1000) -> list:
+    """(lang, doc_id, windows) of about per_language rows of each language with a letter in their text, by a hash of their ids."""
+    long = WINDOW + max(WIDTHS) - 1
+
+    @F.pandas_udf("binary")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: spread(t, windows).tobytes() if has_letter(t) else None)
+
     labelled = labelled.filter("text is not null and lang is not null and doc_id is not null")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    counts = labelled.groupBy("lang").count().limit(languages + 1).collect()
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages")
+    if not counts:
+        return []
     # One row for each language; the share of its rows that the bound lets in.
-    share = F.broadcast(counts.select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share")))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])))
     hashed = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")) / F.lit(2.0**63) + 1) / 2
-    chosen = labelled.join(share, "lang").filter(hashed < F.col("share"))
-    return sorted(chosen.select("lang", "doc_id", F.substring("text", 1, 100_000).alias("text")).collect())
+    chosen = labelled.filter(hashed < F.element_at(share, F.col("lang"))).select("lang", "doc_id", cut("text").alias("w")).filter("w is not null")
+    return sorted((r["lang"], r["doc_id"], np.frombuffer(bytes(r["w"]), np.uint8).reshape(-1, long).tobytes()) for r in chosen.collect())
 
 
-def fit(labelled: DataFrame, *, per_language: int = 500, **options) -> Network | None:
+def fit(labelled: DataFrame, *, per_language: int = 500, windows: int = 4, **options) -> Network | None:
     """The network trained on a bounded sample of labelled rows; None if there is none."""
-    rows = [r for r in sample(labelled, per_language) if LETTER(r.text)]
-    return train([r.text for r in rows], [r.lang for r in rows], **options) if rows else None
+    rows = sample(labelled, per_language, windows)
+    long = WINDOW + max(WIDTHS) - 1
+    return train([np.frombuffer(w, np.uint8).reshape(-1, long) for _, _, w in rows], [lang for lang, _, _ in rows], **options) if rows else None
+
+
+def classified(texts: list[str | None], scorer: Scorer | None) -> pa.Array:
+    sums = np.zeros((len(texts), len(scorer.net.languages) if scorer else 1))
+    known = np.zeros(len(texts), bool)
+    for i, t in enumerate(texts):
+        if scorer and t and has_letter(t):
+            known[i] = True
+            scorer.add(t, i, sums)
+    if scorer:
+        scorer.flush(sums)
+    p = sums / np.maximum(sums.sum(1, keepdims=True), 1e-12)
+    names = [scorer.net.languages[b] if k else "und" for b, k in zip(p.argmax(1), known, strict=True)] if scorer else ["und"] * len(texts)
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(known, p.max(1), 0.0))], fields=list(RESULT))
 
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     """Add lang_pred and score of every whole text; one pass, no shuffle."""
-
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            sums = np.zeros((len(texts), len(net.languages) if net else 1))
-            held, owner, size, count = [], [], [], 0
-
-            def score(sums=sums, held=held, owner=owner, size=size) -> None:
-                if held:
-                    np.add.at(sums, np.concatenate(owner), net.probabilities(np.concatenate(held)) * np.concatenate(size)[:, None])
-                    held.clear(), owner.clear(), size.clear()
-
-            known = np.zeros(len(texts), bool)
-            for i, t in enumerate(texts):
-                if net is None or not t or not LETTER(t):
-                    continue
-                known[i], w = True, windows_of(t)
-                for k in range(0, len(w), 256):
-                    part = w[k : k + 256]
-                    held.append(part)
-                    owner.append(np.full(len(part), i))
-                    size.append((part[:, :WINDOW] != 0).sum(1))
-                    count += len(part)
-                    if count >= 256:
-                        score()
-                        count = 0
-            score()
-            p = sums / np.maximum(sums.sum(1, keepdims=True), 1e-12)
-            best = p.argmax(1)
-            yield pd.DataFrame({"lang_pred": [net.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], "score": np.where(known, p.max(1), 0.0)})
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(net) if net else None
+        try:
+            for batch in batches:
+                parts = [classified(part.to_pylist(), scorer) for part in slices([batch])]
+                yield pa.concat_arrays(parts) if parts else pa.array([], RESULT)
+                del batch
+        finally:
+            release()
 
     return docs.withColumn("__lang", classify(F.col(text))).withColumns({"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}).drop("__lang")
 
