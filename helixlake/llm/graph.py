@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm._shared import discard, saved
+from helixlake.llm._shared import HOT_KEYS, HOT_ROWS, discard, joined, saved
 
 
 class Forest:
@@ -29,19 +29,33 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id that it can reach.
 
     Every round each id takes the smallest label among its neighbours and then the label of that label, so paths
-    halve. Labels are written every round; ids with very many neighbours are summed before the shuffle, and
-    labels that very many ids share are an ordinary skewed join. An empty table gives an empty one.
+    halve. Labels are written every round. Ids with very many neighbours, and labels that very many ids share, meet a
+    broadcast table of such ids only. An empty table gives an empty one.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     both = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    labels = saved(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("id"), F.least("a", "m").alias("label"), "n", F.lit(True).alias("changed")))
+    total, degree = labels.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    most = max(HOT_ROWS, total // HOT_KEYS)
     while True:
-        of_b = labels.select(F.col("id").alias("b"), F.col("label").alias("of_b"))
-        near = both.join(of_b, "b").groupBy("a").agg(F.min("of_b").alias("near")).withColumnRenamed("a", "id")
-        stepped = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("to"))
+        # One look at the labels tells whether any changed, and whether one is shared by so many that it needs care.
+        sharing, changed = labels.groupBy("label").agg(F.count("*").alias("k"), F.max("changed").alias("c")).agg(F.max("k"), F.max("c")).first()
+        if not changed:
+            discard(both)
+            return labels.select("id", F.col("label").alias("component"))
+        of_b = labels.select(F.col("id").alias("b"), F.col("label").alias("of_b"), "n")
+        met = joined(both, of_b, "b", "n", total) if degree > most else both.join(of_b.drop("n"), "b")
+        near = met.groupBy(F.col("a").alias("id")).agg(F.min("of_b").alias("near"))
+        stepped = labels.join(near, "id").select("id", "n", F.col("label").alias("old"), F.least("label", "near").alias("to"))
         of_to = labels.select(F.col("id").alias("to"), F.col("label").alias("of_to"))
-        new = saved(stepped.join(of_to, "to").select("id", F.least("to", "of_to").alias("label"), (F.least("to", "of_to") < F.col("old")).alias("changed")))
+        if crowded := 8 * sharing > most:
+            stepped = saved(stepped)
+            jumped = joined(stepped, of_to.join(stepped.groupBy("to").agg(F.count("*").alias("k")), "to"), "to", "k", total)
+        else:
+            jumped = stepped.join(of_to, "to")
+        label = F.least("to", "of_to")
+        new = saved(jumped.select("id", label.alias("label"), "n", (label < F.col("old")).alias("changed")))
         discard(labels)
-        labels = new.select("id", "label")
-        if not new.filter("changed").limit(1).count():
-            return labels.select("id", F.col("label").alias("component"))
+        if crowded:
+            discard(stepped)
+        labels = new

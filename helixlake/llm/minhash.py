@@ -6,7 +6,7 @@ equal sets form a class that one of them stands for. Inverted lists of the retai
 1. every member of a list with the list's smallest member (a star, so a list of n gives n - 1 pairs);
 2. once the verified links of the stars are contracted to components, the pairs of short lists that are
    still in different components;
-3. lists that are still long are compared in tiles, by their sketches and then their full sets; a tile emits the links of a spanning forest.
+3. lists that are still long are compared in tiles, by the same estimate and then their full sets; a tile emits the links of a spanning forest.
 
 Only a sketch's rarest values are listed, as many as linked sketches must have one of in common. So a line that
 very many documents share makes no list, unless documents consist of little else.
@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm._shared import saved, table
+from helixlake.llm._shared import discard, joined, lists, release, saved, slices, small_batches, table
 from helixlake.llm.graph import Forest, connected_components
 
 WORDS, KEPT = 5, 64
@@ -74,33 +75,38 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
 
 
 def _sketches(size: int, kept: int):
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for b in batches:
-                sets = [shingles(t, size) for t in b["text"]]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [s[:kept].astype(np.int64) for s in sets]})
+            for part in slices(batches):
+                sets = [shingles(t, size) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0] + [min(kept, len(s)) for s in sets])
+                sketches = lists(np.concatenate([s[:kept] for s in sets]).astype(np.int64), ends)
+                keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array([len(s) for s in sets], pa.int64()), keys, sketches], ["doc_id", "digest", "n", "key", "sketch"])
         finally:
             # The worker lives on for other stages; its words need not.
             _words.clear()
+            release()
 
     return sketch
 
 
 def _verify(size: int, percent: int):
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of_last = None, None
         try:
-            for b in batches:
-                ok = np.zeros(len(b), bool)
-                for i, (a, ta, tb) in enumerate(zip(b["a"], b["ta"], b["tb"], strict=True)):
+            for part in slices(batches, 64):
+                ok = []
+                for a, ta, tb in zip(*(part.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
                     if a != last:
                         last, of_last = a, shingles(ta, size)
                     other = shingles(tb, size)
                     inter = len(np.intersect1d(of_last, other, assume_unique=True))
-                    ok[i] = 100 * inter >= percent * (len(of_last) + len(other) - inter)
-                yield b.loc[ok, ["a", "b"]]
+                    ok.append(100 * inter >= percent * (len(of_last) + len(other) - inter))
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
         finally:
             _words.clear()
+            release()
 
     return verify
 
@@ -108,7 +114,7 @@ def _verify(size: int, percent: int):
 def _tile(kept: int, least: float, size: int, percent: int):
     def tile(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         """Links of a spanning forest: pairs of different components whose sketches overlap enough, each in the first list
-        that both stand in, verified on full sets unless links found before already join them."""
+        that both stand in, estimated on the union of sketches and verified on full sets unless links found before join them."""
         value, i, j = int(key[0]), int(key[1]), int(key[2])
         group = group.drop_duplicates("id", ignore_index=True)
         ids, part, chunk = group["id"].to_numpy(), group["component"].to_numpy(), group["chunk"].to_numpy()
@@ -130,7 +136,8 @@ def _tile(kept: int, least: float, size: int, percent: int):
             m[rows[at], (np.cumsum(shared) - 1)[code[at]]] = 1
             return m
 
-        held, before = matrix(group["sketch"].tolist()), matrix([x[x < value] for x in group["keys"]])
+        sketches = group["sketch"].tolist()
+        held, before = matrix(sketches), matrix([x[x < value] for x in group["keys"]])
         left = np.flatnonzero(chunk == i)
         right = left if i == j else np.flatnonzero(chunk == j)
         forest, links = Forest(len(ids)), []
@@ -145,6 +152,9 @@ def _tile(kept: int, least: float, size: int, percent: int):
                 for p, q in zip(*(z.tolist() for z in np.nonzero(hit)), strict=True):
                     p, q = int(x[p]), int(right[q])
                     if forest.find(p) != forest.find(q):
+                        union = np.union1d(sketches[p], sketches[q])[:kept]
+                        if len(np.intersect1d(np.intersect1d(sketches[p], sketches[q], assume_unique=True), union, assume_unique=True)) < least * len(union):
+                            continue
                         inter = len(np.intersect1d(full(p), full(q), assume_unique=True))
                         if 100 * inter >= percent * (len(full(p)) + len(full(q)) - inter):
                             forest.link(p, q)
@@ -188,7 +198,9 @@ def links(docs: DataFrame, classes: DataFrame, *, size: int, kept: int, percent:
         likely = saved(both.withColumn("u", union).filter(F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u"))) >= least * F.size("u")).select("a", "b"))
         needed = some_texts(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
         ta, tb = (needed.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        return saved(likely.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(_verify(size, percent), "a long, b long").distinct())
+        found = saved(likely.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(size, percent), "a long, b long").distinct())
+        discard(needed)
+        return found
 
     star = confirmed(held.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     joined = connected_components(star)
@@ -202,24 +214,32 @@ def links(docs: DataFrame, classes: DataFrame, *, size: int, kept: int, percent:
     pairs = a.join(b, "value").filter("a < b and ca <> cb").select("a", "b").distinct()
     lengthy = open_lists.filter(F.col("members") > SHORT).select("value", "id", "component", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
     every = lengthy.groupBy("id").agg(F.collect_set("value").alias("keys"))
-    each = lengthy.join(every, "id").join(classes.select("id", "sketch"), "id").join(some_texts(every.select("id")), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    each = lengthy.join(every, "id").join(classes.select("id", "sketch"), "id").join(long_texts := some_texts(every.select("id")), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     tiles = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("value", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component", "sketch", "keys", "text")
-    rest = tiles.groupBy("value", "i", "j").applyInPandas(_tile(kept, least, size, percent), "a long, b long")
-    return star.unionByName(confirmed(pairs)).unionByName(saved(rest))
+    rest = saved(tiles.groupBy("value", "i", "j").applyInPandas(_tile(kept, least, size, percent), "a long, b long"))
+    discard(long_texts)
+    return star.unionByName(confirmed(pairs)).unionByName(rest)
 
 
 def components(docs: DataFrame, *, size: int = WORDS, kept: int = KEPT, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept, digest) of every row of docs (doc_id, text); the digest is the text's MD5."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketched = saved(docs.mapInPandas(_sketches(size, kept), "doc_id long, n long, key binary, sketch array<long>"))
+    digested = docs.withColumn("digest", F.unhex(F.md5("text")))
+    sketched = saved(digested.mapInArrow(_sketches(size, kept), "doc_id long, digest binary, n long, key binary, sketch array<long>"))
     known = sketched.filter("n > 0 and doc_id is not null")
-    firsts = saved(known.groupBy("key").agg(F.min("doc_id").alias("id")))
-    classes = saved(known.join(firsts, "key").filter("doc_id = id").groupBy("id").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch")))
+    firsts = saved(known.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("members")))
+    classes = known.join(firsts.select("key", F.col("id").alias("doc_id")), ["key", "doc_id"]).groupBy(F.col("doc_id").alias("id"))
+    classes = saved(classes.agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch")))
     parts = connected_components(links(docs, classes, size=size, kept=kept, percent=percent))
-    of_class = saved(firsts.join(parts, "id", "left").select("key", F.coalesce("component", "id").alias("component")))
-    out = sketched.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(of_class, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_class = saved(firsts.join(parts, "id", "left").select("key", F.coalesce("component", "id").alias("component"), "members"))
+    out = sketched.select("doc_id", "digest", "n", "key")
+    # Very many rows may have the same set, and as many none.
+    out = joined(out.filter("n > 0"), of_class, "key", "members", sketched.count(), "left").unionByName(out.filter("n = 0").withColumn("component", F.lit(None).cast("long")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "digest")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "digest")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents"))
+    return components(table(spark, sf_dir, "documents")).drop("digest")
