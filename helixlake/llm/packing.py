@@ -1,10 +1,11 @@
 """Best-fit packing of tokenized documents into sequences of fixed length.
 
 Hierarchical residual packing: every partition packs its own pieces best-fit in order of falling length
-and emits the bins that are nearly full. The underfull bins go up a tree as items; each node packs the
-items of its children best-fit again, emits what became nearly full, and passes at most `carry` of the
-emptiest bins on. So no task ever holds more than fan_in * carry bins, however large the input, and only
-the root's remainder is left underfull.
+and emits the bins that are nearly full. The underfull bins go up a tree as items; each node packs its share of
+them best-fit again, emits what became nearly full, and passes all other bins on to the next level, which has
+`fan_in` times fewer nodes, but so many that a node has about `node_bins` bins. So no task ever holds many more, however
+large the input. The root's remainder is left underfull, or all that is left once a level of many nodes
+joins hardly any bins (they are then all too full for each other).
 
 Defined results: a null or empty text is the closing id 0 alone; repeated rows are packed each on its own; a document of more
 than `capacity` ids is cut into pieces of `capacity`, the last one may be shorter. An empty table gives an
@@ -19,19 +20,21 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm._shared import saved, table
+from helixlake.llm._shared import release, saved, slices, small_batches, table
 from helixlake.llm.bpe import byte_of_symbol
 
 CAPACITY = 2048
 #: Bins with at most so many free places are emitted at once.
 NEARLY_FULL = 4
+#: Pieces that are packed locally at one time.
+TOGETHER = 50_000
 #: Words remembered by one task; beyond it they are forgotten and encoded anew.
 REMEMBERED = 250_000
 #: Fixed value: how the vocabulary's own file splits normalised text.
@@ -88,11 +91,6 @@ class Words:
             return b"".join(map(known.__getitem__, chunks))
 
 
-@cache
-def words(path: str) -> Words:
-    return Words(path)
-
-
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """Best-fit in order of falling length: the bin of each item, and the fill of each bin.
 
@@ -120,81 +118,87 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return place, fills
 
 
-def _pack_partition(vocabulary: str, capacity: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack_partition(vocabulary: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 33
-        encoder, rows = words(vocabulary), []
+        # The worker lives on for other stages; the tokenizer and its words need not.
+        encoder, rows = Words(vocabulary), []
         try:
-            for b in batches:
-                for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for part in slices(batches):
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids = encoder.encode(text or "") + b"\0\0\0\0"
                     n = len(ids) // 4
                     for k, start in enumerate(range(0, n, capacity)):
                         end = min(n, start + capacity)
                         rows.append((doc_id, k, start, end - start, zlib.crc32(ids[4 * start : 4 * end])))
-                if len(rows) >= 200_000:
+                if len(rows) >= TOGETHER:
                     packed, first = _local(rows, capacity, first)
                     yield packed
                     rows = []
             if rows:
                 yield _local(rows, capacity, first)[0]
         finally:
-            # The worker lives on for other stages; its words need not.
-            encoder.known.clear()
+            del encoder
+            release()
 
     return pack
 
 
-def _local(rows: list[tuple], capacity: int, first: int) -> tuple[pd.DataFrame, int]:
+def _local(rows: list[tuple], capacity: int, first: int) -> tuple[pa.RecordBatch, int]:
     place, fills = best_fit([r[3] for r in rows], capacity)
     at, offsets = [0] * len(fills), []
     for b, r in zip(place, rows, strict=True):
         offsets.append(at[b])
         at[b] += r[3]
-    out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-    out["bin_id"], out["in_bin"] = [first + b for b in place], offsets
-    return out, first + len(fills)
+    columns = list(zip(*rows, strict=True))
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    arrays += [pa.array([first + b for b in place], pa.int64()), pa.array(offsets, pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PIECES.split(", ")]), first + len(fills)
 
 
-def _merge_node(capacity: int, carry: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _merge_node(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("bin_id", kind="stable")
         place, fills = best_fit(group["fill"].tolist(), capacity)
         members: list[list[int]] = [[] for _ in fills]
         for i, b in enumerate(place):
             members[b].append(i)
-        underfull = [b for b in sorted(range(len(fills)), key=fills.__getitem__) if fills[b] < capacity - NEARLY_FULL]
-        passed_on = set(underfull if carry is None else underfull[:carry])
-        held, rows = group["held"].tolist(), []
+        ids, full, held, rows = group["bin_id"].tolist(), group["fill"].tolist(), group["held"].tolist(), []
         for b, items in enumerate(members):
             inside, at = [], 0
             for i in items:
                 inside += [{"bin_id": int(x["bin_id"]), "base": int(x["base"]) + at} for x in held[i]]
-                at += int(group["fill"].iat[i])
-            rows.append((int(group["bin_id"].iat[items[0]]), int(group["node"].iat[0]), fills[b], b not in passed_on, inside))
-        return pd.DataFrame(rows, columns=["bin_id", "node", "fill", "done", "held"])
+                at += int(full[i])
+            rows.append((int(ids[items[0]]), fills[b], fills[b] >= capacity - NEARLY_FULL, inside))
+        return pd.DataFrame(rows, columns=["bin_id", "fill", "done", "held"])
 
     return merge
 
 
-def pack(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, fan_in: int = 8, carry: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, fan_in: int = 8, node_bins: int = 16_384) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
-    pieces = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_pack_partition(vocabulary, capacity), PIECES))
+    small_batches(docs.sparkSession)
+    pieces = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack_partition(vocabulary, capacity), PIECES))
     bins = pieces.groupBy("bin_id").agg(F.sum("length").alias("fill"))
     full = F.col("fill") >= capacity - NEARLY_FULL
-    # The node of a bin at the leaves is its partition; every level joins fan_in neighbours.
-    level = saved(bins.select("bin_id", F.shiftright("bin_id", 33).alias("node"), "fill", full.alias("done"), F.array(F.struct("bin_id", F.lit(0).cast("long").alias("base"))).alias("held")))
-    shape = "bin_id long, node long, fill long, done boolean, held array<struct<bin_id:long,base:long>>"
+    level = saved(bins.select("bin_id", "fill", full.alias("done"), F.array(F.struct("bin_id", F.lit(0).cast("long").alias("base"))).alias("held")))
+    shape = "bin_id long, fill long, done boolean, held array<struct<bin_id:long,base:long>>"
     finished = level.filter("done")
-    nodes = (level.agg(F.max("node")).first()[0] or 0) + 1
-    while True:
-        nodes = -(-nodes // fan_in)
-        level = saved(level.filter("not done").withColumn("node", F.expr(f"cast(node div {fan_in} as long)")).groupBy("node").applyInPandas(_merge_node(capacity, carry), shape))
+    count = level.filter("not done").count()
+    nodes = max(1, -(-count // node_bins))
+    while count > 1:
+        # A hash deals the bins to the nodes of a level, so that none has many more than its share.
+        node = F.pmod(F.xxhash64("bin_id", F.lit(nodes)), F.lit(nodes)).alias("node")
+        level = saved(level.filter("not done").select("bin_id", "fill", "held", node).groupBy("node").applyInPandas(_merge_node(capacity), shape))
         finished = finished.unionByName(level.filter("done"))
-        if nodes == 1:
+        before, count = count, level.filter("not done").count()
+        # With one node all have met. Where a round of many nodes joins hardly any, no others would either.
+        if nodes == 1 or 100 * count > 99 * before:
             break
+        nodes = max(1, -(-nodes // fan_in), -(-count // node_bins))
     finished = finished.unionByName(level.filter("not done"))
     placed = finished.select(F.col("bin_id").alias("sequence_id"), F.explode("held").alias("h")).select("sequence_id", F.col("h.bin_id").alias("bin_id"), F.col("h.base").alias("base"))
     return pieces.join(placed, "bin_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", (F.col("base") + F.col("in_bin")).alias("offset"))
