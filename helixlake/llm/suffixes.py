@@ -6,18 +6,21 @@ Every string of `length` bytes that also starts anywhere else is repeated; all b
   window's anchor. Equal windows have equal anchors at equal places, so windows can be compared by the
   suffixes at their anchors (and the bytes before them). Each anchor owns a run of consecutive windows.
 * Anchors whose piece stands nowhere else (counted over all documents) own unique windows and are dropped.
-* The suffixes at the others are sorted in every task to a run, which is front-coded (common prefix with the
-  string before, and the rest), cut at splitters (whole pieces from a bounded sample), and exchanged.
-* Each range merges its runs with a loser tree that carries common prefixes: heads with different common
+* The suffixes at the others are sorted in every task to runs, one for every bucket of anchor pieces, which are front-coded
+  (common prefix with the string before, and the rest) and exchanged. A bucket has about PER_BUCKET suffixes.
+* Each bucket merges its runs with a loser tree that carries common prefixes: heads with different common
   prefixes with the last output are ordered without looking at a byte, and equal ones are compared
   only beyond it. The merge gives each suffix's common prefix with the one before it.
 * Suffixes that share the anchor's piece form a group; two of them have equal windows at every distance from
   the anchor that their common prefix to the right and common suffix to the left both allow.
 
 Equal contexts are one entry of a run, so a passage in very many documents is one entry a run; equal texts are one text.
+An anchor piece that stands in more than LARGEST places would make a group too large for one task; its windows are
+counted one by one instead, by 128-bit digests that are summed before they are shuffled.
 
 Defined results: a null or empty text has no bytes; texts shorter than `length` lose nothing; repeated rows are
-copies, and lose all bytes if long enough; matches never cross documents. Columns other than the text are kept.
+copies, and lose all bytes if long enough; matches never cross documents. Columns other than the text are kept; only a
+column `spans` is replaced.
 """
 
 from __future__ import annotations
@@ -30,18 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm._shared import saved, table
+from helixlake.llm._shared import joined, release, saved, slices, small_batches, table
 
 LENGTH, GRAM = 200, 64
-#: Suffixes in a range of the exchange, ranges at most, and sampled suffixes for each range's border.
-PER_RANGE, RANGES, SAMPLED = 30_000, 20_000, 40
-#: Suffixes that a task sorts to one run.
-RUN = 150_000
-#: Groups of at most so many different contexts are compared in pairs, larger ones by window hashes.
-PAIRS = 12
+#: Suffixes in a bucket of the exchange, on average, and places of an anchor piece that one task compares.
+PER_BUCKET, LARGEST = 30_000, 100_000
+#: Suffixes that a task sorts at one time.
+RUN = 50_000
 ENTRY, ENTRY_SIZE = "<HHB", struct.calcsize("<HHB")
 MEMBER, MEMBER_SIZE = "<16sQH", struct.calcsize("<16sQH")
 
@@ -103,15 +106,19 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
 
 
 def _hashed(length: int):
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hs, keys, packed = [], [], []
-            for key, text in zip(b["key"], b["text"], strict=True):
-                h, q, first, last = anchors(encoded(text), length)
-                hs.append(h)
-                keys.append(np.full(len(h), key, np.int64))
-                packed.append(q << 16 | (q - first) << 8 | (last - first))
-            yield pd.DataFrame({"hash": np.concatenate(hs), "key": np.concatenate(keys), "packed": np.concatenate(packed)})
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for part in slices(batches):
+                hs, packed, n = [], [], []
+                for text in part.column("text").to_pylist():
+                    h, q, first, last = anchors(encoded(text), length)
+                    hs.append(h)
+                    n.append(len(h))
+                    packed.append(q << 16 | (q - first) << 8 | (last - first))
+                keys = part.column("tkey").take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), keys, pa.array(np.concatenate(packed))], ["hash", "tkey", "packed"])
+        finally:
+            release()
 
     return hashed
 
@@ -132,20 +139,8 @@ def common(a: bytes, b: bytes, start: int = 0) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def _sample(length: int, modulus: int):
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for text, packed in zip(b["text"], b["packed"], strict=True):
-                data = encoded(text)
-                out += [right for right, left, _ in contexts(data, packed, length) if zlib.crc32(left + right) % modulus == 0]
-            yield pd.DataFrame({"suffix": out}, dtype=object)
-
-    return sample
-
-
-def _runs(length: int, splitters: list[bytes]):
-    """Sorted, front-coded runs cut at the splitters: rows (range, blob)."""
+def _runs(length: int, buckets: int):
+    """Sorted, front-coded runs, one for every bucket of pieces: rows (bucket, blob)."""
 
     def coded(entries: list[tuple[tuple[bytes, bytes, int], bytes]]) -> bytes:
         out, before = [], b""
@@ -155,37 +150,53 @@ def _runs(length: int, splitters: list[bytes]):
             before = right
         return zlib.compress(b"".join(out), 1)
 
-    def run(held: dict) -> pd.DataFrame:
-        entries = sorted((k, b"".join(v)) for k, v in held.items())
-        rights = [k[0] for k, _ in entries]
-        ranges, blobs, at = [], [], 0
-        from bisect import bisect_left
-
-        for r, splitter in enumerate([*splitters, None]):
-            end = len(entries) if splitter is None else bisect_left(rights, splitter, at)
-            if end > at:
-                ranges.append(r)
-                blobs.append(coded(entries[at:end]))
-                at = end
-        return pd.DataFrame({"range": ranges, "blob": blobs})
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(held: dict) -> pa.RecordBatch:
+        by_bucket = defaultdict(list)
+        for k, v in held.items():
+            by_bucket[zlib.crc32(k[0][:GRAM]) % buckets].append((k, b"".join(v)))
+        blobs = [coded(sorted(entries)) for entries in by_bucket.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(by_bucket), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = defaultdict(list), 0
-        for b in batches:
-            for tkey, text, packed in zip(b["tkey"], b["text"], b["packed"], strict=True):
-                data = encoded(text)
-                for x, (right, left, count) in zip(packed, contexts(data, packed, length), strict=True):
-                    held[right, left, count].append(struct.pack(MEMBER, tkey, (int(x) >> 16) - (int(x) >> 8 & 255), count))
-                    n += 1
-                if n >= RUN:
-                    yield run(held)
-                    held, n = defaultdict(list), 0
-        if held:
-            yield run(held)
+        try:
+            for part in slices(batches, 256):
+                for tkey, text, packed in zip(*(part.column(c).to_pylist() for c in ("tkey", "text", "packed")), strict=True):
+                    data = encoded(text)
+                    for x, (right, left, count) in zip(packed, contexts(data, packed, length), strict=True):
+                        held[right, left, count].append(struct.pack(MEMBER, tkey, (x >> 16) - (x >> 8 & 255), count))
+                        n += 1
+                        if n == RUN:
+                            yield run(held)
+                            held, n = defaultdict(list), 0
+            if held:
+                yield run(held)
+        finally:
+            del held
+            release()
 
     return runs
 
 
+def _windows(length: int):
+    """The digest and the place of every window of some anchors: rows (window, tkey, start)."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 64):
+            digests, starts, n = [], [], []
+            for text, packed in zip(part.column("text").to_pylist(), part.column("packed").to_pylist(), strict=True):
+                data, before = encoded(text), len(starts)
+                for x in packed:
+                    first = (x >> 16) - (x >> 8 & 255)
+                    starts += range(first, first + (x & 255) + 1)
+                digests += [xxhash.xxh3_128_digest(data[s : s + length]) for s in starts[before:]]
+                n.append(len(starts) - before)
+            keys = part.column("tkey").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), keys, pa.array(starts, pa.int64())], ["window", "tkey", "start"])
+
+    return windows
+
+
 def decoded(blob: bytes) -> Iterator[tuple[int, bytes, bytes, int, bytes]]:
     """(common prefix with the entry before, right, left, windows, members) of a run, in order."""
     data, at, right = zlib.decompress(blob), 0, b""
@@ -264,22 +275,21 @@ def repeated_windows(group: list[tuple], prefixes: list[int], length: int) -> li
         if first < end:
             found[i].append((first, end))
 
-    if len(group) <= PAIRS:
-        for i in range(len(group)):
-            same = len(group[i][1])
-            for j in range(i + 1, len(group)):
-                same = min(same, prefixes[j])
-                a, b = group[i][2], group[j][2]
-                behind = common(a[::-1], b[::-1])
-                if same + behind >= length:
-                    note(i, length - same, behind)
-                    note(j, length - same, behind)
+    if len(group) < 2:
+        return found
+    if len(group) == 2:
+        behind = common(group[0][2][::-1], group[1][2][::-1])
+        for i in range(2 if prefixes[1] + behind >= length else 0):
+            note(i, length - prefixes[1], behind)
         return found
     for o in range(max(len(e[2]) for e in group) + 1):
-        holders = defaultdict(list)
-        for i, (_, right, left, n, _) in enumerate(group):
+        # Neighbours with a common prefix of what a window has from the anchor on form a stretch.
+        stretch, holders = 0, defaultdict(list)
+        for i, (_, _, left, n, _) in enumerate(group):
+            if i and prefixes[i] < length - o:
+                stretch = i
             if len(left) - n < o <= len(left):
-                holders[left[len(left) - o :], right[: length - o]].append(i)
+                holders[stretch, left[len(left) - o :]].append(i)
         for several in holders.values():
             if len(several) > 1:
                 for i in several:
@@ -338,23 +348,32 @@ def with_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH) ->
     """Add `spans`: array of start, end, start, end, ... (bytes, end exclusive) that repeated strings cover; null if none."""
     if not GRAM < length < GRAM + 192:
         raise ValueError("length must be between 65 and 255")
-    keyed = docs.withColumns({"tkey": F.unhex(F.md5(F.coalesce(text, F.lit("")))), "key": F.xxhash64(F.coalesce(text, F.lit("")))})
-    texts = keyed.filter(F.octet_length(text) >= length).select("key", "tkey", F.col(text).alias("text"))
-    every = texts.select("key", "text").mapInPandas(_hashed(length), "hash long, key long, packed long")
-    several = saved(every.groupBy("hash").count().filter("count > 1").select("hash"))
-    open_ = saved(every.join(several, "hash").groupBy("key").agg(F.collect_set("packed").alias("packed")))
-    chosen = saved(texts.join(open_, "key").groupBy("tkey").agg(F.first("text").alias("text"), F.first("packed").alias("packed"), F.count("*").alias("copies")))
+    small_batches(docs.sparkSession)
+    keyed = docs.drop("spans").withColumn("__tkey", F.unhex(F.md5(F.coalesce(text, F.lit("")))))
+    texts = keyed.filter(F.octet_length(text) >= length).select(F.col("__tkey").alias("tkey"), F.col(text).alias("text"))
+    every = saved(texts.mapInArrow(_hashed(length), "hash long, tkey binary, packed long"))
+    total = every.count()
+    several = saved(every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").withColumn("large", F.col("n") > LARGEST))
+    held = joined(every, several, "hash", "n", total)
+    places = lambda large: F.coalesce(F.collect_set(F.when(F.col("large") == large, F.col("packed"))), F.array().cast("array<long>"))
+    open_ = held.groupBy("tkey").agg(places(False).alias("packed"), places(True).alias("large"))
+    # Copies of a text are summed up before the shuffle.
+    single = texts.groupBy("tkey").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    chosen = saved(single.join(open_, "tkey"))
     n = chosen.agg(F.sum(F.size("packed"))).first()[0] or 0
-    ranges = max(1, min(RANGES, n // PER_RANGE))
-    single = chosen.select("tkey", "text", "packed")
-    sample = sorted({r[0] for r in single.mapInPandas(_sample(length, max(1, n // (ranges * SAMPLED))), "suffix binary").toLocalIterator()}) if ranges > 1 else []
-    # Cut to the anchor's piece, so that no border falls inside a group; what few distinct ones a sample has are all used.
-    splitters = sorted({bytes(sample[len(sample) * i // ranges])[:GRAM] for i in range(1, ranges)}) if sample else []
-    runs = single.mapInPandas(_runs(length, splitters), "range int, blob binary")
-    found = saved(runs.groupBy("range").applyInPandas(_merge(length), "tkey binary, spans array<long>"))
+    runs = chosen.select("tkey", "text", "packed").mapInArrow(_runs(length, max(1, n // PER_BUCKET)), "bucket long, blob binary")
+    found = saved(runs.groupBy("bucket").applyInPandas(_merge(length), "tkey binary, spans array<long>"))
     whole = chosen.filter("copies > 1").select("tkey", F.array(F.lit(0).cast("long"), F.octet_length("text").cast("long")).alias("spans"))
-    spans = saved(found.unionByName(whole).groupBy("tkey").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    return keyed.drop("key").join(spans, "tkey", "left").drop("tkey")
+    several_places = several.filter("large").head(1)
+    spans = found.unionByName(whole)
+    if several_places:
+        windows = saved(chosen.filter(F.size("large") > 0).select("tkey", "text", F.col("large").alias("packed")).mapInArrow(_windows(length), "window binary, tkey binary, start long"))
+        counts = saved(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1"))
+        again = joined(windows, counts, "window", "n", windows.count())
+        spans = spans.unionByName(again.select("tkey", F.array("start", F.col("start") + length).alias("spans")))
+    spans = spans.groupBy("tkey").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = saved(spans.join(chosen.select("tkey", "copies"), "tkey").withColumnRenamed("tkey", "__tkey"))
+    return joined(keyed, spans, "__tkey", "copies", total, "left").drop("__tkey")
 
 
 def _kept(data: bytes, spans) -> tuple[bytes, int, int]:
