@@ -6,12 +6,12 @@ holds no more than its share by dimensions. So each block is range-joined under
 its first coordinates has cells twice as wide as the range; a vector is at home in one cell and visits those
 that its range touches, towards larger cells only, so every pair meets in just one cell. Cells with
 many vectors are split into tiles of two chunks each. Pairs within the range are verified in double precision on
-the whole vectors, and count only in the first block that has them. Tasks return counts of links and a
-spanning forest of them, not pairs, so groups of near copies cost no rows.
+the whole vectors, and count only in the first block that has them. Equal vectors are one, which counts as many; tasks
+return counts of links and a spanning forest of them, not pairs. So neither copies nor groups of near copies cost rows.
 
 Defined results: a vector that is null, zero, or has null or non-finite components, has no links, and so has
 one without an id; vectors of different lengths are never linked; of rows with equal ids one vector
-counts (the smallest) and one row is returned; copies are linked like other pairs. Other columns are ignored.
+counts (the smallest) and one row is returned; copies are linked with each other like other pairs. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm._shared import saved, table
-from helixlake.llm.graph import Forest, connected_components
+from helixlake.llm._shared import joined, saved, table
+from helixlake.llm.graph import connected_components
 
 BLOCK = 8
 #: Vectors in a chunk of a cell; a task holds two chunks.
@@ -54,21 +54,13 @@ def turned(x: np.ndarray) -> np.ndarray:
 
 
 def _cells(cosine: float, gridded: int, with_vectors: bool):
-    """Rows (dim, block, cell, home, id, vec) of every cell where a vector is at home or visits."""
+    """Rows (dim, block, cell, home, id, copies, vec) of every cell where a vector is at home or visits."""
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            groups: dict[int, tuple[list, list]] = {}
-            for i, v in zip(batch["id"], batch["vec"], strict=True):
-                if v is None or i is None:
-                    continue
-                a = np.asarray(v, np.float64)
-                if len(a) and np.isfinite(a).all() and a.any():
-                    ids, vecs = groups.setdefault(len(a), ([], []))
-                    ids.append(i)
-                    vecs.append(a)
-            for dim, (ids, vecs) in groups.items():
-                x, ids = np.stack(vecs), np.array(ids, np.int64)
+            for dim, part in batch.groupby(batch["vec"].map(len)):
+                x = np.stack(part["vec"].to_list()).astype(np.float64)
+                ids, copies = part["id"].to_numpy(np.int64), part["copies"].to_numpy(np.int64)
                 y, raw = turned(x), [v.tobytes() for v in (x if (x.astype(np.float32) != x).any() else x.astype(np.float32))]
                 for k, (first, end, share) in enumerate(blocks(dim, cosine)):
                     m = min(gridded, end - first)
@@ -82,11 +74,29 @@ def _cells(cosine: float, gridded: int, with_vectors: bool):
                         cell = key(np.where(up, high, low))
                         at = np.flatnonzero(((high != low) | ~up).all(1) & (cell >= home))
                         if len(at):
-                            yield pd.DataFrame({"dim": dim, "block": k, "cell": cell[at], "home": (cell == home)[at], "id": ids[at]} | ({"vec": [raw[i] for i in at]} if with_vectors else {}))
+                            held = {"copies": copies[at], "vec": [raw[i] for i in at]} if with_vectors else {}
+                            yield pd.DataFrame({"dim": dim, "block": k, "cell": cell[at], "home": (cell == home)[at], "id": ids[at]} | held)
 
     return cells
 
 
+def joined_labels(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Labels (each the smallest place of its tree) after the trees of p[i] and q[i] are joined, for all i at once."""
+    while True:
+        a, b = label[p], label[q]
+        apart = a != b
+        if not apart.any():
+            return label
+        parent = np.arange(len(label))
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while True:
+            above = parent[parent]
+            if (above == parent).all():
+                break
+            parent = above
+        label = parent[label]
+
+
 def _links(cosine: float):
     def links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         dim, block = int(key[0]), int(key[1])
@@ -102,7 +112,7 @@ def _links(cosine: float):
         square, ones = (z * z).sum(1, keepdims=True), np.ones((len(z), 1), np.float32)
         # One product gives the squared distances of a block.
         mine, theirs = np.hstack([-2 * z, square, ones]), np.hstack([z, ones, square])
-        counts, forest = np.zeros(len(x), np.int64), Forest(len(x))
+        counts, copies, label = np.zeros(len(x), np.int64), group["copies"].to_numpy(np.int64), np.arange(len(x))
         at = [[np.flatnonzero((chunk == c) & (home == h)) for h in (True, False)] for c in key[3:5]]
         # Two visitors of a cell do not meet in it.
         sides = [(at[0][0], at[0][0]), (at[0][0], at[0][1])] if same else [(at[0][0], np.concatenate(at[1])), (at[0][1], at[1][0])]
@@ -121,13 +131,12 @@ def _links(cosine: float):
                     holds = np.stack([d[:, s:e].sum(1) <= w + SLACK / 10 for s, e, w in parts], 1)
                     here = holds.argmax(1) == block
                     p, q = p[here], q[here]
-                    np.add.at(counts, p, 1)
-                    np.add.at(counts, q, 1)
-                    for u, w in zip(p.tolist(), q.tolist(), strict=True):
-                        forest.link(u, w)
+                    np.add.at(counts, p, copies[q])
+                    np.add.at(counts, q, copies[p])
+                    label = joined_labels(label, p, q)
         linked = np.flatnonzero(counts)
         ids = group["id"].to_numpy()
-        return pd.DataFrame({"a": ids[linked], "b": ids[[forest.find(i) for i in linked.tolist()]] if len(linked) else ids[:0], "n": counts[linked]})
+        return pd.DataFrame({"a": ids[linked], "b": ids[label[linked]], "n": counts[linked]})
 
     return links
 
@@ -135,18 +144,24 @@ def _links(cosine: float):
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id) of every vector that is linked with another one."""
     rows = vectors.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(vec_col).alias("vec"))
-    rows = saved(rows)
-    gridded = min(8, max(1, math.ceil(math.log2(max(1, rows.count()) / 8_192))))
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = saved(rows.filter(finite & F.exists("vec", lambda x: x != 0)).withColumn("key", F.unhex(F.md5(F.col("vec").cast("string")))))
+    classes = saved(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.count("*").alias("copies")))
+    gridded = min(8, max(1, math.ceil(math.log2(max(1, classes.count()) / 8_192))))
     keys = "dim int, block int, cell long, home boolean, id long"
-    sizes = rows.mapInPandas(_cells(cosine, gridded, False), keys).groupBy(*KEYS).count()
+    single = classes.select("id", "copies", "vec")
+    sizes = single.mapInPandas(_cells(cosine, gridded, False), keys).groupBy(*KEYS).count()
     large = sizes.filter(F.col("count") > CHUNK).select(*KEYS, F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    met = rows.mapInPandas(_cells(cosine, gridded, True), f"{keys}, vec binary").join(saved(large), KEYS, "left")
+    met = single.mapInPandas(_cells(cosine, gridded, True), f"{keys}, copies long, vec binary").join(saved(large), KEYS, "left")
     met = met.withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*KEYS, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "home", "id", "vec")
+    tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*KEYS, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "home", "id", "copies", "vec")
     found = saved(tiles.groupBy(*KEYS, "i", "j").applyInPandas(_links(cosine), "a long, b long, n long"))
-    counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.select("a", "b"))
-    return counts.join(parts, "id").select("id", "n_links", F.col("component").alias("component_id"))
+    linked = classes.select("key", "id", "copies").join(counts.join(parts, "id"), "id", "left").filter("copies > 1 or n > 0")
+    n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
+    of_class = linked.select("key", "copies", n_links.alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    return joined(rows.select("id", "key"), saved(of_class), "key", "copies", rows.count()).select("id", "n_links", "component_id")
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
