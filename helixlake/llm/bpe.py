@@ -11,7 +11,8 @@ across the border before it is used up within its own token.
 
 Defined results: a null text is an empty one and has no ids; the added token's own string is one id
 wherever it stands in a text, as in the library whose files are read; texts may be of any length, since
-work and memory are proportional to it. Columns other than those named are not touched.
+work and memory are proportional to it; a text that needs a byte the vocabulary lacks is an error. Columns called `ids`
+and `decoded` are replaced; no other is touched.
 """
 
 from __future__ import annotations
@@ -23,18 +24,19 @@ from functools import cache
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm._shared import table
+from helixlake.llm._shared import release, slices, small_batches, table
 
 #: Fixed value: how byte-level BPE vocabularies of this kind split texts before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The regex module's \s has four control characters that Unicode's White_Space lacks.
 SPLIT = SPLIT.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
-#: Pieces remembered by one worker; beyond it they are forgotten and encoded anew.
-REMEMBERED = 1_000_000
+#: Pieces, and pairs of tokens, remembered by one task; beyond it they are forgotten and encoded anew.
+REMEMBERED = 250_000
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -44,6 +46,9 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+RESULT = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
 class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -98,6 +103,8 @@ class Bpe:
                 last[end], length_of[end] = token, n
         ids, at = [], len(data)
         while at:
+            if last[at] < 0:
+                raise ValueError(f"the vocabulary has no tokens for {piece!r}")
             ids.append(last[at])
             at -= length_of[at]
         return ids[::-1]
@@ -118,6 +125,10 @@ class Bpe:
                     ids += known
         return ids
 
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.compatible.clear()
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.decodes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -129,35 +140,46 @@ def loaded(path: str) -> Bpe:
 
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Add ids array<int> and decoded string of every row's text. No shuffle; one pass over the texts."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<ids:array<int>,decoded:string>")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = loaded(vocabulary)
-        for texts in batches:
-            ids = [bpe.encode(t or "") for t in texts]
-            yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(i) for i in ids]})
+        try:
+            for texts in batches:
+                ids = [bpe.encode(t or "") for t in texts]
+                yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(i) for i in ids]})
+        finally:
+            bpe.forget()
+            release()
+
+    return docs.withColumn("__bpe", both(F.col(text))).withColumns({"ids": F.col("__bpe.ids"), "decoded": F.col("__bpe.decoded")}).drop("__bpe")
 
-    return docs.withColumn("_bpe", both(F.col(text))).withColumns({"ids": F.col("_bpe.ids"), "decoded": F.col("_bpe.decoded")}).drop("_bpe")
 
+def digests(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "bpe") -> DataFrame:
+    """Add `out`: n_tokens, ids_sha256 and decoded_sha256 of every text, with no ids leaving the worker."""
+    small_batches(docs.sparkSession)
 
-def digests(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of every text, with no ids leaving the worker."""
+    def row(bpe: Bpe, text: str | None) -> dict:
+        ids = bpe.encode(text or "")
+        decimal = ",".join(map(bpe.decimal.__getitem__, ids))
+        return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(decimal.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(bpe.decode(ids).encode()).hexdigest()}
 
-    @F.pandas_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(vocabulary)
-        for texts in batches:
-            rows = []
-            for t in texts:
-                ids = bpe.encode(t or "")
-                rows.append((len(ids), hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                yield pa.array([row(bpe, t) for part in slices([batch]) for t in part.to_pylist()], RESULT)
+        finally:
+            bpe.forget()
+            release()
 
-    return docs.withColumn("_bpe", digest(F.col(text)))
+    return docs.withColumn(out, digest(F.col(text)))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "_bpe.*")
+    return digests(docs, vocabulary or public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "bpe.*")
