@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm._shared import slices, table
+from helixlake.llm._shared import slices, small_batches, table
 
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -249,6 +249,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Add the main text of every page; one pass, no shuffle."""
+    small_batches(pages.sparkSession)
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -25,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm._shared import saved, shared_dir, table
+from helixlake.llm._shared import joined, saved, shared_dir, table
 
 CHUNK = 1 << 20
+#: Repeated digests up to which they are sent to every executor, at about 60 bytes; beyond it they are joined by a shuffle.
+SENT = 500_000
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -130,11 +132,13 @@ def write_archives(pages: DataFrame, *, min_revisit_bytes: int = 0, date: str =
 
     Of rows with equal payloads of at least min_revisit_bytes the one with the largest page_id is a
     response and the others revisit it. Digests are summed up before the shuffle, and only those held
-    by several rows are joined back, so a payload with very many copies is an ordinary skewed join.
+    by several rows are joined back: as a broadcast table up to SENT of them.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
-    several = saved(pages.filter(F.octet_length("html") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "newest"))
-    rows = pages.join(several, "digest", "left").select("page_id", "url", "html", F.when(F.octet_length("html") >= min_revisit_bytes, F.expr("if(page_id <=> newest, null, newest)")).alias("refers_to"))
+    several = saved(pages.filter(F.octet_length("html") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies")).filter("copies > 1"))
+    # Pages with unlike payloads need not move where the repeated ones are few; else those of one payload with very many copies don't.
+    met = pages.join(F.broadcast(several), "digest", "left") if several.count() <= SENT else joined(pages, several, "digest", "copies", pages.count(), "left")
+    rows = met.select("page_id", "url", "html", F.when(F.octet_length("html") >= min_revisit_bytes, F.expr("if(page_id <=> newest, null, newest)")).alias("refers_to"))
     return saved(rows.mapInPandas(_write_partition(shared_dir(pages.sparkSession), date), "path string, n long"))
 
 
