@@ -108,8 +108,10 @@ def test_suffixes_large_groups_and_empty_table(spark):
     assert suffixes.with_spans(d.limit(0)).count() == 0
 
 
-def test_suffixes_of_a_group_stay_in_one_range(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "PER_RANGE", 3)
+@pytest.mark.parametrize("largest", [suffixes.LARGEST, 8])
+def test_suffixes_of_a_group_stay_in_one_bucket(spark, monkeypatch, largest):
+    monkeypatch.setattr(suffixes, "PER_BUCKET", 3)
+    monkeypatch.setattr(suffixes, "LARGEST", largest)
     rng = random.Random(7)
     data = {}
     for k in range(30):
@@ -153,7 +155,7 @@ def test_bpe_null_texts(docs, rows):
 def test_packing_is_gapless_and_whole(docs, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    pieces = packing.pack(docs, path, capacity=128, fan_in=2, carry=3).collect()
+    pieces = packing.pack(docs, path, capacity=128, fan_in=2, node_bins=16).collect()
     by_doc, by_bin = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append((p.piece, p.start, p.length))
@@ -212,6 +214,40 @@ def test_spotsigs(docs, rows):
     assert spotsigs.with_next(d.select("doc_id", "text").limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [5_000, 3])
+def test_components_of_stars_and_chains(spark, monkeypatch, hot):
+    from helixlake.llm import _shared, graph
+
+    monkeypatch.setattr(_shared, "HOT_ROWS", hot)
+    monkeypatch.setattr(graph, "HOT_ROWS", hot)
+    links = [(1, k) for k in range(2, 40)] + [(k, k + 1) for k in range(100, 120)] + [(119, 90), (7, 7), (200, 201), (200, 201)]
+    found = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == dict.fromkeys(range(1, 40), 1) | dict.fromkeys(range(100, 121), 90) | {90: 90, 200: 200, 201: 200}
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_spotsigs_pairs_equal_brute_force(spark):
+    rng = random.Random(3)
+    base = [[f"{rng.randrange(60):08x}" for _ in range(rng.randint(1, 30))] for _ in range(60)]
+    sets = [sorted(set(b)) for b in base] + [sorted(set(b[: len(b) - 1] + [f"{k:08x}"])) for k, b in enumerate(base)] + [sorted(set(base[0]))]
+    names = {}
+    for k, x in enumerate(sets):
+        names.setdefault(tuple(x), k)
+    ids = sorted(names.values())
+    want = {(a, b) for a in ids for b in ids if a < b and len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.75}
+    found = spotsigs.near_duplicates(spark.createDataFrame(list(enumerate(sets)), "doc_id long, sigs array<string>")).collect()
+    assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
+
+
+def test_bpe_vocabulary_without_a_byte():
+    mine = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    mine.automaton = bpe.ahocorasick.Automaton()
+    mine.automaton.add_word("a", (1, 0))
+    mine.automaton.make_automaton()
+    with pytest.raises(ValueError, match="no tokens"):
+        mine.encode("ab")
+
+
 @pytest.mark.parametrize("chunk", [vectors.CHUNK, 20])
 def test_vectors_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(vectors, "CHUNK", chunk)
@@ -219,8 +255,10 @@ def test_vectors_equal_brute_force(spark, monkeypatch, chunk):
     x = rng.normal(size=(300, 24)).astype(np.float32)
     x[100:200] = x[:100] + rng.normal(size=(100, 24)).astype(np.float32) * rng.uniform(0, 0.5, (100, 1)).astype(np.float32)
     x[250:] = x[0] + rng.normal(size=(50, 24)).astype(np.float32) * 0.1
+    x[40:60] = x[39]
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, [1.0, 2.0])]
     found = {r.id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()}
+    assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     y = x.astype(float)
     n = np.linalg.norm(y, axis=1)
     link = (y @ y.T) / (n[:, None] * n) >= 0.95
@@ -239,6 +277,14 @@ def test_warc_round_trip(spark):
     assert {i: r.refers_to for i, r in found.items()} == {1: 2, 2: None, 3: 4, 4: None, 5: None}
 
 
+def test_warc_edges(spark):
+    schema = "page_id long, url string, html string"
+    assert warc.read_records(warc.normalise(warc.write_archives(spark.createDataFrame([], schema)))).count() == 0
+    pages = [(None, "a", "x"), (7, "b", "x"), (7, "c", "x"), (3, "d", "x"), (None, "e", "y")]
+    found = warc.read_records(warc.normalise(warc.write_archives(spark.createDataFrame(pages, schema)))).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in found) == [(0, "response", 0), (0, "revisit", 7), (3, "revisit", 7), (7, "response", 0), (7, "response", 0)]
+
+
 def test_html_article_only():
     page = '<html><head><title>t</title><script>var a="</p>"</script></head><body><nav><a href=x>Home</a></nav><div class="ad">Buy</div><article><h1>Head &amp; more</h1><p><b>A long  paragraph with many words in it.<br><p>Short.</p></article><div id="comments"><p>I say so, at length, with many words.</p></div><footer>c</footer></body></html>'
     assert html.main_text(page) == "Head & more\nA long paragraph with many words in it.\nShort."
@@ -253,12 +299,52 @@ def test_html_keeps_short_blocks_of_the_article(wrap):
     assert html.main_text(page).split("\n") == [long.strip()] * 5 + cells + [f"s{k}" for k in range(9)] + [long.strip()]
 
 
+STORY = "".join(f"<p>{f'many words of the story stand here, part {k}. ' * 8}</p>" for k in range(5))
+TEXT = "\n".join(f"many words of the story stand here, part {k}. " * 8 for k in range(5)).replace(". \n", ".\n").strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div>Home About Contact</div><div>{STORY}</div><div>Copyright 2024 by us</div>", TEXT),
+        (f"Home About Contact{STORY}Copyright 2024", TEXT),
+        (f"<article><div class='entry-header'><h1>Headline</h1></div>{STORY}</article>", "Headline\n" + TEXT),
+        (f"<div class='post'>{STORY}</div><article class='teaser'><p>Read another story, a long teaser with many words</p></article>", TEXT),
+        (f"<form id=page><nav>x</nav><div>{STORY}</div><input></form>", TEXT),
+        (f"<article>{STORY}<p class='share-price'>The price is 5</p></article>", TEXT + "\nThe price is 5"),
+        (f"<article>{STORY}<article class='comment'><p>I say so, with very many words in this comment.</p></article></article>", TEXT),
+        (f"<header><h1>Site</h1></header><main><h1>Title</h1>{STORY}</main><form><p>Subscribe to our letter</p><input></form>", "Title\n" + TEXT),
+        (f"<header><h1>Site</h1></header><div>{STORY}</div>", TEXT),
+        ("<div class=ad>Very many words of an advert stand here before it all.</div><article><h1>Head</h1><p>Short.</article>", "Head\nShort."),
+    ],
+)
+def test_html_regions(page, text):
+    assert html.main_text(f"<html><body>{page}</body></html>") == text
+
+
+def test_html_articles_of_many_layouts(spark):
+    """Pages with known articles in layouts of all kinds, with and without names to tell parts by."""
+    rng, pages, wanted = random.Random(8), [], []
+    for k in range(60):
+        blocks = [prose(rng, rng.choice([3, 40, 60, 80])) for _ in range(rng.randint(4, 9))]
+        blocks[0], blocks[-1] = prose(rng, 50), prose(rng, 50)
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        inner = [f"<article>{body}</article>", f"<div><div>{body}</div></div>", f"<main>{body}</main>", f"<section>{body}</section>"][k % 4]
+        menu = "<div>" + "".join(f"<a href=/{j}>{rng.choice(WORDS)}</a> " for j in range(8)) + "</div>"
+        pages.append((k, f"<body>{menu}<div class=sidebar>{prose(rng, 12)}</div>{inner}<div>Imprint {k}</div><footer>{prose(rng, 9)}</footer></body>"))
+        wanted.append("\n".join(blocks))
+    pages += [(60, None), (61, "")]
+    found = html.extract(spark.createDataFrame(pages, "text long, html string").withColumnRenamed("text", "page_id")).collect()
+    assert {r.page_id: r.text for r in found} == dict(enumerate([*wanted, "", ""]))
+    assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
 def test_language_network_learns_and_rejects(spark):
     rng = random.Random(6)
     text = {"x": lambda: " ".join(rng.choice(["the", "this", "that", "with", "which"]) for _ in range(60)), "y": lambda: " ".join(rng.choice(["der", "nicht", "und", "eine", "ist"]) for _ in range(60))}
     data = [(i, text["xy"[i % 2]](), "xy"[i % 2]) for i in range(120)]
-    net = langid.train([t for _, t, _ in data[:80]], [lang for _, _, lang in data[:80]])
-    d = spark.createDataFrame([*data[80:], (900, None, None), (901, "123 !", None)], "doc_id long, text string, lang string")
+    net = langid.train([langid.spread(t) for _, t, _ in data[:80]], [lang for _, _, lang in data[:80]])
+    d = spark.createDataFrame([*data[80:], (900, None, None), (901, "123 !", None), (902, "² ½ ① Ⅷ", None)], "doc_id long, text string, lang string")
     found = {r.doc_id: r for r in langid.predict(d, net).collect()}
-    assert all(found[i].lang_pred == lang for i, _, lang in data[80:]) and found[900].lang_pred == found[901].lang_pred == "und"
+    assert all(found[i].lang_pred == lang for i, _, lang in data[80:]) and found[900].lang_pred == found[901].lang_pred == found[902].lang_pred == "und"
     assert langid.fit(d.filter("lang is null")) is None

@@ -22,3 +22,18 @@ def test_stages(spark, tmp_path):
     assert kept[2].count() == kept[1].count() and suffixes.with_spans(kept[2]).filter("spans is not null").count() <= kept[1].count() // 10
     assert pii.find(kept[3]).filter(F.exists("pii", lambda s: s["kind"].isin("email", "card"))).count() == 0
     assert sorted(r.doc_id for r in kept[4].select("doc_id").distinct().collect()) == sorted(r.doc_id for r in kept[3].select("doc_id").collect())
+
+
+def test_a_repeated_id_loses_only_the_text_that_is_a_copy(spark):
+    text = "the house of the river and the mountain in the evening light of " + " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "en", "s", 0), (5, text, "en", "s", 0), (5, "another text altogether " * 9, "en", "s", 0), (None, text, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text[:7]) for r in kept) == [(0, "the hou"), (1, "the hou"), (5, "another")]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, "")
+        assert found.count() == 0
