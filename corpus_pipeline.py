@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm import langid, minhash, packing, pii, suffixes
+from helixlake.llm._shared import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this mean probability of its best language a text is in none that was learned.
@@ -30,9 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id stays."""
-    dropped = minhash.components(docs).filter("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Of every group of near-duplicates the document with the smallest id stays. Of an id with several texts each goes by itself."""
+    dropped = minhash.components(docs).filter("not kept").select("doc_id", "digest").distinct()
+    return docs.withColumn("digest", F.unhex(F.md5("text"))).join(dropped, ["doc_id", "digest"], "left_anti").select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +63,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        # Stages read their documents several times; what the stage before kept is written, not computed anew.
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
