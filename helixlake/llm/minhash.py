@@ -213,8 +213,11 @@ def links(docs: DataFrame, classes: DataFrame, *, size: int, kept: int, percent:
     b = short.select("value", F.col("id").alias("b"), F.col("component").alias("cb"))
     pairs = a.join(b, "value").filter("a < b and ca <> cb").select("a", "b").distinct()
     lengthy = open_lists.filter(F.col("members") > SHORT).select("value", "id", "component", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    every = lengthy.groupBy("id").agg(F.collect_set("value").alias("keys"))
-    each = lengthy.join(every, "id").join(classes.select("id", "sketch"), "id").join(long_texts := some_texts(every.select("id")), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    # One row of an id meets its sketch and its text; it is dealt to its lists only then.
+    every = saved(lengthy.groupBy("id", "component").agg(F.collect_list(F.struct("value", "chunks")).alias("lists")))
+    long_texts = some_texts(every.select("id"))
+    each = every.join(classes.select("id", "sketch"), "id").join(long_texts, "id").select("id", "component", "sketch", "text", F.col("lists.value").alias("keys"), F.explode("lists").alias("l"))
+    each = each.select("l.value", "l.chunks", "id", "component", "sketch", "keys", "text").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     tiles = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("value", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component", "sketch", "keys", "text")
     rest = saved(tiles.groupBy("value", "i", "j").applyInPandas(_tile(kept, least, size, percent), "a long, b long"))
     discard(long_texts)
