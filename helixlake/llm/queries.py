@@ -7,12 +7,15 @@ from helixlake.llm.html import op1_html
 from helixlake.llm.langid import op3_langid
 from helixlake.llm.minhash import op2_minhash
 from helixlake.llm.packing import op6_packing
+from helixlake.llm.passages import op11_passages
 from helixlake.llm.pii import op5_pii
+from helixlake.llm.resampling import op12_resampling
 from helixlake.llm.spotsigs import op7_spotsigs
 from helixlake.llm.sql import ORACLE_SQL
 from helixlake.llm.suffixes import op9_suffixes
 from helixlake.llm.vectors import op8_vectors
 from helixlake.llm.warc import op10_warc
+from helixlake.llm.whitening import op13_whitening
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -27,4 +30,7 @@ QUERIES = {
     "op8_vectors": op8_vectors,
     "op9_suffixes": op9_suffixes,
     "op10_warc": op10_warc,
+    "op11_passages": op11_passages,
+    "op12_resampling": op12_resampling,
+    "op13_whitening": op13_whitening,
 }

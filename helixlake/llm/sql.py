@@ -110,4 +110,50 @@ def _pii() -> str:
 
 PII = _pii()
 
-ORACLE_SQL = {"op2_minhash": MINHASH, "op5_pii": PII, "op8_vectors": VECTORS, "op9_suffixes": SUFFIXES, "op10_warc": WARC}
+# Buckets are checksums of the distinct features, by a table of 256 remainders.
+RESAMPLING = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tb),
+     docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     goal AS (SELECT regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     df AS (SELECT row, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM docs),
+     gf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM goal),
+     each AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM gf)),
+     bytes AS (SELECT f, list_transform(range(len(h) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1)
+         + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1) AS b FROM each),
+     hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tb[(xor(c, x) & 255) + 1])),
+         4294967295) % 10000 AS bucket FROM bytes, tab),
+     s AS (SELECT bucket, count(*) AS s FROM df JOIN hashed USING (f) GROUP BY bucket),
+     t AS (SELECT bucket, count(*) AS t FROM gf JOIN hashed USING (f) GROUP BY bucket),
+     total AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS a, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS b),
+     gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (a + 10000) / ((s + 1)::DOUBLE * (b + 10000))))::BIGINT AS gain
+         FROM s LEFT JOIN t USING (bucket), total),
+     sums AS (SELECT row, count(*) AS n, sum(gain)::BIGINT AS total FROM df JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY row),
+     valued AS (SELECT d.row, doc_id, len(w) AS words, coalesce(n, 0) AS n_features,
+         coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM docs d LEFT JOIN sums USING (row)),
+     scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM valued),
+     placed AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+         FROM scored WHERE words >= 20 AND score IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (row)
+"""
+
+# Windows of words; each is gone from the documents after the first one that has it.
+PASSAGES = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS g
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+     f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+     c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN f USING (g) WHERE doc_id > first),
+     k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t
+         FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL = {
+    "op2_minhash": MINHASH, "op5_pii": PII, "op8_vectors": VECTORS, "op9_suffixes": SUFFIXES, "op10_warc": WARC, "op11_passages": PASSAGES,
+    "op12_resampling": RESAMPLING,
+}
