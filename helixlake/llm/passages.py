@@ -9,8 +9,8 @@ covers it that a document with a smaller id has too; windows are judged on the i
   MOST at most: 2 ** 30 bits a row, so that what is broadcast, a bit a cell, is 256 MB at most.
 * Pass 2. Windows whose cells all say "repeated" go on; a window that stands twice cannot be missed. A task sorts those it has
   collected: of equal windows only its smallest document is open and goes on with a digest of 128 bits, the others are settled where
-  they are. Open ones meet by digest in a sort that spills (a window has one row a task in it, however often it stands), and each
-  but the smallest document's is removed.
+  they are. Open ones meet in buckets of digests, which hold the windows of PER_BUCKET bytes of text each: a window has one entry a
+  task in them, however often it stands; each but the smallest document's is removed.
 * Removed windows come back to their documents by id; documents find them again by their digests.
 
 Beyond MOST / 3 windows the sketch lets more windows through that stand once; results stay the same, and the second pass grows with the
@@ -24,6 +24,7 @@ take none. An empty table stays empty. Other columns are kept; a column `removed
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from itertools import compress
 
@@ -31,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm._shared import release, small_batches, table
@@ -41,6 +42,9 @@ LENGTH = 13
 ROWS, CELLS, BYTES_A_CELL, MOST = 2, 1 << 16, 2, 1 << 30
 #: Bytes of texts and windows that a task works on or collects at one time, and the longest word that is hashed in steps.
 BYTES, COLLECTED, LONG = 4 << 20, 1 << 20, 64
+HEADER, HEADER_SIZE = "<QQ?", struct.calcsize("<QQ?")
+#: Bytes of texts for each bucket of open windows.
+PER_BUCKET = 8 << 20
 #: Odd multipliers of hashes.
 STEPS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -132,24 +136,39 @@ def cells_of(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
     return [((hashes >> half) * np.uint64(cells)) >> half, ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(cells)) >> half]
 
 
+def coded(at: np.ndarray, stretch: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """Sorted places within stretches (which begin at `begin`), each stretch as its steps: a byte a step, and 255 for every 255 beyond."""
+    steps = np.diff(at, prepend=0)
+    steps[begin] = at[begin]
+    more = steps // 255
+    ends = np.cumsum(more + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = steps % 255
+    first = ends[begin] - more[begin] - 1
+    return [out[a:b].tobytes() for a, b in zip(first, [*first[1:], len(out)], strict=True)]
+
+
+def decoded(steps: bytes) -> np.ndarray:
+    step = np.frombuffer(steps, np.uint8)
+    return np.cumsum(step, dtype=np.int64)[step < 255]
+
+
 def _sketched(length: int, cells: int):
-    """Sketches of tasks: rows (stretch, once, often), cells of a stretch as 16-bit numbers."""
+    """Sketches of tasks: rows (stretch, met, often), the cells of a stretch that were met, and met more than once."""
 
     def emitted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for row, at in enumerate(cells_of(np.concatenate(held), cells)):
+            at = at.astype(np.int64)
             at.sort()
             new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            single = np.diff(np.concatenate([new, [len(at)]])) == 1
-            at = at[new]
-            stretch = (at // np.uint64(CELLS)).astype(np.int64)
-            low = (at % np.uint64(CELLS)).astype("<u2")
-            begin = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]]))
-            once, often = [], []
-            for a, b in zip(begin, [*begin[1:], len(at)], strict=True):
-                alone = single[a:b]
-                once.append(low[a:b][alone].tobytes())
-                often.append(low[a:b][~alone].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(stretch[begin] + row * (cells // CELLS)), pa.array(once, pa.binary()), pa.array(often, pa.binary())], ["stretch", "once", "often"])
+            several = np.diff(np.concatenate([new, [len(at)]])) > 1
+            for column, some in (("met", at[new]), ("often", at[new[several]])):
+                if len(some):
+                    stretch, low = some // CELLS, some % CELLS
+                    begin = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]]))
+                    blobs = pa.array(coded(low, stretch, begin), pa.binary())
+                    none = pa.nulls(len(begin), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(stretch[begin] + row * (cells // CELLS)), *((blobs, none) if column == "met" else (none, blobs))], ["stretch", "met", "often"])
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -160,7 +179,7 @@ def _sketched(length: int, cells: int):
                 continue
             held.append(window_hashes(data, starts, ends, 0, length)[at])
             n += len(at)
-            if n >= 2 * COLLECTED:
+            if n >= 3 * COLLECTED:
                 yield from emitted(held)
                 held, n = [], 0
         if n:
@@ -171,33 +190,34 @@ def _sketched(length: int, cells: int):
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows (stretch, once, often) the cells of each stretch that stand twice or more, as bits."""
-    now, once, often = None, np.zeros(CELLS, bool), np.zeros(CELLS, bool)
+    """Of rows (stretch, met, often) sorted by stretch the cells of each stretch that stand twice or more, as bits."""
+    now, once, twice = None, np.zeros(CELLS, bool), np.zeros(CELLS, bool)
 
     def closed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(often, bitorder="little").tobytes()], pa.binary())], ["stretch", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["stretch", "bits"])
 
     for batch in batches:
-        for stretch, a, b in zip(*(batch.column(i) for i in range(3)), strict=True):
-            if stretch.as_py() != now:
+        for stretch, met, often in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if stretch != now:
                 if now is not None:
                     yield closed()
-                now = stretch.as_py()
-                once[:] = often[:] = False
-            a = np.frombuffer(a.as_buffer(), "<u2")
-            often[a[once[a]]] = True
-            once[a] = True
-            b = np.frombuffer(b.as_buffer(), "<u2")
-            often[b] = once[b] = True
+                now = stretch
+                once[:] = twice[:] = False
+            if met is not None:
+                at = decoded(met)
+                twice[at[once[at]]] = True
+                once[at] = True
+            if often is not None:
+                twice[decoded(often)] = True
     if now is not None:
         yield closed()
 
 
-def sketch(docs: DataFrame, length: int = LENGTH) -> tuple[int, np.ndarray]:
-    """Cells of a row, and a bit for each cell of all rows that says whether its windows stand twice or more, for docs (text)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def sketch(docs: DataFrame, size: int, length: int = LENGTH) -> tuple[int, np.ndarray]:
+    """Cells of a row, and a bit for each cell of all rows that says whether its windows stand twice or more, for docs (text) of
+    about `size` bytes."""
     cells = min(MOST, -(-max(1, size // BYTES_A_CELL) // CELLS) * CELLS)
-    partial = docs.select("text").mapInArrow(_sketched(length, cells), "stretch long, once binary, often binary")
+    partial = docs.select("text").mapInArrow(_sketched(length, cells), "stretch long, met binary, often binary")
     united = partial.repartition("stretch").sortWithinPartitions("stretch").mapInArrow(_united, "stretch long, bits binary")
     bits = np.zeros(ROWS * cells // 8, np.uint8)
     for r in united.collect():
@@ -214,25 +234,56 @@ def repeated(hashes: np.ndarray, cells: int, bits: np.ndarray) -> np.ndarray:
     return found
 
 
-def _candidates(length: int, cells: int, sent):
-    """Open windows (high, low, doc_id) and, for each document, settled ones (doc_id, settled)."""
-    names = ["high", "low", "doc_id", "settled"]
+def packed(ids: np.ndarray, high: np.ndarray, low: np.ndarray | None) -> bytes:
+    """Windows as columns: the documents among them, and for each window its document's place, and its digest's halves."""
+    docs, place = np.unique(ids, return_inverse=True)
+    width = "<u2" if len(docs) <= 1 << 16 else "<u4"
+    parts = [struct.pack(HEADER, len(docs), len(high), low is not None), docs.astype("<i8"), place.astype(width), high.astype("<u8"), *([] if low is None else [low.astype("<u8")])]
+    return b"".join(x if isinstance(x, bytes) else x.tobytes() for x in parts)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    many, n, whole = struct.unpack_from(HEADER, blob)
+    at = HEADER_SIZE
+    docs = np.frombuffer(blob, "<i8", many, at)
+    at += 8 * many
+    width = "<u2" if many <= 1 << 16 else "<u4"
+    place = np.frombuffer(blob, width, n, at)
+    at += n * place.itemsize
+    high = np.frombuffer(blob, "<u8", n, at)
+    return docs[place], high, np.frombuffer(blob, "<u8", n, at + 8 * n) if whole else None
+
+
+def later(ids: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of windows by digest and document, and which of them (in that order) are in a document after the first one."""
+    order = np.lexsort((ids, low, high))
+    h, w, i = high[order], low[order], ids[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+    smallest = i[np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))]
+    return order, i > smallest
+
+
+def _candidates(length: int, cells: int, buckets: int, sent):
+    """Rows (bucket, blob) of windows: by their digests those that are open, and anywhere those that are settled."""
 
     def emitted(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        high, low, ids = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((ids, low, high))
-        high, low, ids = high[order], low[order], ids[order]
+        ids, high, low = (np.concatenate(c) for c in zip(*held, strict=True))
+        order, gone = later(ids, high, low)
+        settled = order[gone]
+        # Of equal windows of one document the first will do, since documents find theirs by digest.
+        ids, high, low = ids[order][~gone], high[order][~gone], low[order][~gone]
         new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
-        smallest = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
-        yield pa.RecordBatch.from_arrays([pa.array(high[new]), pa.array(low[new]), pa.array(ids[new]), pa.nulls(int(new.sum()), pa.list_(pa.int64()))], names)
-        rest = ids > smallest
-        ids, high = ids[rest], high[rest]
-        order = np.argsort(ids, kind="stable")
-        ids, high = ids[order], high[order]
-        begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-        settled = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [len(ids)]]).astype(np.int32)), pa.array(high))
-        none = pa.nulls(len(begin), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[begin]), settled], names)
+        # Digests are in order: a bucket is a stretch of them.
+        ids, high, low = ids[new], high[new], low[new]
+        bucket = (((high >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        keys, blobs = bucket[begin].tolist(), [packed(ids[a:b], high[a:b], low[a:b]) for a, b in zip(begin, [*begin[1:], len(ids)], strict=True)]
+        if len(settled):
+            ids, high, _ = (np.concatenate(c) for c in zip(*held, strict=True))
+            pairs = np.unique(np.rec.fromarrays([ids[settled], high[settled]]))
+            keys.append(int(pairs.f1[0] % np.uint64(buckets)))
+            blobs.append(packed(pairs.f0, pairs.f1, None))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, n = sent.value, [], 0
@@ -243,9 +294,11 @@ def _candidates(length: int, cells: int, sent):
                 continue
             high = window_hashes(data, starts, ends, 0, length)[at]
             found = np.flatnonzero(repeated(high, cells, bits))
+            if not len(found):
+                continue
             low = window_hashes(data, starts, ends, 1, length)[at[found]]
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[text[found]]
-            held.append((high[found].view(np.int64), low.view(np.int64), ids.astype(np.int64)))
+            held.append((ids.astype(np.int64), high[found], low))
             n += len(found)
             if n >= COLLECTED:
                 yield from emitted(held)
@@ -257,17 +310,48 @@ def _candidates(length: int, cells: int, sent):
     return candidates
 
 
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, blob) sorted by bucket (doc_id, high): the windows of each document that go."""
+
+    def rows(ids: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(ids, kind="stable")
+        ids, high = ids[order], high[order]
+        if not len(ids):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["doc_id", "high"])
+        begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        blobs = [high[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(ids)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[begin], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "high"])
+
+    def closed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if held:
+            ids, high, low = (np.concatenate(c) for c in zip(*held, strict=True))
+            order, gone = later(ids, high, low)
+            yield rows(ids[order[gone]], high[order[gone]])
+
+    now, held = None, []
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+            if bucket != now:
+                yield from closed(held)
+                now, held = bucket, []
+            ids, high, low = unpacked(blob.as_py())
+            if low is None:
+                yield rows(ids, high)
+            else:
+                held.append((ids, high, low))
+    yield from closed(held)
+    release()
+
+
 def removable(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, removed): digests of the windows of each document (doc_id long, text) that a smaller id has too."""
     docs = docs.filter("doc_id is not null")
-    cells, bits = sketch(docs, length)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells, bits = sketch(docs, size, length)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
-    found = docs.select("doc_id", "text").mapInArrow(_candidates(length, cells, sent), "high long, low long, doc_id long, settled array<long>")
-    # Settled rows travel by their document's id, so that one exchange does for both.
-    keyed = found.select(F.coalesce("high", F.xxhash64("doc_id")).alias("k"), F.col("low"), "doc_id", "settled", "high")
-    smallest = F.min(F.when(F.col("high").isNotNull(), F.col("doc_id"))).over(Window.partitionBy("k", "low"))
-    later = keyed.withColumn("smallest", smallest).filter(F.col("settled").isNotNull() | (F.col("doc_id") > F.col("smallest")))
-    return later.groupBy("doc_id").agg(F.flatten(F.collect_list(F.coalesce("settled", F.array("high")))).alias("removed"))
+    found = docs.select("doc_id", "text").mapInArrow(_candidates(length, cells, max(1, size // PER_BUCKET), sent), "bucket long, blob binary")
+    gone = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolved, "doc_id long, high binary")
+    return gone.groupBy("doc_id").agg(F.collect_list("high").alias("removed"))
 
 
 def with_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -280,14 +364,14 @@ def with_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return docs.withColumn("__id", F.col(doc_id).cast("long")).join(gone, "__id", "left").drop("__id")
 
 
-def kept(text: str | None, removed: np.ndarray | None, length: int = LENGTH) -> tuple[list[bytes], int]:
+def kept(text: str | None, removed: list[bytes] | None, length: int = LENGTH) -> tuple[list[bytes], int]:
     """The words that stay, as UTF-8, and the number of all words."""
     data = (text or "").encode("utf-8", "surrogatepass")
     all_words = data.split()
     if removed is None or len(all_words) < length:
         return all_words, len(all_words)
     buffer, starts, ends, _ = words(pa.array([data], pa.large_binary()).view(pa.large_string()))
-    hit = np.isin(window_hashes(buffer, starts, ends, 0, length), np.asarray(removed, np.int64).view(np.uint64))
+    hit = np.isin(window_hashes(buffer, starts, ends, 0, length), np.frombuffer(b"".join(removed), "<u8"))
     covered = np.zeros(len(all_words) + 1, np.int64)
     np.add.at(covered, np.flatnonzero(hit), 1)
     np.subtract.at(covered, np.flatnonzero(hit) + length, 1)
