@@ -3,12 +3,12 @@
 A window is `length` consecutive words of one document; words are what ASCII white space leaves. A word is removed where a window
 covers it that a document with a smaller id has too; windows are judged on the input.
 
-* Pass 1. Each task sorts the cells of its windows and emits, for every stretch of CELLS cells, which were met once and which more often:
+* Pass 1. Each task sorts the cells of its windows and emits, for every stretch of cells, which were met once and which more often:
   its sketch, whose counters end at 2, since only "repeated or not" is asked. Stretches of all tasks are merged as sorted streams, in
   which a task holds one stretch at a time. The sketch has ROWS rows of about three cells a window (from the bytes of the corpus),
   MOST at most: 2 ** 30 bits a row, so that what is broadcast, a bit a cell, is 256 MB at most.
 * Pass 2. Windows whose cells all say "repeated" go on; a window that stands twice cannot be missed. A task sorts those it has
-  collected: of equal windows only its smallest document is open and goes on with a digest of 128 bits, the others are settled where
+  collected: of equal windows only the smallest document's is open and goes on with a digest of 96 bits, the others are settled where
   they are. Open ones meet in buckets of digests, which hold the windows of PER_BUCKET bytes of text each: a window has one entry a
   task in them, however often it stands; each but the smallest document's is removed.
 * Removed windows come back to their documents by id; documents find them again by their digests.
@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 from helixlake.llm._shared import release, small_batches, table
 
 LENGTH = 13
-#: Rows of the sketch, cells of a stretch of a row, bytes of text for each cell, and cells of a row at most.
-ROWS, CELLS, BYTES_A_CELL, MOST = 2, 1 << 16, 2, 1 << 30
+#: Rows of the sketch, stretches of a row (so that a task emits as many parts at any size), bytes of text for each cell, and cells
+#: of a row at most.
+ROWS, STRETCHES, BYTES_A_CELL, MOST = 2, 256, 2, 1 << 30
 #: Bytes of texts and windows that a task works on or collects at one time, and the longest word that is hashed in steps.
 BYTES, COLLECTED, LONG = 4 << 20, 1 << 20, 64
-HEADER, HEADER_SIZE = "<QQ?", struct.calcsize("<QQ?")
+HEADER, HEADER_SIZE = "<QQ??", struct.calcsize("<QQ??")
 #: Bytes of texts for each bucket of open windows.
 PER_BUCKET = 8 << 20
 #: Odd multipliers of hashes.
@@ -155,6 +156,7 @@ def decoded(steps: bytes) -> np.ndarray:
 
 def _sketched(length: int, cells: int):
     """Sketches of tasks: rows (stretch, met, often), the cells of a stretch that were met, and met more than once."""
+    size = cells // STRETCHES
 
     def emitted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for row, at in enumerate(cells_of(np.concatenate(held), cells)):
@@ -164,11 +166,11 @@ def _sketched(length: int, cells: int):
             several = np.diff(np.concatenate([new, [len(at)]])) > 1
             for column, some in (("met", at[new]), ("often", at[new[several]])):
                 if len(some):
-                    stretch, low = some // CELLS, some % CELLS
+                    stretch, low = some // size, some % size
                     begin = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]]))
                     blobs = pa.array(coded(low, stretch, begin), pa.binary())
                     none = pa.nulls(len(begin), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(stretch[begin] + row * (cells // CELLS)), *((blobs, none) if column == "met" else (none, blobs))], ["stretch", "met", "often"])
+                    yield pa.RecordBatch.from_arrays([pa.array(stretch[begin] + row * STRETCHES), *((blobs, none) if column == "met" else (none, blobs))], ["stretch", "met", "often"])
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -179,7 +181,7 @@ def _sketched(length: int, cells: int):
                 continue
             held.append(window_hashes(data, starts, ends, 0, length)[at])
             n += len(at)
-            if n >= 3 * COLLECTED:
+            if n >= 5 * COLLECTED:
                 yield from emitted(held)
                 held, n = [], 0
         if n:
@@ -189,39 +191,46 @@ def _sketched(length: int, cells: int):
     return sketched
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _united(size: int):
     """Of rows (stretch, met, often) sorted by stretch the cells of each stretch that stand twice or more, as bits."""
-    now, once, twice = None, np.zeros(CELLS, bool), np.zeros(CELLS, bool)
 
-    def closed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["stretch", "bits"])
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, once, twice = None, np.zeros(size, bool), np.zeros(size, bool)
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["stretch", "bits"])
+
+        for batch in batches:
+            for stretch, met, often in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if stretch != now:
+                    if now is not None:
+                        yield closed()
+                    now = stretch
+                    once[:] = twice[:] = False
+                if met is not None:
+                    at = decoded(met)
+                    twice[at[once[at]]] = True
+                    once[at] = True
+                if often is not None:
+                    twice[decoded(often)] = True
+        if now is not None:
+            yield closed()
+        release()
 
-    for batch in batches:
-        for stretch, met, often in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if stretch != now:
-                if now is not None:
-                    yield closed()
-                now = stretch
-                once[:] = twice[:] = False
-            if met is not None:
-                at = decoded(met)
-                twice[at[once[at]]] = True
-                once[at] = True
-            if often is not None:
-                twice[decoded(often)] = True
-    if now is not None:
-        yield closed()
+    return united
 
 
 def sketch(docs: DataFrame, size: int, length: int = LENGTH) -> tuple[int, np.ndarray]:
     """Cells of a row, and a bit for each cell of all rows that says whether its windows stand twice or more, for docs (text) of
     about `size` bytes."""
-    cells = min(MOST, -(-max(1, size // BYTES_A_CELL) // CELLS) * CELLS)
+    stretch = min(MOST, size // BYTES_A_CELL) // (8 * STRETCHES) * 8 + 8
+    cells = stretch * STRETCHES
     partial = docs.select("text").mapInArrow(_sketched(length, cells), "stretch long, met binary, often binary")
-    united = partial.repartition("stretch").sortWithinPartitions("stretch").mapInArrow(_united, "stretch long, bits binary")
+    united = partial.repartition("stretch").sortWithinPartitions("stretch").mapInArrow(_united(stretch), "stretch long, bits binary")
     bits = np.zeros(ROWS * cells // 8, np.uint8)
     for r in united.collect():
-        bits[r["stretch"] * CELLS // 8 : (r["stretch"] + 1) * CELLS // 8] = np.frombuffer(r["bits"], np.uint8)
+        at = r["stretch"] * (stretch // 8)
+        bits[at : at + stretch // 8] = np.frombuffer(r["bits"], np.uint8)
     return cells, bits
 
 
@@ -235,23 +244,36 @@ def repeated(hashes: np.ndarray, cells: int, bits: np.ndarray) -> np.ndarray:
 
 
 def packed(ids: np.ndarray, high: np.ndarray, low: np.ndarray | None) -> bytes:
-    """Windows as columns: the documents among them, and for each window its document's place, and its digest's halves."""
+    """Windows as columns: the documents among them, and for each window its document's place and its digest; with `low`, the
+    digests are in order, and their first halves are kept as steps, of six bytes where that will do."""
     docs, place = np.unique(ids, return_inverse=True)
-    width = "<u2" if len(docs) <= 1 << 16 else "<u4"
-    parts = [struct.pack(HEADER, len(docs), len(high), low is not None), docs.astype("<i8"), place.astype(width), high.astype("<u8"), *([] if low is None else [low.astype("<u8")])]
-    return b"".join(x if isinstance(x, bytes) else x.tobytes() for x in parts)
+    place = place.astype("<u2" if len(docs) <= 1 << 16 else "<u4")
+    steps = high if low is None else np.diff(high, prepend=np.uint64(0))
+    wide = low is None or len(steps) < 2 or int(steps[1:].max()) >> 48 > 0
+    eights = steps.astype("<u8")
+    rest = eights.tobytes() if wide else eights[:1].tobytes() + eights[1:].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return struct.pack(HEADER, len(docs), len(high), low is not None, wide) + docs.astype("<i8").tobytes() + place.tobytes() + rest + (b"" if low is None else low.astype("<u4").tobytes())
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    many, n, whole = struct.unpack_from(HEADER, blob)
+    many, n, whole, wide = struct.unpack_from(HEADER, blob)
     at = HEADER_SIZE
     docs = np.frombuffer(blob, "<i8", many, at)
     at += 8 * many
-    width = "<u2" if many <= 1 << 16 else "<u4"
-    place = np.frombuffer(blob, width, n, at)
-    at += n * place.itemsize
-    high = np.frombuffer(blob, "<u8", n, at)
-    return docs[place], high, np.frombuffer(blob, "<u8", n, at + 8 * n) if whole else None
+    place = np.frombuffer(blob, "<u2" if many <= 1 << 16 else "<u4", n, at)
+    at += place.nbytes
+    if wide:
+        high = np.frombuffer(blob, "<u8", n, at)
+        at += 8 * n
+    else:
+        bytes_ = np.zeros((n, 8), np.uint8)
+        bytes_[0] = np.frombuffer(blob, np.uint8, 8, at)
+        bytes_[1:, :6] = np.frombuffer(blob, np.uint8, 6 * (n - 1), at + 8).reshape(-1, 6)
+        high = bytes_.view("<u8").ravel()
+        at += 8 + 6 * (n - 1)
+    if not whole:
+        return docs[place], high, None
+    return docs[place], np.cumsum(high, dtype=np.uint64), np.frombuffer(blob, "<u4", n, at)
 
 
 def later(ids: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +318,7 @@ def _candidates(length: int, cells: int, buckets: int, sent):
             found = np.flatnonzero(repeated(high, cells, bits))
             if not len(found):
                 continue
-            low = window_hashes(data, starts, ends, 1, length)[at[found]]
+            low = (window_hashes(data, starts, ends, 1, length)[at[found]] >> np.uint64(32)).astype(np.uint32)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[text[found]]
             held.append((ids.astype(np.int64), high[found], low))
             n += len(found)
