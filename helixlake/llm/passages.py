@@ -131,10 +131,10 @@ def own(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return start, text
 
 
-def cells_of(hashes: np.ndarray, cells: int) -> list[np.ndarray]:
-    """The cell of each hash in each row of the sketch, from its two halves."""
+def cells_of(hashes: np.ndarray, cells: int, row: int) -> np.ndarray:
+    """The cell of each hash in a row of the sketch, from one of its halves."""
     half = np.uint64(32)
-    return [((hashes >> half) * np.uint64(cells)) >> half, ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(cells)) >> half]
+    return (((hashes & np.uint64(0xFFFFFFFF) if row else hashes >> half) * np.uint64(cells)) >> half).astype(np.uint32)
 
 
 def coded(at: np.ndarray, stretch: np.ndarray, begin: np.ndarray) -> list[bytes]:
@@ -159,14 +159,16 @@ def _sketched(length: int, cells: int):
     size = cells // STRETCHES
 
     def emitted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for row, at in enumerate(cells_of(np.concatenate(held), cells)):
-            at = at.astype(np.int64)
+        hashes = np.concatenate(held)
+        held.clear()
+        for row in range(ROWS):
+            at = cells_of(hashes, cells, row)
             at.sort()
             new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             several = np.diff(np.concatenate([new, [len(at)]])) > 1
             for column, some in (("met", at[new]), ("often", at[new[several]])):
                 if len(some):
-                    stretch, low = some // size, some % size
+                    stretch, low = (some // np.uint32(size)).astype(np.int64), (some % np.uint32(size)).astype(np.int64)
                     begin = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]]))
                     blobs = pa.array(coded(low, stretch, begin), pa.binary())
                     none = pa.nulls(len(begin), pa.binary())
@@ -181,9 +183,9 @@ def _sketched(length: int, cells: int):
                 continue
             held.append(window_hashes(data, starts, ends, 0, length)[at])
             n += len(at)
-            if n >= 5 * COLLECTED:
+            if n >= 4 * COLLECTED:
                 yield from emitted(held)
-                held, n = [], 0
+                n = 0
         if n:
             yield from emitted(held)
         release()
@@ -237,8 +239,8 @@ def sketch(docs: DataFrame, size: int, length: int = LENGTH) -> tuple[int, np.nd
 def repeated(hashes: np.ndarray, cells: int, bits: np.ndarray) -> np.ndarray:
     """Whether a window may stand twice or more."""
     found = np.ones(len(hashes), bool)
-    for row, at in enumerate(cells_of(hashes, cells)):
-        at += np.uint64(row * cells)
+    for row in range(ROWS):
+        at = cells_of(hashes, cells, row).astype(np.uint64) + np.uint64(row * cells)
         found &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
     return found
 
@@ -336,13 +338,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (bucket, blob) sorted by bucket (doc_id, high): the windows of each document that go."""
 
     def rows(ids: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(ids, kind="stable")
-        ids, high = ids[order], high[order]
-        if not len(ids):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["doc_id", "high"])
-        begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        blobs = [high[a:b].tobytes() for a, b in zip(begin, [*begin[1:], len(ids)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[begin], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(high.view("<i8"), pa.int64())], ["doc_id", "high"])
 
     def closed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if held:
@@ -372,7 +368,7 @@ def removable(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cells, bits = sketch(docs, size, length)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
     found = docs.select("doc_id", "text").mapInArrow(_candidates(length, cells, max(1, size // PER_BUCKET), sent), "bucket long, blob binary")
-    gone = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolved, "doc_id long, high binary")
+    gone = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolved, "doc_id long, high long")
     return gone.groupBy("doc_id").agg(F.collect_list("high").alias("removed"))
 
 
@@ -386,14 +382,14 @@ def with_removed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return docs.withColumn("__id", F.col(doc_id).cast("long")).join(gone, "__id", "left").drop("__id")
 
 
-def kept(text: str | None, removed: list[bytes] | None, length: int = LENGTH) -> tuple[list[bytes], int]:
+def kept(text: str | None, removed: np.ndarray | list[int] | None, length: int = LENGTH) -> tuple[list[bytes], int]:
     """The words that stay, as UTF-8, and the number of all words."""
     data = (text or "").encode("utf-8", "surrogatepass")
     all_words = data.split()
     if removed is None or len(all_words) < length:
         return all_words, len(all_words)
     buffer, starts, ends, _ = words(pa.array([data], pa.large_binary()).view(pa.large_string()))
-    hit = np.isin(window_hashes(buffer, starts, ends, 0, length), np.frombuffer(b"".join(removed), "<u8"))
+    hit = np.isin(window_hashes(buffer, starts, ends, 0, length), np.asarray(removed, np.int64).view(np.uint64))
     covered = np.zeros(len(all_words) + 1, np.int64)
     np.add.at(covered, np.flatnonzero(hit), 1)
     np.subtract.at(covered, np.flatnonzero(hit) + length, 1)
