@@ -302,31 +302,28 @@ def _merge(length: int):
         out: dict[bytes, list[int]] = defaultdict(list)
 
         def close(group: list, prefixes: list[int]) -> None:
+            group = [(*e[:4], b"".join(e[4])) for e in group]
             for e, spans in zip(group, repeated_windows(group, prefixes, length), strict=True):
                 for m in range(0, len(e[4]), MEMBER_SIZE) if spans else ():
                     tkey, first, _ = struct.unpack_from(MEMBER, e[4], m)
                     for a, b in spans:
                         out[tkey] += (first + a, first + b - 1 + length)
 
-        group, prefixes = [], []
-        for same, entry in merged([decoded(b) for b in rows["blob"]]):
-            if group and same >= GRAM:
-                # An equal context from another run joins the entry before it.
-                for k in range(len(group) - 1, -1, -1):
-                    if group[k][1] != entry[1]:
-                        break
-                    if group[k][2:4] == entry[2:4]:
-                        group[k] = (*group[k][:4], group[k][4] + entry[4])
-                        break
-                else:
-                    k = -1
-                if k >= 0 and group[k][1] == entry[1] and group[k][2:4] == entry[2:4]:
-                    continue
-                group.append(entry)
-                prefixes.append(same)
-            else:
+        # Of the entries with the last one's suffix (they are neighbours): the place in the group of each left side and number of windows.
+        group, prefixes, alike = [], [], {}
+        for same, (_, right, left, n, members) in merged([decoded(b) for b in rows["blob"]]):
+            if group and same < GRAM:
                 close(group, prefixes)
-                group, prefixes = [entry], [same]
+                group, prefixes = [], []
+            if not group or group[-1][1] != right:
+                alike = {}
+            at = alike.setdefault((left, n), len(group))
+            if at < len(group):
+                # An equal context from another run joins its entry.
+                group[at][4].append(members)
+            else:
+                group.append((same, right, left, n, [members]))
+                prefixes.append(same)
         close(group, prefixes)
         return pd.DataFrame({"tkey": list(out), "spans": [np.array(v, np.int64) for v in out.values()]}, dtype=object)
 

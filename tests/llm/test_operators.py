@@ -5,8 +5,11 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -348,3 +351,21 @@ def test_language_network_learns_and_rejects(spark):
     found = {r.doc_id: r for r in langid.predict(d, net).collect()}
     assert all(found[i].lang_pred == lang for i, _, lang in data[80:]) and found[900].lang_pred == found[901].lang_pred == found[902].lang_pred == "und"
     assert langid.fit(d.filter("lang is null")) is None
+
+
+def test_suffixes_with_one_ending_merge_in_linear_time():
+    """Texts with different beginnings and one ending have equal suffixes at its anchors, and different bytes before them."""
+    rng = np.random.default_rng(3)
+    ending = bytes(rng.integers(97, 123, 260, np.uint8)).decode()
+    texts = [bytes(rng.integers(97, 123, 150, np.uint8)).decode() + ending for _ in range(16_000)]
+    packed = []
+    for t in texts:
+        _, q, first, last = suffixes.anchors(t.encode())
+        packed.append((q << 16 | (q - first) << 8 | (last - first)).tolist())
+    batch = pa.RecordBatch.from_pydict({"tkey": [i.to_bytes(16, "big") for i in range(len(texts))], "text": texts, "packed": packed})
+    blobs = [b for r in suffixes._runs(suffixes.LENGTH, 1)([batch]) for b in r.column("blob").to_pylist()]
+    began = time.process_time()
+    found = suffixes._merge(suffixes.LENGTH)(pd.DataFrame({"blob": blobs}))
+    assert time.process_time() - began < 20
+    ends = {k: suffixes.union(np.array(v)) for k, v in zip(found["tkey"], found["spans"], strict=True)}
+    assert len(ends) == len(texts) and all(v[-1][1] == 410 and v[-1][0] <= 150 for v in ends.values())
