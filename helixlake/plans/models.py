@@ -115,7 +115,10 @@ def row_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of each row against its columns' residues in bits, and the mean of its posterior codes, here the residues' shares."""
     cells = columns.residues(tables.alignments(spark, d)).join(_column_shares(spark, d), ["aln_id", "apos", "residue"])
     bits, code = F.log2(F.col("share") / 0.25), ab.posterior_code(F.col("share"))
-    return cells.groupBy("aln_id", "seq_id").agg(F.count("*").alias("n"), F.round(F.sum(bits), 5).alias("score"), F.round(F.avg(ab.mean_of_code(code)), 5).alias("pp"))
+    # Codes are whole thousandths, so that their mean is rounded in whole numbers, in whatever order they are added up.
+    thousandths = F.sum(F.round(ab.mean_of_code(code) * 1000).cast("long"))
+    found = cells.groupBy("aln_id", "seq_id").agg(F.count("*").alias("n"), F.round(F.sum(bits), 5).alias("score"), thousandths.alias("t"))
+    return found.select("aln_id", "seq_id", "n", "score", (F.expr("(200 * t + n) div (2 * n)") / 1e5).alias("pp"))
 
 
 def transition_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +197,7 @@ ORACLE_SQL |= {
     + """, b AS (SELECT aln_id, apos, residue, share, row_number() OVER (PARTITION BY aln_id, apos ORDER BY share DESC, residue) AS k FROM share)
   SELECT aln_id, count(*)::INT AS n, string_agg(CASE WHEN log2(share / 0.25e0) >= 1 THEN residue ELSE lower(residue) END, '' ORDER BY apos) AS consensus FROM b WHERE k = 1 GROUP BY ALL""",
     "row_scores": _share_sql()
-    + """ SELECT aln_id, seq_id, count(*) AS n, round(sum(log2(share / 0.25e0)), 5) AS score, round(avg(CASE WHEN share + 0.05e0 >= 1 THEN 0.975e0 WHEN floor((share + 0.05e0) * 10) = 0 THEN 0.025e0 ELSE floor((share + 0.05e0) * 10) / 10 END), 5) AS pp
+    + """ SELECT aln_id, seq_id, count(*) AS n, round(sum(log2(share / 0.25e0)), 5) AS score, (200 * sum(CASE WHEN share + 0.05e0 >= 1 THEN 975 WHEN floor((share + 0.05e0) * 10) = 0 THEN 25 ELSE floor((share + 0.05e0) * 10)::INT * 100 END) + count(*)) // (2 * count(*)) / 1e5 AS pp
   FROM cells JOIN share USING (aln_id, apos, residue) GROUP BY ALL""",
     # Every row at every step between neighbouring consensus columns.
     "transition_counts": _share_sql()
