@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixlake.plans import alignments, catalog, files, models, scalars, windows
+from helixlake.plans import alignments, catalog, files, models, scalars, trees, windows
 
-MODULES = (catalog, scalars, windows, alignments, files, models)
+MODULES = (catalog, scalars, windows, alignments, files, models, trees)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = catalog.FLAGSHIP
