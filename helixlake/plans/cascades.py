@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from helixlake.operators import cascade
 from helixlake.plans import catalog
-from helixlake.plans.catalog import INCLUDE, REPORT
 from helixlake.sources import tables
 
 #: Locations of the models' Viterbi and Forward bits, as 40,000 windows of random residues have them.
 LOCATIONS = {"stem": (4.68, 6.46), "loop": (4.16, 5.16), "tail": (5.03, 7.59)}
 MODELS = [m | {"viterbi_mu": LOCATIONS[m["name"]][0], "forward_mu": LOCATIONS[m["name"]][1]} for m in catalog.MODELS]
-#: P-values that a window must reach at each stage.
-THRESHOLDS = {"f1": 0.02, "f2": 0.02, "f3": 0.005, "f3b": 0.005}
+#: P-values that a window must reach at each stage: the first is a diagonal's, the others are a whole window's.
+THRESHOLDS = {"f1": 0.02, "f2": 0.25, "f3": 0.2, "f3b": 0.2}
+REPORT, INCLUDE = 500_000.0, 50_000.0
 
 
 def gapped_search(spark: SparkSession, d: str) -> DataFrame:
