@@ -59,7 +59,7 @@ def is_residue(symbol: Column) -> Column:
 
 
 def is_gap(symbol: Column) -> Column:
-    return symbol == "-"
+    return symbol.isin("-", ".", "_")
 
 
 def is_missing(symbol: Column) -> Column:

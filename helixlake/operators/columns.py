@@ -7,11 +7,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixlake.functions import alphabet
 
-def residues(aln: DataFrame) -> DataFrame:
-    """aln_id, seq_id, apos (from 1), residue of every cell of an alignment that its rows spell out."""
-    cells = aln.select("aln_id", "seq_id", F.posexplode(F.split("row", "")).alias("p", "residue")).filter("residue <> ''")
-    return cells.select("aln_id", "seq_id", (F.col("p") + 1).alias("apos"), "residue")
+
+#: Symbols of a row that are no residues: gaps, and missing data.
+OUTSIDE = "-._*~"
+
+
+def residues(aln: DataFrame, *keep: str) -> DataFrame:
+    """aln_id, seq_id, apos (from 1), residue of every cell of an alignment that its rows spell out, with other columns to keep; dots
+    and underscores are gaps too."""
+    cells = aln.select("aln_id", "seq_id", *keep, F.posexplode(F.split(F.translate("row", "._", "--"), "")).alias("p", "residue")).filter("residue <> ''")
+    return cells.select("aln_id", "seq_id", *keep, (F.col("p") + 1).alias("apos"), "residue")
 
 
 def shapes(aln: DataFrame) -> DataFrame:
@@ -28,15 +35,20 @@ def counts(aln: DataFrame) -> DataFrame:
 
 
 def fragments(aln: DataFrame, share: float = 0.5) -> DataFrame:
-    """Rows with `fragment`: whether the span of their residues is below a share of the columns, rounded up. A fragment's ends
-    are missing data, those of other rows gaps."""
-    return aln.join(shapes(aln), "aln_id").withColumn("fragment", F.length("row") < F.ceil(F.lit(share) * F.col("alen")))
+    """Rows with `span`, the columns from their first residue to their last, and `fragment`: whether that is below a share of the
+    alignment's columns, rounded up. A fragment's ends are missing data, those of other rows gaps."""
+    started = F.ltrim(F.col("row"), F.lit(OUTSIDE))
+    spans = aln.withColumns({"first": F.length("row") - F.length(started) + 1, "span": F.length(F.rtrim(started, F.lit(OUTSIDE)))})
+    return spans.join(shapes(aln), "aln_id").withColumn("fragment", F.col("span") < F.ceil(F.lit(share) * F.col("alen")))
 
 
 def consensus_columns(aln: DataFrame, share: float = 0.5) -> DataFrame:
-    """aln_id, apos of the columns where gaps are less than a share; ends of fragments count for nothing."""
+    """aln_id, apos of the columns where gaps are less than a share; ends of fragments count for nothing, and so does missing data."""
     rows = fragments(aln)
-    spelled = residues(aln).groupBy("aln_id", "apos").agg(F.sum((F.col("residue") != "-").cast("long")).alias("held"), F.count("*").alias("spelled"))
+    cells = residues(rows, "first", "span", "fragment")
+    inside = ~F.col("fragment") | ((F.col("apos") >= F.col("first")) & (F.col("apos") < F.col("first") + F.col("span")))
+    count = lambda c: F.sum(c.cast("long"))
+    spelled = cells.groupBy("aln_id", "apos").agg(count(alphabet.is_residue(F.col("residue"))).alias("held"), count(alphabet.is_gap(F.col("residue")) & inside).alias("open"))
     whole = rows.filter("not fragment").groupBy("aln_id", F.length("row").alias("n")).agg(F.count("*").alias("rows"))
     # Rows that are no fragments and end before a column hold a gap there: all of them less those that reach it.
     of_all = whole.groupBy("aln_id").agg(F.sum("rows").alias("whole"))
@@ -44,9 +56,9 @@ def consensus_columns(aln: DataFrame, share: float = 0.5) -> DataFrame:
     reaching = reaching.groupBy("aln_id", "apos").agg(F.sum("rows").alias("rows"))
     downwards = Window.partitionBy("aln_id").orderBy(F.desc("apos"))
     reached = reaching.withColumn("reach", F.sum("rows").over(downwards)).select("aln_id", "apos", "reach")
-    gaps = F.col("spelled") - F.col("held") + F.coalesce("whole", F.lit(0)) - F.coalesce("reach", F.lit(0))
+    gaps = F.col("open") + F.coalesce("whole", F.lit(0)) - F.coalesce("reach", F.lit(0))
     found = spelled.join(reached, ["aln_id", "apos"], "left").join(of_all, "aln_id", "left").withColumn("gaps", gaps)
-    return found.filter(F.col("gaps") / (F.col("held") + F.col("gaps")) < share).select("aln_id", "apos")
+    return found.filter((F.col("held") > 0) & (F.col("gaps") / F.greatest(F.col("held") + F.col("gaps"), F.lit(1)) < share)).select("aln_id", "apos")
 
 
 def position_weights(aln: DataFrame) -> DataFrame:
@@ -76,8 +88,8 @@ def identities(aln: DataFrame, every: int = 100, blocks: int = 16) -> DataFrame:
     others = aln.select("aln_id", F.col("seq_id").alias("s2"), F.col("row").alias("r2"), F.pmod(F.xxhash64("seq_id"), F.lit(blocks)).cast("int").alias("block"))
     both = queries.join(others, ["aln_id", "block"]).filter("s1 <> s2")
     letters = lambda c: F.split(c, "")
-    equal = F.size(F.filter(F.zip_with(letters("r1"), letters("r2"), lambda x, y: (x == y) & ~x.isin("", "-")), lambda t: t))
-    real = lambda c: F.length(F.translate(c, "-", ""))
+    equal = F.size(F.filter(F.zip_with(letters("r1"), letters("r2"), lambda x, y: (x == y) & alphabet.is_residue(x)), lambda t: t))
+    real = lambda c: F.length(F.translate(c, OUTSIDE, ""))
     shorter = F.least(real("r1"), real("r2"))
     return both.select("aln_id", "s1", "s2", F.when(shorter > 0, equal / shorter).otherwise(0.0).alias("pid"))
 

@@ -41,7 +41,7 @@ def identities(spark: SparkSession, d: str) -> DataFrame:
 def fragments(spark: SparkSession, d: str) -> DataFrame:
     """Each row's span and whether it is a fragment, whose open ends are missing data."""
     rows = columns.fragments(tables.alignments(spark, d))
-    return rows.select("aln_id", "seq_id", F.length("row").alias("span"), F.col("fragment").cast("int").alias("fragment"), F.when(F.col("fragment"), F.col("alen") - F.length("row")).otherwise(0).alias("missing"))
+    return rows.select("aln_id", "seq_id", "span", F.col("fragment").cast("int").alias("fragment"), F.when(F.col("fragment"), F.col("alen") - F.col("span")).otherwise(0).alias("missing"))
 
 
 def column_subset(spark: SparkSession, d: str) -> DataFrame:
