@@ -21,7 +21,10 @@ BITS = 0.2
 
 def column_posteriors(spark: SparkSession, d: str) -> DataFrame:
     """The mean posterior probabilities of the four residues in every consensus column."""
-    found = weighting.column_counts(tables.alignments(spark, d)).withColumn("posterior", priors.posterior(F.col("counts"), MIXTURE))
+    counts = weighting.column_counts(tables.alignments(spark, d))
+    # Equal counts have one posterior, which is worked out once.
+    once = counts.select("counts").distinct().withColumn("posterior", priors.posterior(F.col("counts"), MIXTURE))
+    found = counts.join(once, "counts")
     return found.select("aln_id", "apos", *(F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{r.lower()}") for i, r in enumerate("ACGU")))
 
 
