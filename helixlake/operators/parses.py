@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ from helixlake.operators.columns import OUTSIDE
 PARSES = "model long, seq_id string, tidx int, nd int, v int, state string, nxt int, emitl int, emitr int, n int, gap int, l string, r string"
 #: A residue counts twelve twelfths, a degenerate one equal shares of them, so that sums are whole.
 TWELFTHS = 12
+NAMED = [c.split()[0] for c in PARSES.split(", ")]
+NAMES = ["S", "MP", "ML", "MR", "D", "IL", "IR", "B", "E"]
+RESIDUE, GAP = (np.array([(chr(c) in of) == wanted for c in range(256)]) for of, wanted in ((OUTSIDE, False), (trees.GAPS, True)))
 
 
 def layouts(nodes: DataFrame) -> DataFrame:
@@ -38,40 +42,53 @@ def layouts(nodes: DataFrame) -> DataFrame:
     return each.groupBy("model").agg(F.array_sort(F.collect_list(node)).alias("nodes")).select("model", *(F.col(f"nodes.{c}").alias(c) for c in ("nd", "node", "v", "il", "ir", "i", "j")))
 
 
-def _parse(row: bytes, rf: bytes | None, kind: np.ndarray, nd: np.ndarray, v: np.ndarray, il: np.ndarray, ir: np.ndarray, i: np.ndarray, j: np.ndarray) -> dict:
-    """The columns of one parse; all work is linear in the row's columns and the model's nodes."""
-    symbols = np.frombuffer(row, np.uint8)
-    held = ~np.isin(symbols, np.frombuffer(OUTSIDE.encode(), np.uint8))
-    upto = np.cumsum(held)
-    marks = np.ones(len(symbols), bool) if rf is None else ~np.isin(np.frombuffer(rf, np.uint8), np.frombuffer(trees.GAPS.encode(), np.uint8))
-    at = np.flatnonzero(marks)
-    text = symbols[held].tobytes().decode()
+def _spelled(text: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Strings of n symbols from the places where they start in a text of ASCII symbols."""
+    ends = np.concatenate([[0], np.cumsum(n)])
+    symbols = text[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])]
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(symbols.astype(np.uint8)))
+
+
+def _parse(rows: list[str], rf: str | None, kind: np.ndarray, nd: np.ndarray, v: np.ndarray, il: np.ndarray, ir: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of rows of one alignment the number of each state's row, and the columns from tidx on; linear in rows times columns and nodes."""
+    symbols = np.frombuffer("".join(rows).encode("ascii", "replace"), np.uint8).reshape(len(rows), -1)
+    held = RESIDUE[symbols]
+    upto = np.pad(np.cumsum(held, 1, dtype=np.int32), ((0, 0), (1, 0)))
+    at = np.arange(symbols.shape[1]) if rf is None else np.flatnonzero(~GAP[np.frombuffer(rf.encode("ascii", "replace"), np.uint8)])
+    text, begin = symbols[held], np.concatenate([[0], np.cumsum(upto[:, -1])])[:-1]
     # Residues up to and with each consensus position from 0, and before the one after it.
-    reached = np.concatenate([[0], upto[at]])
-    until = np.concatenate([upto[at] - held[at], upto[-1:] if len(upto) else [0]])
-    here = np.concatenate([[False], held[at], [False]])
+    reached = np.pad(upto[:, at + 1], ((0, 0), (1, 0)))
+    until = np.hstack([upto[:, at], upto[:, -1:]])
+    here = np.pad(held[:, at], ((0, 0), (1, 1)))
     left, right = np.isin(kind, ["MATP", "MATL"]), np.isin(kind, ["MATP", "MATR"])
     gl, gr = i - 1 + left, j - right
-    has_l, has_r = left & here[np.where(left, i, 0)], right & here[np.where(right, j, 0)]
+    has_l, has_r = left & here[:, np.where(left, i, 0)], right & here[:, np.where(right, j, 0)]
     step = np.where(kind == "MATP", 3 - 2 * has_l - has_r, np.where(left, 1 - has_l, np.where(right, 1 - has_r, 0)))
-    names = np.select([has_l & has_r, has_l, has_r, left | right, kind == "END", kind == "BIF"], ["MP", "ML", "MR", "D", "E", "B"], "S")
+    others = np.select([left | right, kind == "END", kind == "BIF"], [NAMES.index("D"), NAMES.index("E"), NAMES.index("B")], NAMES.index("S"))
+    state = np.where(has_l | has_r, np.where(has_l & has_r, NAMES.index("MP"), np.where(has_l, NAMES.index("ML"), NAMES.index("MR"))), others)
     # Residues between two parts of a split are the right one's, those at the ends the root's.
-    emitl = np.where(kind == "ROOT", 1, np.where(kind == "BEGR", reached[i - 1], until[i - 1]) + 1)
-    emitr = np.where(kind == "ROOT", len(text), reached[j])
-    rows = [(nd, np.zeros_like(nd), v + step, names, emitl, emitr, np.ones_like(nd), np.full_like(nd, -1))]
+    emitl = np.where(kind == "ROOT", 1, np.where(kind == "BEGR", reached[:, i - 1], until[:, i - 1]) + 1)
+    emitr = np.where(kind == "ROOT", upto[:, -1:], reached[:, j])
+    who, k = (x.ravel() for x in np.indices(state.shape))
+    one = np.ones_like(k)
+    found = [(who, nd[k], 0 * one, (v + step).ravel(), state.ravel(), emitl.ravel(), emitr.ravel(), one, -one)]
     # What a node's left insert emits stands before what its right insert does.
-    for order, state, ins, gap, low, high in ((1, "IL", il, gl, reached[np.minimum(gl, len(at))], emitr - has_r), (2, "IR", ir, gr, until[np.minimum(gl, len(at))], until[np.maximum(gr, 0)])):
-        between = np.clip(gap, 0, len(at))
-        k = np.flatnonzero((ins >= 0) & (until > reached)[between])
-        rows.append((nd[k], np.full_like(k, order), ins[k], np.full(len(k), state), low[k] + 1, high[k], (until - reached)[between[k]], gap[k]))
-    nds, orders, vs, states, lo, hi, n, gap = (np.concatenate(x) for x in zip(*rows, strict=True))
-    order = np.lexsort((orders, nds))
-    nds, vs, states, lo, hi, n, gap = (x[order] for x in (nds, vs, states, lo, hi, n, gap))
-    nxt = np.append(vs[1:], -1)
-    nxt[np.isin(states, ["E", "B"])] = -1
-    spelled_l = [text[a - 1 : a] if s in ("MP", "ML") else text[reached[g] : reached[g] + m] if g >= 0 else "" for s, a, m, g in zip(states, lo, n, gap, strict=True)]
-    spelled_r = [text[b - 1 : b] if s in ("MP", "MR") else "" for s, b in zip(states, hi, strict=True)]
-    return {"tidx": np.arange(len(vs)), "nd": nds, "v": vs, "state": states, "nxt": nxt, "emitl": lo, "emitr": hi, "n": n, "gap": gap, "l": spelled_l, "r": spelled_r}
+    for order, name, ins, gap, low, high in ((1, "IL", il, gl, reached, emitr - has_r), (2, "IR", ir, gr, until, until[:, np.maximum(gr, 0)])):
+        many = (until - reached)[:, np.clip(gap, 0, len(at))]
+        r, k = np.nonzero((ins >= 0) & (many > 0))
+        found.append((r, nd[k], np.full_like(k, order), ins[k], np.full_like(k, NAMES.index(name)), low[r, gl[k]] + 1, high[r, k], many[r, k], gap[k]))
+    whole = [np.concatenate(x) for x in zip(*found, strict=True)]
+    inorder = np.lexsort((whole[2], whole[1], whole[0]))
+    who, nd, _, v, state, emitl, emitr, n, gap = (x[inorder] for x in whole)
+    nxt = np.where(np.isin(state, [NAMES.index("E"), NAMES.index("B")]), -1, np.append(v[1:], -1))
+    inserted, both = gap >= 0, state == NAMES.index("MP")
+    low = np.where(inserted, reached[who, np.maximum(gap, 0)], emitl - 1)
+    of_left = np.where(inserted, n, both | (state == NAMES.index("ML")))
+    of_right = both | (state == NAMES.index("MR"))
+    l, r = _spelled(text, np.where(of_left, begin[who] + low, 0), of_left), _spelled(text, np.where(of_right, begin[who] + emitr - 1, 0), of_right.astype(int))
+    tidx = np.arange(len(who)) - np.searchsorted(who, who)
+    number = lambda x: pa.array(x.astype(np.int32))
+    return who, [number(tidx), number(nd), number(v), pa.array(NAMES).take(pa.array(state)), number(nxt), number(emitl), number(emitr), number(n), number(gap), l, r]
 
 
 def from_rows(aln: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
@@ -88,18 +105,15 @@ def from_rows(aln: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, out, ids, known = batch.slice(at, 256).to_pydict(), [], [], {}
-                for k, (model, row, rf) in enumerate(zip(part["model"], part["row"], part["rf"], strict=True)):
-                    if model not in known:
-                        known[model] = {c: np.array(part[c][k], np.int32) for c in ("nd", "v", "il", "ir", "i", "j")} | {"kind": np.array(part["node"][k])}
-                    found = _parse(row.encode(), rf and rf.encode(), **known[model])
-                    out.append(found)
-                    ids.append(len(found["v"]))
-                whole = {"model": pa.array(np.repeat(np.array(part["model"], np.int64), ids)), "seq_id": pa.array(part["seq_id"], pa.string()).take(pa.array(np.repeat(np.arange(len(ids)), ids)))}
-                for c in ("tidx", "nd", "v", "state", "nxt", "emitl", "emitr", "n", "gap", "l", "r"):
-                    kind = pa.string() if c in ("state", "l", "r") else pa.int32()
-                    whole[c] = pa.array(np.concatenate([np.asarray(x[c], object if c in ("l", "r") else None) for x in out]), kind)
-                yield pa.RecordBatch.from_pydict(whole)
+                part, of = batch.slice(at, 256), {}
+                for k, family in enumerate(zip(part["model"].to_pylist(), part["rf"].to_pylist(), pc.utf8_length(part["row"]).to_pylist(), strict=True)):
+                    of.setdefault(family, []).append(k)
+                for (model, rf, _), members in of.items():
+                    tree = {c: np.array(part[c][members[0]].as_py(), np.int32) for c in ("nd", "v", "il", "ir", "i", "j")} | {"kind": np.array(part["node"][members[0]].as_py())}
+                    mine = part.take(pa.array(members))
+                    who, found = _parse(mine["row"].to_pylist(), rf, **tree)
+                    ids = mine["seq_id"].take(pa.array(who))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), model, np.int64)), ids, *found], names=NAMED)
 
     return whole.mapInArrow(parsed, PARSES)
 
