@@ -5,12 +5,12 @@ number of characters, tags and characters in links. The ratio of text outside of
 with a Gaussian, and lines whose own and smoothed ratios reach a threshold of one standard deviation (at most half of the
 largest) are the page's content; they alone decide where its text is:
 
-* if most of them stand in articles, those articles are the text, whole, with short paragraphs, table cells and headlines;
+* if most of them stand in articles, those articles are the text, whole, with short paragraphs, table cells and headlines, but for small ones under a linked headline beside a large one;
 * else the lowest container that holds most of them: what shares a container with them, what stands between the first and
   the last of them unless it is mostly links, and the headings before the first. So plain blocks of a menu before the
   text and of a notice after it stay out.
 
-Navigation, scripts, asides, footers and controls never become lines. Forms, and blocks whose role, class or id names
+Scripts, asides, footers and controls never become lines, and do not end one where they stand within it. Navigation that holds no article, forms, and blocks whose role, class or id names
 what is not the article (adverts, comments, related pages and the like), are left out too, unless they hold the article itself or, on pages
 without one outside of them, half of the text; and so are headers that are not an article's with its headline.
 
@@ -36,7 +36,10 @@ from helixlake.llm._shared import slices, small_batches, table
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("script style head title noscript template nav footer aside button select textarea option label iframe object svg canvas dialog menu".split())
+DROPPED = frozenset("script style head title noscript template footer aside button select textarea option iframe object svg canvas dialog menu".split())
+#: Dropped elements that stand within a line and do not end its block; those that show something part its words.
+WITHIN = frozenset("script style noscript template button select textarea iframe object svg canvas".split())
+SHOWN = frozenset("br img button select textarea iframe object svg canvas".split())
 CONTAINERS = frozenset("article main section div td body blockquote form header".split())
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -85,7 +88,7 @@ class Lines(HTMLParser):
     @staticmethod
     def judged(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
         """Whether an element is dropped, and whether it is doubtful."""
-        drops, doubtful = tag in DROPPED, tag == "form"
+        drops, doubtful = tag in DROPPED, tag in ("form", "nav")
         for k, v in attrs:
             if k == "hidden":
                 drops = True
@@ -109,24 +112,26 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in WITHIN:
             self.flush()
             if tag in SELF_CLOSING:
                 self.close_open(tag)
-        elif tag == "br" or tag == "img":
+        elif tag in SHOWN and not (self.open and self.open[-1][1]):
             self.text.append(" ")
         if tag in VOID:
             return
         _, dropped, container = self.open[-1] if self.open else ("", False, 0)
         drops, doubtful = self.judged(tag, attrs)
         doubtful |= tag == "header"
+        # The label of a control is no text; elsewhere it is a word of its line.
+        drops |= tag == "label" and any(x[0] == "form" for x in self.open)
         if dropped or drops:
             drops = True
         elif tag in CONTAINERS or doubtful and tag not in INLINE:
             self.parent.append(container)
             self.kind.append(tag)
             self.doubtful.append(doubtful)
-            self.headed.append(doubtful and self.is_header(tag, attrs))
+            self.headed.append(doubtful and tag != "nav" and self.is_header(tag, attrs))
             container = len(self.parent) - 1
         elif doubtful:
             drops = True
@@ -154,7 +159,7 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in WITHIN:
             self.flush()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
@@ -185,21 +190,40 @@ def summed(parent: list[int], own: list[int]) -> list[int]:
 
 
 def without_doubtful(parser: Lines) -> list[Line]:
-    """The lines but those in doubtful containers, unless one holds half of the text, an article or, as a header, a headline."""
+    """The lines but those in doubtful containers, unless one holds half of the text, an article or, as a header, a headline.
+
+    Navigation stays out unless it holds an article, as where its end is missing.
+    """
     parent, kind, n = parser.parent, parser.kind, len(parser.parent)
-    chars, headlines, articles = [0] * n, [0] * n, [0] * n
-    for x in parser.lines:
+    articles = summed(parent, [int(kind[c] in ("article", "main")) for c in range(n)])
+    gone = [False] * n
+    for c in range(1, n):
+        gone[c] = gone[parent[c]] or kind[c] == "nav" and not articles[c]
+    chars, headlines = [0] * n, [0] * n
+    lines = [x for x in parser.lines if not gone[x.container]]
+    for x in lines:
         chars[x.container] += len(x.text)
         headlines[x.container] += x.heading
-    for c in range(1, n):
-        articles[c] = kind[c] in ("article", "main")
-    inside, headlines, articles = summed(parent, chars), summed(parent, headlines), summed(parent, articles)
+    inside, headlines = summed(parent, chars), summed(parent, headlines)
     out = [False] * n
     for c in range(1, n):
         own = kind[c] in ("article", "main")
-        innocent = 2 * inside[c] > inside[0] and articles[c] == articles[0] or articles[c] > own or parser.headed[c] and headlines[c] > 0
+        half = kind[c] != "nav" and 2 * inside[c] > inside[0]
+        innocent = half and articles[c] == articles[0] or articles[c] > own or parser.headed[c] and headlines[c] > 0
         out[c] = out[parent[c]] or parser.doubtful[c] and not innocent
-    return [x for x in parser.lines if not out[x.container]]
+    return [x for x in lines if not out[x.container]]
+
+
+def teasers(lines: list[Line], article: list[int], whole: set[int]) -> set[int]:
+    """Of several articles those that have less than a fifth of the largest one's text under a headline that is a link."""
+    chars, linked = dict.fromkeys(whole, 0), set()
+    for x in lines:
+        a = article[x.container]
+        if a in whole:
+            chars[a] += len(x.text)
+            if x.heading and 2 * x.linked > len(x.text):
+                linked.add(a)
+    return {a for a in linked if 5 * chars[a] < max(chars.values())}
 
 
 def main_text(html: str | None) -> str:
@@ -227,6 +251,7 @@ def main_text(html: str | None) -> str:
     held = sum(len(lines[i].text) for i in core if article[lines[i].container])
     if 2 * held > sum(mass):
         whole = {article[lines[i].container] for i in core} - {0}
+        whole -= teasers(lines, article, whole)
         return "\n".join(x.text for x in lines if article[x.container] in whole)
     inside, root = summed(parent, mass), 0
     while True:

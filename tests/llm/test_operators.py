@@ -369,3 +369,23 @@ def test_suffixes_with_one_ending_merge_in_linear_time():
     assert time.process_time() - began < 20
     ends = {k: suffixes.union(np.array(v)) for k, v in zip(found["tkey"], found["spans"], strict=True)}
     assert len(ends) == len(texts) and all(v[-1][1] == 410 and v[-1][0] <= 150 for v in ends.values())
+
+
+LONG = "A sentence of the article that says something. " * 8
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<article><h1>T</h1><p>Hi <script>x()</script>there</p></article>", "T\nHi there"),
+        ("<article><p>Be<style>p {}</style>fore</p></article>", "Before"),
+        ("<article><p>Tell a <label>friend</label> now</p></article>", "Tell a friend now"),
+        (f"<div><form><p><label>Name</label><input></p></form><p>{LONG}</p></div>", LONG.strip()),
+        (f"<body><nav><a href=x>Home</a><article><h1>Title</h1><p>{LONG}</p></article></body>", "Title\n" + LONG.strip()),
+        (f"<nav class=entry-header><h2>Sections</h2><ul>{'<li><a href=z>An entry of the menu</a></li>' * 60}</ul></nav><div><p>{LONG}</p><p>{LONG}</p></div>", LONG.strip() + "\n" + LONG.strip()),
+        (f"<article><h1>Title</h1><p>{LONG}</p></article><h2>More</h2><article><h3><a href=y>Other story</a></h3><p>A small teaser.</p></article>", "Title\n" + LONG.strip()),
+        (f"<article><h2>First part</h2><p>{LONG}</p></article><article><h2><a href=y>Second part</a></h2><p>{LONG}</p></article>", f"First part\n{LONG.strip()}\nSecond part\n{LONG.strip()}"),
+    ],
+)
+def test_main_text_of_odd_markup(page, wanted):
+    assert html.main_text(page) == wanted
