@@ -33,11 +33,9 @@ RESIDUE, GAP = (np.array([(chr(c) in of) == wanted for c in range(256)]) for of,
 def layouts(nodes: DataFrame) -> DataFrame:
     """One row a model: its nodes in order as an array; `v` is a node's first state, `il` and `ir` its inserts that may be used."""
     of = trees.states(nodes)
-    inserts = of.withColumn("before_end", F.lead("state").over(Window.partitionBy("model").orderBy("v")) == "E").filter("not before_end")
-    usable = lambda s: F.max(F.when(F.col("state") == s, F.col("v")))
-    used = inserts.groupBy("model", "nd").agg(usable("IL").alias("il"), usable("IR").alias("ir"))
-    firsts = of.groupBy("model", "nd").agg(F.min("v").alias("v"))
-    each = nodes.join(firsts, ["model", "nd"]).join(used, ["model", "nd"], "left")
+    of = of.withColumn("before_end", F.coalesce(F.lead("state").over(Window.partitionBy("model").orderBy("v")) == "E", F.lit(False)))
+    usable = lambda s: F.max(F.when((F.col("state") == s) & ~F.col("before_end"), F.col("v")))
+    each = nodes.join(of.groupBy("model", "nd").agg(F.min("v").alias("v"), usable("IL").alias("il"), usable("IR").alias("ir")), ["model", "nd"])
     node = F.struct("nd", "node", "v", F.coalesce("il", F.lit(-1)).alias("il"), F.coalesce("ir", F.lit(-1)).alias("ir"), "i", "j")
     return each.groupBy("model").agg(F.array_sort(F.collect_list(node)).alias("nodes")).select("model", *(F.col(f"nodes.{c}").alias(c) for c in ("nd", "node", "v", "il", "ir", "i", "j")))
 
@@ -100,7 +98,10 @@ def from_rows(aln: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
     rows = aln.filter("row is not null").select("model", F.col("seq_id").cast("string").alias("seq_id"), F.upper("row").alias("row"))
     both = rows.join(lines.select("model", "rf"), "model").join(layouts(nodes), "model")
     columns = F.coalesce(F.length(F.translate("rf", trees.GAPS, "")), F.length("row"))
+    n = int(aln.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = both.filter(F.coalesce(F.length("rf"), F.length("row")) == F.length("row")).filter(columns == F.element_at("j", 1))
+    # Neighbours are of one family, and a large family is dealt to many tasks.
+    dealt = whole.repartitionByRange(n, "model", "seq_id")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +116,7 @@ def from_rows(aln: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
                     ids = mine["seq_id"].take(pa.array(who))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), model, np.int64)), ids, *found], names=NAMED)
 
-    return whole.mapInArrow(parsed, PARSES)
+    return dealt.mapInArrow(parsed, PARSES)
 
 
 def transition_counts(parses: DataFrame) -> DataFrame:
@@ -141,7 +142,8 @@ def emission_counts(parses: DataFrame) -> DataFrame:
 
 
 def parameters(of: DataFrame, parses: DataFrame) -> DataFrame:
-    """(model, v, cfirst, t, e): log2-odds of every state's transitions and of what it emits over equal shares, from the counts of parses and one more of each kind."""
+    """(model, v, cfirst, t, e, el, er): log2-odds of every state's transitions and of what it emits over equal shares, from the counts of parses and one more
+    of each kind; of pairs also the odds of either side by itself."""
     edges = trees.edges(of.filter("state <> 'B'")).withColumnRenamed("child", "y")
     moves = edges.join(transition_counts(parses), ["model", "v", "y"], "left").fillna(0, ["n"])
     ordered = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("k", value))), lambda x: x["n"])
@@ -153,7 +155,10 @@ def parameters(of: DataFrame, parses: DataFrame) -> DataFrame:
     count = lambda k: F.coalesce(F.element_at("c", k), F.lit(0)) / unit
     odds = F.transform(F.sequence(F.lit(0), kinds - 1), lambda k: F.log2((count(k) + 1) / (F.coalesce("total", F.lit(0)) / unit + kinds) * kinds))
     rows = of.join(e, ["model", "v"], "left").withColumn("e", F.when(F.col("state").isin("MP", "ML", "MR", "IL", "IR"), odds))
-    return rows.join(t, ["model", "v"], "left").select("model", "v", "cfirst", "t", "e")
+    # The odds of one side of a pair are the mean odds over the other one.
+    side = lambda at: F.when(paired, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.log2(sum(F.pow(F.lit(2.0), F.get(F.col("e"), at(k, m))) for m in range(4)) / 4)))
+    rows = rows.withColumns({"el": side(lambda k, m: 4 * k + m), "er": side(lambda k, m: k + 4 * m)})
+    return rows.join(t, ["model", "v"], "left").select("model", "v", "cfirst", "t", "e", "el", "er")
 
 
 def _mean(e: Column, shares: Column) -> Column:
@@ -171,9 +176,7 @@ def scores(parses: DataFrame, parameters: DataFrame) -> DataFrame:
     single = F.aggregate(F.filter(F.split(F.concat("l", "r"), ""), lambda s: s != ""), F.lit(0.0), lambda total, s: total + _mean(F.col("e"), _shares(s)))
     a, b = _shares(F.col("l")), _shares(F.col("r"))
     pair = _mean(F.transform(F.array(*map(F.lit, range(4))), lambda k: _mean(F.slice("e", 4 * k + 1, 4), b)), a)
-    # The odds of one side are the mean odds over the other one.
-    side = lambda at: F.transform(F.array(*map(F.lit, range(4))), lambda k: F.log2(sum(F.pow(F.lit(2.0), F.element_at("e", at(k, m))) for m in range(4)) / 4))
-    sides = _mean(side(lambda k, m: 4 * k + m + 1), a) + _mean(side(lambda k, m: k + 4 * m + 1), b)
+    sides = _mean(F.col("el"), a) + _mean(F.col("er"), b)
     paired = F.col("state") == "MP"
     emitted = F.when(paired, pair).when(F.col("e").isNotNull(), single).otherwise(0.0)
     return rows.groupBy("model", "seq_id").agg(F.sum(moved + again + emitted).alias("score"), F.sum(F.when(paired, pair - sides).otherwise(0.0)).alias("structure"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from helixlake.operators import models
 
 NODES = "model long, nd int, node string, parent int, i int, j int"
+NODE = [c.split()[0] for c in NODES.split(", ")]
 BANDS = "model long, v int, dmin1 int, dmax1 int, dmin2 int, dmax2 int"
 #: Symbols of gaps in a reference line: its other columns are consensus columns.
 GAPS = ".-_~"
@@ -97,11 +98,17 @@ def guide_trees(structures: DataFrame) -> DataFrame:
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found = []
             for model, structure, rf in zip(batch["model"], batch["structure"], batch["rf"], strict=True):
                 pairs = consensus(structure, rf)
                 if pairs is not None:
-                    nodes = pd.DataFrame(list(guide(pairs)), columns=["node", "parent", "i", "j"])
-                    yield nodes.assign(model=model, nd=range(len(nodes)))[["model", "nd", "node", "parent", "i", "j"]]
+                    found += [(model, nd, *node) for nd, node in enumerate(guide(pairs))]
+                # A frame for many models, of bounded size but for a single long one.
+                if len(found) > 50_000:
+                    yield pd.DataFrame(found, columns=NODE)
+                    found = []
+            if found:
+                yield pd.DataFrame(found, columns=NODE)
 
     return lines.filter("structure is not null").select("model", "structure", "rf").mapInPandas(built, NODES)
 
