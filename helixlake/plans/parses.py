@@ -77,12 +77,12 @@ _SHARES = "share(s, k, w) AS (VALUES " + ", ".join(f"('{s}', {k}, {12 // len(m)}
 _PARSES = (
     _STATES
     + f""", {SEQS_SQL}, fam AS (SELECT model, s AS ss, len(s) AS clen, 1 + len(s) + 2 * (len(s) // 4) AS alen FROM st),
-  rows AS (SELECT l_partkey AS model, concat_ws('/', l_orderkey, l_linenumber, l_suppkey) AS seq_id, clen, rpad(translate(substr(coalesce(seq, ''), l_orderkey % greatest(coalesce(len(seq), 0) - alen, 1) + 1, alen), 'HV', '--'), alen::INT, '-') AS row
+  rows AS MATERIALIZED (SELECT l_partkey AS model, concat_ws('/', l_orderkey, l_linenumber, l_suppkey) AS seq_id, clen, rpad(translate(substr(coalesce(seq, ''), l_orderkey % greatest(coalesce(len(seq), 0) - alen, 1) + 1, alen), 'HV', '--'), alen::INT, '-') AS row
     FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM lineitem) JOIN fam ON model = l_partkey JOIN seqs ON seqs.seq_id = l_suppkey),
   cell AS (SELECT model, seq_id, clen, unnest(string_split(row, '')) AS c, generate_subscripts(string_split(row, ''), 1) - 2 AS p FROM rows),
-  pos AS (SELECT *, p < 0 OR p % 6 >= 4 AS ins, CASE WHEN p < 0 THEN 0 ELSE p // 6 * 4 + least(p % 6 + 1, 4) END AS cpos, (c <> '-')::INT AS held, sum((c <> '-')::INT) OVER (PARTITION BY model, seq_id ORDER BY p) AS upto FROM cell),
+  pos AS MATERIALIZED (SELECT *, p < 0 OR p % 6 >= 4 AS ins, CASE WHEN p < 0 THEN 0 ELSE p // 6 * 4 + least(p % 6 + 1, 4) END AS cpos, (c <> '-')::INT AS held, sum((c <> '-')::INT) OVER (PARTITION BY model, seq_id ORDER BY p) AS upto FROM cell),
   mat AS (SELECT model, seq_id, cpos, c, held, upto FROM pos WHERE NOT ins),
-  gap AS (SELECT model, seq_id, cpos, min(upto) AS low, max(upto) AS high, count(*) AS n, string_agg(c, '' ORDER BY p) AS l FROM pos WHERE ins AND c <> '-' GROUP BY ALL),
+  gap AS MATERIALIZED (SELECT model, seq_id, cpos, min(upto) AS low, max(upto) AS high, count(*) AS n, string_agg(c, '' ORDER BY p) AS l FROM pos WHERE ins AND c <> '-' GROUP BY ALL),
   tot AS (SELECT model, seq_id, any_value(clen) AS clen, max(upto) AS total FROM pos GROUP BY ALL),
   reach AS (SELECT model, seq_id, cpos, upto AS reached FROM mat UNION ALL SELECT model, seq_id, 0, 0 FROM tot),
   until AS (SELECT model, seq_id, cpos - 1 AS cpos, upto - held AS until FROM mat UNION ALL SELECT model, seq_id, clen, total FROM tot),
