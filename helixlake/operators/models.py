@@ -25,23 +25,52 @@ def emits(state: Column) -> tuple[Column, Column, Column]:
     return F.element_at(left, state) + F.element_at(right, state), F.element_at(left, state), F.element_at(right, state)
 
 
-def states(nodes: DataFrame) -> DataFrame:
-    """(model, v, nd, node, state, insert, cfirst, cnum) of all states of models without bifurcations, by their nodes (model, nd, node).
-
-    A state's children are the inserts of its node that it may go on to, itself among them if it is one, and the states by
-    which the next node is entered; they have consecutive numbers.
-    """
+def placed(nodes: DataFrame) -> DataFrame:
+    """Nodes (model, nd, node, and parent if models may split), each with its kinds of states, the numbers of its inserts and of its other states, its first
+    state's number, the number of states that the next node is entered by, what stands before and after it, and of a split and its right part both first states."""
     kinds = F.element_at(_map({k: F.array(*map(F.lit, v)) for k, v in STATES.items()}), F.col("node"))
     inserts = F.element_at(_map({k: sum(s in ("IL", "IR") for s in v) for k, v in STATES.items()}), F.col("node"))
     entered = F.element_at(_map({k: sum(s not in ("IL", "IR") for s in v) for k, v in STATES.items()}), F.col("node"))
     order = Window.partitionBy("model").orderBy("nd")
     sized = nodes.withColumns({"kinds": kinds, "inserts": inserts, "entered": entered})
-    placed = sized.withColumns({"first": F.coalesce(F.sum(F.size("kinds")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "next": F.coalesce(F.lead("entered").over(order), F.lit(0))})
-    each = placed.select("model", "nd", "node", "first", "inserts", "entered", "next", F.posexplode("kinds").alias("i", "state"))
-    insert = F.col("i") >= F.col("entered")
-    first = F.when(F.col("state") == "E", F.lit(-1)).when(insert, F.col("first") + F.col("i")).otherwise(F.col("first") + F.col("entered"))
+    found = sized.withColumns({
+        "first": F.coalesce(F.sum(F.size("kinds")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"), "next": F.coalesce(F.lead("entered").over(order), F.lit(0)),
+        "before": F.coalesce(F.lag(F.size("kinds")).over(order), F.lit(0)), "following": F.lead("node").over(order),
+    })
+    if "parent" not in nodes.columns:
+        return found.withColumns({"split": F.lit(None).cast("int"), "right": F.lit(None).cast("int")})
+    # A split and its right part meet by the split's number, where every other node is alone; models stay where they are.
+    pair = Window.partitionBy("model", F.when(F.col("node") == "BEGR", F.col("parent")).otherwise(F.col("nd")))
+    of = lambda kind: F.max(F.when(F.col("node") == kind, F.col("first"))).over(pair)
+    return found.withColumns({"split": of("BIF"), "right": of("BEGR")})
+
+
+def linked(nodes: DataFrame, *keep: str) -> DataFrame:
+    """(model, v, nd, node, state, insert, cfirst, cnum, plast, pnum) of all states of models, by their nodes, with other columns to keep.
+
+    A state's children are the inserts of its node that it may go on to, itself among them if it is one, and the states by
+    which the next node is entered; they have consecutive numbers. A split's first child is its left part's start, and its `cnum`
+    is the number of its right part's start, as the file format has it. plast and pnum are the last of the states that lead to a
+    state, and how many do (-1 and 0 for none). All of it follows from a node's own place, without a join.
+    """
+    columns = ["model", "nd", "node", "first", "inserts", "entered", "next", "before", "split", "right", *keep]
+    each = placed(nodes).select(*columns, F.posexplode("kinds").alias("i", "state"))
+    insert, v = F.col("i") >= F.col("entered"), F.col("first") + F.col("i")
+    first = F.when(F.col("state") == "E", F.lit(-1)).when(insert, v).otherwise(F.col("first") + F.col("entered"))
     number = F.when(insert, F.col("entered") + F.col("inserts") - F.col("i")).otherwise(F.col("inserts")) + F.col("next")
-    return each.select("model", (F.col("first") + F.col("i")).cast("int").alias("v"), "nd", "node", "state", insert.alias("insert"), first.cast("int").alias("cfirst"), F.when(F.col("state") == "E", 0).otherwise(number).cast("int").alias("cnum"))
+    number = F.when(F.col("state") == "E", 0).when(F.col("node") == "BIF", F.coalesce("right", number)).otherwise(number)
+    # An insert is led to by its node's states up to itself, others by all states of the node above, a right part by its split.
+    right = F.col("node") == "BEGR"
+    plast = F.when(insert, v).when(right, F.col("split")).when(F.col("before") > 0, F.col("first") - 1)
+    pnum = F.when(insert, F.col("i") + 1).when(right, F.col("split").isNotNull().cast("int")).otherwise(F.col("before"))
+    return each.select(
+        "model", v.cast("int").alias("v"), "nd", "node", "state", insert.alias("insert"), first.cast("int").alias("cfirst"), number.cast("int").alias("cnum"), F.coalesce(plast, F.lit(-1)).cast("int").alias("plast"), pnum.cast("long").alias("pnum"), *keep
+    )
+
+
+def states(nodes: DataFrame) -> DataFrame:
+    """(model, v, nd, node, state, insert, cfirst, cnum) of all states of models."""
+    return linked(nodes).drop("plast", "pnum")
 
 
 def parents(of: DataFrame) -> DataFrame:
@@ -71,12 +100,16 @@ def emit_map(nodes: DataFrame) -> DataFrame:
     return nodes.select("model", "nd", "node", lpos.alias("lpos"), rpos.alias("rpos"))
 
 
-def local_begins(nodes: DataFrame, internal: float) -> DataFrame:
-    """(model, nd, p): the first node is entered unless one of the later nodes that match or split is, all of them alike."""
+def begin_share(internal: float) -> Column:
+    """How likely a node is the one that is entered: the first one, unless one of the later nodes that match or split is, all of them alike."""
     starts = F.col("node").isin("MATP", "MATL", "MATR", "BIF") & (F.col("nd") > 1)
     many = F.sum(starts.cast("long")).over(Window.partitionBy("model"))
-    p = F.when(F.col("nd") == 1, 1 - internal).when(starts, internal / many).otherwise(0.0)
-    return nodes.withColumn("p", p).filter("p > 0").select("model", "nd", "p")
+    return F.when(F.col("nd") == 1, 1 - internal).when(starts, internal / many).otherwise(0.0)
+
+
+def local_begins(nodes: DataFrame, internal: float) -> DataFrame:
+    """(model, nd, p) of the nodes that may be entered."""
+    return nodes.withColumn("p", begin_share(internal)).filter("p > 0").select("model", "nd", "p")
 
 
 def matrix_megabytes(bands: DataFrame, bytes_per_cell: int = 4) -> DataFrame:

@@ -29,8 +29,7 @@ def guide_trees(spark: SparkSession, d: str) -> DataFrame:
 
 def tree_states(spark: SparkSession, d: str) -> DataFrame:
     """All states of models with bifurcations, their children and their parents."""
-    of = trees.states(_trees(spark, d))
-    return of.join(trees.parents(of), ["model", "v"]).select("model", "v", "nd", "node", "state", "cfirst", "cnum", "plast", "pnum")
+    return models.linked(_trees(spark, d)).select("model", "v", "nd", "node", "state", "cfirst", "cnum", "plast", "pnum")
 
 
 def tree_emit_map(spark: SparkSession, d: str) -> DataFrame:
