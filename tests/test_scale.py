@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from helixlake.operators import models, trees
 from helixlake.plans import registry
+from helixlake.sources import writers
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -24,3 +25,25 @@ def test_parents_by_place_are_those_of_the_connections(spark):
     wanted = trees.parents(trees.states(nodes)).select("model", "v", F.col("plast").alias("a"), F.col("pnum").alias("b"))
     both = of.join(wanted, ["model", "v"])
     assert both.count() == of.count() > 0 and both.filter("plast <> a or pnum <> b").count() == 0
+
+
+def test_masks_with_many_runs_and_odd_lengths(spark):
+    """Against each symbol by itself, over the bounds of the blocks that rows are looked at in."""
+    import random
+
+    random.seed(3)
+    mask = "".join(random.choice("AC-.~9g") for _ in range(1300))
+    rows = [(k, "".join(random.choice("ACgu-.N*") for _ in range(n))) for k, n in enumerate((1300, 1300, 1299, 511, 1, 1400))]
+    df = spark.createDataFrame(rows, "k int, aseq string").withColumn("runs", writers.runs(F.lit(mask)))
+    for gap in ("", "-"):
+        found = {r.k: r.t for r in df.select("k", writers.cased(F.col("aseq"), F.col("runs"), gap).alias("t")).collect()}
+        for k, text in rows:
+            pairs = [(text[p] if p < len(text) else "", mask[p] if p < len(mask) else "") for p in range(max(len(text), len(mask)))]
+            assert found[k] == "".join(("-" if not x.isalpha() else x.upper()) if m.isalnum() else (x.lower() if x.isalpha() else gap) for x, m in pairs)
+
+
+def test_conserved_columns_meet_over_tasks(spark):
+    rows = [("a", k, f"s{k}", "AcGU-A" if k % 2 else "ACgU-C") for k in range(40)] + [("b", 1, "x", "N-"), ("c", 1, "y", "--")]
+    aln = spark.createDataFrame(rows, "aln_id string, idx long, name string, aseq string").repartition(7)
+    assert {r.aln_id: r.same for r in writers.conserved(aln).collect()} == {"a": "ACGU  ", "b": "N ", "c": "  "}
+    assert "Generate posexplode(split(" not in plan(writers.clustal(aln))
