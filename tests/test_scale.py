@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helixlake.operators import models, trees
+from helixlake.operators import models, parses, trees
 from helixlake.plans import registry
 from helixlake.sources import writers
 
@@ -47,3 +47,26 @@ def test_conserved_columns_meet_over_tasks(spark):
     aln = spark.createDataFrame(rows, "aln_id string, idx long, name string, aseq string").repartition(7)
     assert {r.aln_id: r.same for r in writers.conserved(aln).collect()} == {"a": "ACGU  ", "b": "N ", "c": "  "}
     assert "Generate posexplode(split(" not in plan(writers.clustal(aln))
+
+
+def test_rows_are_counted_and_scored_as_their_parses_are(spark):
+    lines = spark.createDataFrame([(1, ",<__><<__>>", ".xxxxx.xxxxx.x."), (2, "<>", "x.x")], "model long, ss string, rf string")
+    nodes = trees.guide_trees(lines.selectExpr("model", "ss structure"))
+    rows = [(1, "a", "-AGAAC-GGAAC-C-"), (1, "b", "aAGANCuGGRAC.Ca"), (1, "c", "--G--C---AA--C-"), (2, "d", "GuC"), (2, "e", "Y--")]
+    aln = spark.createDataFrame(rows, "model long, seq_id string, row string")
+    of = parses.from_rows(aln, nodes, lines).cache()
+    counts = parses.counts_of_rows(aln, nodes, lines)
+    moved, emitted = parses.transition_counts(of), parses.emission_counts(of)
+    told = {(r.model, r.v, r.kind, r.k): r.n for r in counts.collect()}
+    assert told == {(r.model, r.v, "t", r.y): r.n for r in moved.collect()} | {(r.model, r.v, "e", r.k): r.n for r in emitted.collect()}
+    fit = parses.parameters(trees.states(nodes), of)
+    wanted = {r.seq_id: r for r in parses.scores(of, fit).collect()}
+    found = parses.scores_of_rows(aln, nodes, lines, fit).collect()
+    assert len(found) == 5
+    for r in found:
+        assert r.score == pytest.approx(wanted[r.seq_id].score) and r.structure == pytest.approx(wanted[r.seq_id].structure)
+
+
+@pytest.mark.parametrize("name", ["parse_trees", "parse_counts", "parse_scores", "parse_bounds", "parse_inserts", "parsed_rows"])
+def test_parses_are_not_broadcast(spark, name):
+    assert "Broadcast" not in plan(registry.QUERIES[name](spark, SMOKE))
