@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helixlake.operators import models, parses, trees
+from helixlake.operators import columns, models, parses, trees
 from helixlake.plans import registry
 from helixlake.sources import writers
 
@@ -70,3 +70,9 @@ def test_rows_are_counted_and_scored_as_their_parses_are(spark):
 @pytest.mark.parametrize("name", ["parse_trees", "parse_counts", "parse_scores", "parse_bounds", "parse_inserts", "parsed_rows"])
 def test_parses_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan(registry.QUERIES[name](spark, SMOKE))
+
+
+def test_identities_meet_as_blocks(spark):
+    rows = [("a", 100, "AC-GN"), ("a", 1, "ACgG"), ("a", 2, None), ("a", 3, "--"), ("b", 200, "A")]
+    found = columns.identities(spark.createDataFrame(rows, "aln_id string, seq_id long, row string"), blocks=3)
+    assert {(r.s1, r.s2): r.pid for r in found.collect()} == {(100, 1): 0.75, (100, 2): 0.0, (100, 3): 0.0}
