@@ -12,8 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def residues_of(text: Column) -> Column:
     """IUPAC residues of a text: letters, upper-cased, others dropped, T as U, X as N and I as A."""
-    letters = F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
-    return F.translate(F.regexp_replace(letters, "[^ACGUTRYMKSWHBVDNXI]", ""), "TXI", "UNA")
+    known = "ACGUTRYMKSWHBVDNXI"
+    return F.translate(F.upper(F.regexp_replace(text, f"[^{known}{known.lower()}]+", "")), "TXI", "UNA")
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,52 @@ def test_identities_meet_as_blocks(spark):
     rows = [("a", 100, "AC-GN"), ("a", 1, "ACgG"), ("a", 2, None), ("a", 3, "--"), ("b", 200, "A")]
     found = columns.identities(spark.createDataFrame(rows, "aln_id string, seq_id long, row string"), blocks=3)
     assert {(r.s1, r.s2): r.pid for r in found.collect()} == {(100, 1): 0.75, (100, 2): 0.0, (100, 3): 0.0}
+
+
+ROWS = [("a", 1, "AC..GU"), ("a", 2, "UG..CA~"), ("a", 3, "---.G-"), ("a", 3, "ACGé"), ("a", None, "ACGUG*"), ("a", 4, None), ("b", 5, "A" * 1500 + "CN-"), ("b", 6, "G" * 2100), ("c", 7, ""), ("d", 8, "N-N")]
+
+
+def test_columns_are_counted_alike_in_any_number_of_tasks(spark):
+    rows = spark.createDataFrame(ROWS, "aln_id string, seq_id long, row string")
+    wanted = {}
+    for aln in "abcd":
+        texts = [(t or "").replace(".", "-").replace("_", "-") for a, _, t in ROWS if a == aln]
+        for p in range(max(map(len, texts))):
+            for t in texts:
+                key = aln, p + 1, t[p] if p < len(t) else "-"
+                wanted[key] = wanted.get(key, 0) + 1
+    for n in (1, 7):
+        found = columns.counts(rows.repartition(n)).collect()
+        assert {(r.aln_id, r.apos, r.residue): r.n for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_rows_meet_their_columns(spark, monkeypatch):
+    """Dealt into several tasks, with rows of one name, against the cells one by one."""
+    monkeypatch.setattr(columns, "TOGETHER", 8)
+    rows = spark.createDataFrame([r for r in ROWS if r[0] in "ad"], "aln_id string, seq_id long, row string")
+    marks = columns.numbered_columns(rows).collect()
+    assert {(r.aln_id, r.apos, r.cpos) for r in marks if r.aln_id == "a"} == {("a", p, k + 1) for k, p in enumerate(sorted(r.apos for r in marks if r.aln_id == "a"))}
+    cells = {}
+    for a, i, t in ROWS:
+        if a in "ad":
+            for p, c in enumerate((t or "").replace(".", "-")):
+                cells.setdefault((a, i), []).append((p + 1, c))
+    kept = {(r.aln_id, r.apos): r.cpos for r in marks}
+    cut = {k: "".join(c for _, c in sorted((kept[k[0], p], c) for p, c in v if (k[0], p) in kept)) for k, v in cells.items()}
+    assert {(r.aln_id, r.seq_id): r.row for r in columns.cut_down(rows, columns.consensus_columns(rows)).collect()} == {k: v for k, v in cut.items() if v}
+    most = {}
+    for (a, i), v in cells.items():
+        of = {}
+        for p, c in v:
+            if (a, p) not in kept and c != "-":
+                after = max((kept[a, q] for q, _ in v if (a, q) in kept and q <= p), default=0)
+                of[after] = of.get(after, 0) + 1
+        for k, n in of.items():
+            most[a, k] = max(most.get((a, k), 0), n)
+    assert most and {(r.aln_id, r.after): r.most for r in columns.insert_maxima(rows).collect()} == most
+    assert sorted((r.aln_id, r.seq_id or 0) for r in columns.position_weights(rows).collect()) == sorted((a, i or 0) for a, i, _ in ROWS if a in "ad")
+
+
+@pytest.mark.parametrize("name", ["insert_maxima", "row_scores", "weighted_counts", "column_subset", "entropy_weights", "sequence_weights", "match_entropy", "column_posteriors", "consensus_rows", "transition_counts", "column_counts"])
+def test_cells_are_no_rows(spark, name):
+    assert "posexplode(split(" not in plan(registry.QUERIES[name](spark, SMOKE))
