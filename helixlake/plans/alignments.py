@@ -77,12 +77,7 @@ def invalid_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def insert_maxima(spark: SparkSession, d: str) -> DataFrame:
     """The most residues that any row inserts between two consensus columns."""
-    aln = tables.alignments(spark, d)
-    marks = columns.consensus_columns(aln).withColumn("cpos", F.row_number().over(Window.partitionBy("aln_id").orderBy("apos")))
-    cells = columns.residues(aln).join(marks, ["aln_id", "apos"], "left")
-    upto = Window.partitionBy("aln_id", "seq_id").orderBy("apos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cells.withColumn("after", F.coalesce(F.max("cpos").over(upto), F.lit(0))).filter("cpos is null and residue <> '-'")
-    return placed.groupBy("aln_id", "after", "seq_id").agg(F.count("*").alias("n")).groupBy("aln_id", "after").agg(F.max("n").alias("most"))
+    return columns.insert_maxima(tables.alignments(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (column_counts, match_columns, consensus_columns, sequence_weights, given_weights, identities, fragments, column_subset, sequence_subset, match_entropy, invalid_vectors, insert_maxima)}
