@@ -47,9 +47,7 @@ def fragments(spark: SparkSession, d: str) -> DataFrame:
 def column_subset(spark: SparkSession, d: str) -> DataFrame:
     """Rows cut down to their consensus columns, which are numbered anew."""
     aln = tables.alignments(spark, d)
-    numbered = columns.consensus_columns(aln).withColumn("cpos", F.row_number().over(Window.partitionBy("aln_id").orderBy("apos")))
-    cells = columns.residues(aln).join(numbered, ["aln_id", "apos"])
-    return cells.groupBy("aln_id", "seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cpos", "residue"))), lambda x: x["residue"]), "").alias("row"))
+    return columns.cut_down(aln, columns.consensus_columns(aln))
 
 
 def sequence_subset(spark: SparkSession, d: str) -> DataFrame:
