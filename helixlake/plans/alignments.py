@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.functions import stats
@@ -59,10 +59,8 @@ def sequence_subset(spark: SparkSession, d: str) -> DataFrame:
 
 def match_entropy(spark: SparkSession, d: str) -> DataFrame:
     """Mean entropy, and mean relative entropy to a uniform null model, of the canonical residues of an alignment's consensus columns."""
-    aln = tables.alignments(spark, d)
-    counts = columns.counts(aln).filter(F.col("residue").isin("A", "C", "G", "U")).join(columns.consensus_columns(aln), ["aln_id", "apos"], "left_semi")
-    vector = F.array(*(F.coalesce(F.sum(F.when(F.col("residue") == r, F.col("n"))), F.lit(0)).cast("double") for r in "ACGU"))
-    per = counts.groupBy("aln_id", "apos").agg(vector.alias("v")).withColumn("p", stats.normalized(F.col("v")))
+    vector = F.transform("acgu", lambda n: n.cast("double"))
+    per = columns.canonical_columns(tables.alignments(spark, d)).withColumn("p", stats.normalized(vector))
     uniform = F.array(*[F.lit(0.25)] * 4)
     return per.groupBy("aln_id").agg(F.count("*").alias("columns"), F.round(F.avg(stats.entropy(F.col("p"))), 6).alias("entropy"), F.round(F.avg(stats.relative_entropy(F.col("p"), uniform)), 6).alias("relative_entropy"))
 
