@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +27,14 @@ def column_posteriors(spark: SparkSession, d: str) -> DataFrame:
     """The mean posterior probabilities of the four residues in every consensus column."""
     counts = weighting.column_counts(tables.alignments(spark, d))
     # Equal counts have one posterior, which is worked out once.
-    once = counts.select("counts").distinct().withColumn("posterior", priors.posterior(F.col("counts"), MIXTURE))
+    def posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = priors.posteriors(batch["counts"].flatten().to_numpy().reshape(-1, 4), MIXTURE)
+                offsets = pa.array(np.arange(0, 4 * len(found) + 1, 4), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch["counts"], pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["counts", "posterior"])
+
+    once = counts.select("counts").distinct().mapInArrow(posteriors, "counts array<double>, posterior array<double>")
     found = counts.join(once, "counts")
     return found.select("aln_id", "apos", *(F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{r.lower()}") for i, r in enumerate("ACGU")))
 
