@@ -110,9 +110,15 @@ def parse_stockholm(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("kind").isin("GF", "GC"), fields[1]).when(F.col("kind").isin("GS", "GR"), fields[2]).alias("tag"),
         F.when(F.col("kind") == "row", rest(1)).when(F.col("kind").isin("GF", "GC"), rest(2)).otherwise(rest(3)).alias("value"),
     )
-    together = typed.groupBy("aln_id", "kind", "name", "tag").agg(F.min("line_no").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("values"))
-    rows = together.filter("kind = 'row'").select("aln_id", "name", (F.row_number().over(Window.partitionBy("aln_id").orderBy("first")) - 1).alias("idx"), F.array_join("values", "").alias("aseq"))
-    notes = together.filter("kind <> 'row'").select("aln_id", "kind", "name", "tag", F.when(F.col("kind").isin("GC", "GR"), F.array_join("values", "")).otherwise(F.array_join("values", "\n")).alias("value"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("values")
+    # Lines of a row are sent to it once, and rows are numbered by their names and first lines alone, so that no text is sorted by alignment.
+    of = typed.filter("kind = 'row'")
+    texts = of.select("aln_id", "name", "line_no", "value").repartition("aln_id", "name").groupBy("aln_id", "name").agg(values)
+    first = of.groupBy("aln_id", "name").agg(F.min("line_no").alias("first"))
+    first = first.select(F.col("aln_id").alias("__a"), F.col("name").alias("__n"), (F.row_number().over(Window.partitionBy("aln_id").orderBy("first")) - 1).alias("idx"))
+    rows = texts.join(first, F.col("aln_id").eqNullSafe(F.col("__a")) & (F.col("name") == F.col("__n"))).select("aln_id", "name", "idx", F.array_join("values", "").alias("aseq"))
+    together = typed.filter("kind <> 'row'").groupBy("aln_id", "kind", "name", "tag").agg(values)
+    notes = together.select("aln_id", "kind", "name", "tag", F.when(F.col("kind").isin("GC", "GR"), F.array_join("values", "")).otherwise(F.array_join("values", "\n")).alias("value"))
     return rows, notes
 
 

@@ -1,11 +1,15 @@
 """Plans that hold at size: what grows with the data is not broadcast, and its results are those of the plain definitions."""
 
+import math
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixlake.operators import columns, models, parses, trees
+from helixlake.operators import cascade, columns, intervals, models, parses, trees
 from helixlake.plans import registry
-from helixlake.sources import writers
+from helixlake.sources import formats, writers
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -125,3 +129,86 @@ def test_rows_meet_their_columns(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["insert_maxima", "row_scores", "weighted_counts", "column_subset", "entropy_weights", "sequence_weights", "match_entropy", "column_posteriors", "consensus_rows", "transition_counts", "column_counts"])
 def test_cells_are_no_rows(spark, name):
     assert "posexplode(split(" not in plan(registry.QUERIES[name](spark, SMOKE))
+
+
+def test_regions_place_by_place():
+    """Against the states one place after another, where places that end a region may reach the trigger too."""
+    rng = np.random.default_rng(5)
+    for k in range(200):
+        m, b, e = (rng.choice([0.0, 0.05, 0.1, 0.2, 0.25, 0.6], 40) for _ in range(3))
+        start, on, wanted = -1, False, []
+        for j, (x, y, z) in enumerate(zip(m, b, e, strict=True), 1):
+            if not on:
+                start = j if x - y < 0.1 or start == -1 else start
+                on = x >= 0.25
+            elif x - z < 0.1:
+                wanted.append((start, j))
+                start, on = -1, False
+        assert list(zip(*(v.tolist() for v in intervals.region_bounds(m, b, e)), strict=True)) == wanted, k
+
+
+def test_bias_score_place_by_place():
+    odds, stay, enter = [{"A": 1.1}, {"A": 1.6, "C": 0.4}], 0.9, 0.01
+    for text in ("A", "CN", "ACCAGAAANA" * 37):
+        n = len(text)
+        p = n / (n + 1)
+        a, b = 1 - enter, enter
+        total = 0.0
+        for k, c in enumerate(text):
+            if k:
+                a, b = a * p + b * (1 - stay), a * (1 - p) + b * stay
+            a, b = a * odds[0].get(c, 1.0), b * odds[1].get(c, 1.0)
+            total, a, b = total + math.log(a + b), a / (a + b), b / (a + b)
+        assert models.bias_score(text, stay, enter, odds) == pytest.approx(total + n * math.log(p) + math.log(1 - p), rel=1e-12)
+
+
+def test_sequences_are_scored_without_arrays_of_symbols(spark):
+    for name in ("regions", "bias_null"):
+        assert "aggregate(" not in plan(registry.QUERIES[name](spark, SMOKE))
+
+
+def test_intervals_of_one_start_are_one_before_they_are_sorted(spark):
+    rows = spark.createDataFrame([(1, 5, 9), (1, 5, 20), (1, 15, 16), (1, 21, 22), (1, None, 3), (1, None, 2), (2, 5, 5)], "g long, lo long, hi long")
+    found = intervals.merge_overlapping(rows, ["g"], "lo", "hi")
+    assert sorted(((r.g, r.lo, r.hi, r.n) for r in found.collect()), key=str) == sorted([(1, 5, 20, 3), (1, 21, 22, 1), (1, None, 3, 1), (1, None, 2, 1), (2, 5, 5, 1)], key=str)
+    text = plan(found)
+    assert text.index("HashAggregate", text.index("Window")) > 0 and "partial_max(hi" in text[text.index("Window") :]
+
+
+def test_islands_come_to_tasks_one_after_another(spark):
+    rows = [(g, lo, lo + n % 7, float(lo * n % 11)) for g in range(5) for n, lo in enumerate(range(1, 200, 2))]
+    df = spark.createDataFrame(rows, "g long, lo long, hi long, score double")
+    kept = intervals.remove_overlaps(df, ["g"], [F.desc("score"), F.asc("lo")], ["lo", "hi", "score"])
+    wanted = set()
+    for g in range(5):
+        stays = []
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1])):
+            if all(r[2] < s[1] or s[2] < r[1] for s in stays):
+                stays.append(r)
+        wanted |= set(stays)
+    assert {tuple(r) for r in kept.collect()} == wanted and "FlatMapGroups" not in plan(kept)
+
+
+def test_stockholm_lines_are_numbered_without_sorting_them(spark):
+    rows = [("x", 3, "one", "A" * 5), ("x", 1, "b", "C" * 5), ("y", 2, "u", "AC"), ("y", 1, "v", "ACGUA")]
+    aln = spark.createDataFrame(rows, "aln_id string, idx long, name string, aseq string")
+    notes = spark.createDataFrame([("x", "GF", None, "ID", "n\nm")], "aln_id string, kind string, name string, tag string, value string")
+    lines = writers.stockholm(aln, notes, 3)
+    told = {a: [r.line for r in lines.filter(F.col("aln_id") == a).orderBy("line_no").collect()] for a in "xy"}
+    assert told["x"] == ["# STOCKHOLM 1.0", "#=GF ID n", "#=GF ID m", "b   CCC", "one AAA", "b   CC", "one AA", "//"]
+    assert told["y"] == ["# STOCKHOLM 1.0", "v ACG", "u AC", "v UA", "//"]
+    assert [r.line_no for r in lines.filter("aln_id = 'y'").orderBy("line_no").collect()] == [0, 1, 2, 3, 4]
+    found, _ = formats.parse_stockholm(lines)
+    assert {(r.aln_id, r.name, r.idx, r.aseq) for r in found.collect()} == {("x", "b", 0, "CCCCC"), ("x", "one", 1, "AAAAA"), ("y", "v", 0, "ACGUA"), ("y", "u", 1, "AC")}
+
+
+def test_windows_of_many_sequences_are_scored_together():
+    class Rows:
+        select = filter = lambda self, *_: self
+        mapInArrow = lambda self, scan, schema: scan
+
+    model = [{"name": "m", "consensus": "ACGUUGCA", "mu": 2.0, "lambda": 0.7}]
+    scan = cascade.filtered(Rows(), model, {"f1": 0.5, "f2": 0.5, "f3": 0.5, "f3b": 0.5}, strands=("+",))
+    batch = pa.RecordBatch.from_pydict({"seq_id": list(range(40)), "seq": ["ACGUUGCAAC" * 3] * 40})
+    found = list(scan(iter([batch])))
+    assert len(found) == 1 and set(found[0]["seq_id"].to_pylist()) == set(range(40))
