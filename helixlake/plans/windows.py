@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.operators import intervals
@@ -46,13 +46,7 @@ def record_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, d: str) -> DataFrame:
-    def of(i: int) -> Column:
-        known = F.create_map(*(F.lit(x) for c, v in INSIDE.items() for x in (c, v[i])))
-        return F.transform(F.split("seq", ""), lambda c: F.coalesce(F.element_at(known, c), F.lit(OTHER[i])))
-
-    rows = tables.sequences(spark, d).filter("len > 0").select("seq_id", of(0).alias("m"), of(1).alias("b"), of(2).alias("e"))
-    found = rows.select("seq_id", intervals.regions(F.col("m"), F.col("b"), F.col("e")).alias("r"))
-    return found.select("seq_id", F.explode("r").alias("r")).select("seq_id", "r.first", "r.last")
+    return intervals.regions(tables.sequences(spark, d).filter("len > 0"), INSIDE, OTHER)
 
 
 def running_composition(spark: SparkSession, d: str) -> DataFrame:
@@ -103,9 +97,7 @@ def scan_hits(spark: SparkSession, d: str) -> DataFrame:
 def union_of_passes(spark: SparkSession, d: str) -> DataFrame:
     """Hits of all passes together, without those that overlap a better one."""
     hits = _scored(spark, d)
-    passes = hits.filter("pass_idx = 1")
-    for k in range(2, 6):
-        passes = passes.unionByName(hits.filter(F.col("pass_idx") == k))
+    passes = hits.filter("pass_idx between 1 and 5")
     order = [F.desc("score"), F.asc("lo"), F.asc("hi"), F.asc("hit_id"), F.asc("sub_id")]
     return intervals.remove_overlaps(passes, KEYS, order, ["lo", "hi", "score", "pass_idx", "hit_id", "sub_id"]).groupBy("pass_idx").agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("score"))
 
