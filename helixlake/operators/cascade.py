@@ -71,24 +71,26 @@ def forward(codes: np.ndarray, match: np.ndarray, gaps: Gaps = Gaps()) -> np.nda
     """Bits of all paths together, each window's sums scaled at each place."""
     n, length = codes.shape
     k = len(match)
-    odds = np.exp2(match).T
+    odds = np.exp2(match)
     go, to, on, back = 1 - 2 * gaps.opened, gaps.opened, gaps.longer, 1 - gaps.longer
-    m, i, d = (np.zeros((n, k)) for _ in range(3))
-    enter, total, bits = np.full((n, 1), 1 / k), np.zeros(n), np.zeros(n)
+    # A position's windows lie side by side.
+    m, i, d = (np.zeros((k, n)) for _ in range(3))
+    enter, total, bits = np.full(n, 1 / k), np.zeros(n), np.zeros(n)
     for at in range(length):
         before = m * go + (i + d) * back
         i = m * to + i * on
-        m = odds[codes[:, at]] * (enter + np.hstack([np.zeros((n, 1)), before[:, :-1]]))
-        d = np.zeros((n, k))
+        m = odds[:, codes[:, at]]
+        m[0] *= enter
+        m[1:] *= enter + before[:-1]
+        d[0] = 0
         for j in range(1, k):
-            d[:, j] = m[:, j - 1] * to + d[:, j - 1] * on
-        total += m.sum(1)
-        scale = np.maximum(m.max(1), total)[:, None]
+            np.add(m[j - 1] * to, d[j - 1] * on, out=d[j])
+        total += m.sum(0)
+        scale = np.maximum(m.max(0), total)
         scale[scale == 0] = 1
-        for x in (m, i, d, enter):
+        for x in (m, i, d, enter, total):
             x /= scale
-        total /= scale[:, 0]
-        bits += np.log2(scale[:, 0])
+        bits += np.log2(scale)
     with np.errstate(divide="ignore"):
         return np.log2(total) + bits
 
@@ -159,7 +161,8 @@ def filtered(seqs: DataFrame, models: list[dict], thresholds: dict[str, float],
 
     tables = {"+": plain, "-": {name: np.ascontiguousarray(t[::-1][:, turn]) for name, t in plain.items()}}
 
-    def tile(seq_id: int, codes: np.ndarray, start: int, name: str, strand: str) -> Iterator[pa.RecordBatch]:
+    def tile(codes: np.ndarray, start: int, name: str, strand: str) -> Iterator[tuple[np.ndarray, ...]]:
+        """Starts, scores and letters of a tile's windows that pass the first filter."""
         of = next(m for m in models if m["name"] == name)
         k = len(of["consensus"])
         best = best_segments(codes[start : start + step + k - 1], tables[strand][name])
@@ -168,21 +171,37 @@ def filtered(seqs: DataFrame, models: list[dict], thresholds: dict[str, float],
             lo = at[first : first + CHUNK] + start
             places = lo[:, None] + np.arange(-k, 2 * k)
             inside = (places >= 0) & (places < len(codes))
-            windows = np.where(inside, codes[np.clip(places, 0, len(codes) - 1)], pad)
-            found = scored(windows, name, strand)
-            n = len(lo)
-            columns = [pa.array([seq_id] * n, pa.int64()), pa.array([name] * n), pa.array([strand] * n), pa.array(lo + 1), pa.array(lo + k), pa.array(best[lo - start].astype(np.int32))]
+            yield lo, best[lo - start], np.where(inside, codes[np.clip(places, 0, len(codes) - 1)], pad)
+
+    def told(name: str, strand: str, waiting: list[tuple]) -> Iterator[pa.RecordBatch]:
+        k = len(plain[name])
+        every = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+        for first in range(0, len(every[0]), CHUNK):
+            ids, lo, best, windows = (x[first : first + CHUNK] for x in every)
+            found, n = scored(windows, name, strand), len(lo)
+            columns = [pa.array(ids, pa.int64()), pa.array([name] * n), pa.array([strand] * n), pa.array(lo + 1), pa.array(lo + k), pa.array(best.astype(np.int32))]
             columns += [pa.array(found[c], from_pandas=True) for c in ("viterbi", "forward", "bias")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([STAGES[s] for s in found["stage"]])], ["seq_id", "model", "strand", "lo", "hi", "ungapped", "viterbi", "forward", "bias", "stage"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Windows of many sequences are scored together.
+        waiting: dict[tuple[str, str], list[tuple]] = {(name, strand): [] for strand in strands for name in plain}
+        sizes = dict.fromkeys(waiting, 0)
         for batch in batches:
             for seq_id, seq in zip(batch.column("seq_id").to_pylist(), batch.column("seq"), strict=True):
                 codes = np.frombuffer((seq.as_py() or "").encode("ascii", "replace"), np.uint8)
                 for strand in strands:
                     for name, table in tables[strand].items():
                         for start in range(0, len(codes) - len(table) + 1, step):
-                            yield from tile(seq_id, codes, start, name, strand)
+                            for lo, best, windows in tile(codes, start, name, strand):
+                                waiting[name, strand].append((np.full(len(lo), seq_id, object if seq_id is None else np.int64), lo, best, windows))
+                                sizes[name, strand] += len(lo)
+                                if sizes[name, strand] >= CHUNK:
+                                    yield from told(name, strand, waiting[name, strand])
+                                    waiting[name, strand], sizes[name, strand] = [], 0
+        for (name, strand), rest in waiting.items():
+            if rest:
+                yield from told(name, strand, rest)
 
     return seqs.select("seq_id", "seq").filter("seq is not null and seq <> ''").mapInArrow(scan, WINDOWS)
 
