@@ -271,6 +271,42 @@ def test_vectors_equal_brute_force(spark, monkeypatch, chunk):
     assert found == {i: (int(link[i].sum()) - 1, int(label[i])) for i in range(len(x)) if link[i].sum() > 1}
 
 
+@pytest.mark.parametrize(("grid_above", "chunk", "dense"), [(0, vectors.CHUNK, vectors.DENSE), (0, 20, 0), (1000, 90, 0), (1000, 90, 1), (1000, vectors.CHUNK, vectors.DENSE)])
+def test_vectors_with_and_without_grid_equal_brute_force(spark, monkeypatch, grid_above, chunk, dense):
+    """Components that single precision cannot hold, a group of near copies, links near the limit, copies, two lengths."""
+    for name, value in {"ONE_SPACE": grid_above, "CHUNK": chunk, "DENSE": dense, "FEW": 64, "ROWS": 32, "COLUMNS": 48}.items():
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(240, 20))
+    x[60:140] = x[59] + rng.normal(size=(80, 20)) * 0.15
+    x[140:200] = x[:60] + rng.normal(size=(60, 20)) * rng.uniform(0.2, 0.4, (60, 1))
+    x[200:210] = x[:10].astype(np.float32)
+    x[210:215] = x[0] * 3
+    y = np.hstack([x[:70], x[:70]])
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)]
+    found = {r.id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    expected = {}
+    for first, v in ((0, x), (1000, y)):
+        n = np.linalg.norm(v, axis=1)
+        link = (v @ v.T) / (n[:, None] * n) >= 0.95
+        label = np.arange(len(v))
+        for _ in range(len(v)):
+            label = np.where(link, label, 10**6).min(1)
+        expected |= {first + i: (int(link[i].sum()) - 1, first + int(label[i])) for i in range(len(v)) if link[i].sum() > 1}
+    assert found == expected
+
+
+def test_vectors_are_shipped_once_a_chunk(spark):
+    """A grid over eight blocks shipped each of these vectors 12 times and more with more vectors; tiles meet all pairs of chunks once."""
+    rng = np.random.default_rng(3)
+    data = [(i, 1, v.tolist()) for i, v in enumerate(rng.normal(size=(9_000, 8)).astype(np.float32))]
+    tiles = vectors._tiles(spark.createDataFrame(data, "id long, copies long, vec array<float>"), 0.95, 0)
+    rows = tiles.select("i", "j", "chunk", "ids").collect()
+    assert sorted({(r.i, r.j) for r in rows}) == [(i, j) for i in range(3) for j in range(i, 3)]
+    assert sum(len(r.ids) for r in rows) == 3 * len(data) and len(rows) < len(data) / 50
+    assert sorted(k for r in rows if r.i == r.j for k in r.ids) == list(range(9_000))
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c d/", None), (4, "e", ""), (5, "f", "é" * 1000)]
     archives = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"))
