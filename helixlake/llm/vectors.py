@@ -135,6 +135,22 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(held.values(), types, strict=True)], list(held))
 
 
+class _Bound:
+    """Places in the product of up to ROWS and COLUMNS rows where it is at most a limit; buffers are kept, since new ones cost as much as the product."""
+
+    def __init__(self) -> None:
+        self.product, self.mask = np.empty(ROWS * COLUMNS, np.float32), np.empty(ROWS * COLUMNS + 64, bool)
+
+    def places(self, left: np.ndarray, right: np.ndarray, limit: float) -> np.ndarray:
+        n, shape = len(left) * len(right), (len(left), len(right))
+        np.less_equal(np.matmul(left, right.T, out=self.product[:n].reshape(shape)), limit, out=self.mask[:n].reshape(shape))
+        self.mask[n : n + 64] = False
+        # Few are true: 64 are looked at together.
+        words = np.flatnonzero(np.packbits(self.mask[: n + -n % 64]).view(np.uint64))
+        at = (64 * words[:, None] + np.arange(64)).ravel()
+        return at[self.mask[at]]
+
+
 def _links(cosine: float, gridded: int):
     def links(key: tuple, group: pa.Table) -> pa.Table:
         dim, block, _, i, j = (k.as_py() for k in key)
@@ -162,10 +178,12 @@ def _links(cosine: float, gridded: int):
         at = [[np.flatnonzero((chunk == c) & (home == h)) for h in (True, False)] for c in (i, j)]
         # Two visitors of a cell do not meet in it.
         sides = [(at[0][0], at[0][0]), (at[0][0], at[0][1])] if i == j else [(at[0][0], np.concatenate(at[1])), (at[0][1], at[1][0])]
+        bound = _Bound()
         for left, right in sides:
+            of_left, of_right = mine[left], theirs[right]
             for r, c in ((r, c) for r in range(0, len(left), ROWS) for c in range(r if left is right else 0, len(right), COLUMNS)):
                 rows, cols = left[r : r + ROWS], right[c : c + COLUMNS]
-                near, sure = np.flatnonzero(mine[rows] @ theirs[cols].T <= share + SLACK), None
+                near, sure = bound.places(of_left[r : r + ROWS], of_right[c : c + COLUMNS], share + SLACK), None
                 if len(near) > DENSE * len(rows) * len(cols):
                     product = (unit(rows) @ unit(cols).T).ravel()
                     near = np.flatnonzero(product >= cosine - fuzz)
