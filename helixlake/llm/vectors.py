@@ -9,7 +9,7 @@ More vectors are split into blocks of a few dimensions; of the squared distance
 holds no more than its share by dimensions. So each block is range-joined under its share: a grid over
 its first coordinates has cells twice as wide as the range; a vector is at home in one cell and visits those
 that its range touches, towards larger cells only, so every pair meets in just one cell. A coordinate of the grid
-leaves some two thirds of the pairs, for half as many rows more, and there are eight blocks: it pays only where pairs by far outweigh rows.
+leaves, by estimate, some two thirds of the pairs, for half as many rows more, and blocks are many: it pays only where pairs by far outweigh rows.
 Cells with many vectors are split into tiles of two chunks each, too.
 
 Pairs within the bound are verified in double precision on the whole vectors (where many are, a product in single precision
