@@ -212,3 +212,42 @@ def test_windows_of_many_sequences_are_scored_together():
     batch = pa.RecordBatch.from_pydict({"seq_id": list(range(40)), "seq": ["ACGUUGCAAC" * 3] * 40})
     found = list(scan(iter([batch])))
     assert len(found) == 1 and set(found[0]["seq_id"].to_pylist()) == set(range(40))
+
+
+FAMILIES = [(1, ",<__><<__>>", ".xxxxx.xxxxxx."), (2, "<>", "x.x"), (3, "<>", "x.x"), (4, "", "."), (5, "<><>", None)]
+MEMBERS = [(1, "a", "-AGAAC-GGAACC-"), (1, "b", "aAGANCuGGRACCa"), (1, "c", "--G--C---AAUC-"), (1, "d", "NRYKMSWBDHVUAC"), (2, "e", "GuC"), (2, "f", "Y--"), (3, "g", "GnC"), (3, "h", "--A"), (4, "i", "a"), (5, "j", "ACGU"), (5, "k", "GC"), (9, "l", "A")]
+
+
+class Rows:
+    """Stands for rows that come to one task in batches of three."""
+
+    def __init__(self, rows, lines):
+        of = {m: (ss, rf) for m, ss, rf in lines}
+        rows = [(m, s, r.upper(), of[m][1], "=" + of[m][0]) for m, s, r in sorted(rows) if m in of and (of[m][1] is None or len(of[m][1]) == len(r))]
+        schema = pa.schema([("model", pa.int64()), ("seq_id", pa.string()), ("row", pa.string()), ("rf", pa.string()), ("tree", pa.string())])
+        self.batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[k : k + 3]], schema=schema) for k in range(0, len(rows), 3)]
+
+    repartition = sortWithinPartitions = lambda self, *_: self
+    mapInArrow = lambda self, f, _: [r for b in f(iter(self.batches)) for r in b.to_pylist()]
+
+
+def test_scores_of_whole_families_are_those_of_their_parses(spark, monkeypatch):
+    lines = spark.createDataFrame(FAMILIES, "model long, ss string, rf string")
+    nodes = trees.guide_trees(lines.selectExpr("model", "ss structure"))
+    aln = spark.createDataFrame(MEMBERS, "model long, seq_id string, row string")
+    of = parses.from_rows(aln, nodes, lines).cache()
+    wanted = {r.seq_id: (r.score, r.structure) for r in parses.scores(of, parses.parameters(trees.states(nodes), of)).collect()}
+    assert set(wanted) == set("abcdefghij")
+    found = {r.seq_id: (r.score, r.structure) for r in parses.fitted_scores(aln, lines).collect()}
+    assert found == {k: pytest.approx(v) for k, v in wanted.items()}
+    # A family that fills a task's tables is kept in a file, others stay whole.
+    for rows in (1, 2, 5):
+        monkeypatch.setattr(parses, "ROWS", rows)
+        monkeypatch.setattr(parses, "_families", lambda aln, *_: Rows(MEMBERS, FAMILIES))
+        told = parses.fitted_scores(None)
+        assert len(told) == len(wanted) and {r["seq_id"]: (r["score"], r["structure"]) for r in told} == {k: pytest.approx(v) for k, v in wanted.items()}
+
+
+def test_scores_parse_rows_once_and_share_trees(spark):
+    text = plan(registry.QUERIES["parse_scores"](spark, SMOKE))
+    assert text.count("MapInArrow") == 1 and "MapInPandas" not in text and "Window" not in text
