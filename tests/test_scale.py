@@ -248,6 +248,23 @@ def test_scores_of_whole_families_are_those_of_their_parses(spark, monkeypatch):
         assert len(told) == len(wanted) and {r["seq_id"]: (r["score"], r["structure"]) for r in told} == {k: pytest.approx(v) for k, v in wanted.items()}
 
 
-def test_scores_parse_rows_once_and_share_trees(spark):
-    text = plan(registry.QUERIES["parse_scores"](spark, SMOKE))
+@pytest.mark.parametrize("name", ["parse_scores", "parsed_rows"])
+def test_rows_are_parsed_once_and_share_trees(spark, name):
+    text = plan(registry.QUERIES[name](spark, SMOKE))
     assert text.count("MapInArrow") == 1 and "MapInPandas" not in text and "Window" not in text
+
+
+def test_rows_of_whole_families_are_those_of_their_parses(spark, monkeypatch):
+    lines = spark.createDataFrame(FAMILIES, "model long, ss string, rf string")
+    nodes = trees.guide_trees(lines.selectExpr("model", "ss structure"))
+    aln = spark.createDataFrame(MEMBERS, "model long, seq_id string, row string")
+    of = parses.from_rows(aln, nodes, lines).cache()
+    wanted = {(r.model, r.seq_id): r.row for r in parses.to_rows(of, nodes).collect()}
+    for r in parses.reference_lines(of, nodes, lines).collect():
+        wanted |= {(r.model, "#RF"): r.rf, (r.model, "#SS_cons"): r.ss}
+    assert {(r.model, r.seq_id): r.row for r in parses.rows_given_back(aln, lines).collect()} == wanted
+    for rows in (1, 2, 5):
+        monkeypatch.setattr(parses, "ROWS", rows)
+        monkeypatch.setattr(parses, "_families", lambda aln, *_: Rows(MEMBERS, FAMILIES))
+        told = parses.rows_given_back(None)
+        assert len(told) == len(wanted) and {(r["model"], r["seq_id"]): r["row"] for r in told} == wanted
