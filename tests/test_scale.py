@@ -268,3 +268,28 @@ def test_rows_of_whole_families_are_those_of_their_parses(spark, monkeypatch):
         monkeypatch.setattr(parses, "_families", lambda aln, *_: Rows(MEMBERS, FAMILIES))
         told = parses.rows_given_back(None)
         assert len(told) == len(wanted) and {(r["model"], r["seq_id"]): r["row"] for r in told} == wanted
+
+
+def test_closing_gaps_of_psiblast_lines_are_told_by_their_number(spark):
+    rows = [("a", 1, "s1", "AcG-U.é"), ("a", 2, "s22", "gu*NA-ACG"), ("a", 3, "s3", ""), ("a", 4, "s4", "ACGUACGUACG"), ("b", 7, "x", "ACG"), ("b", 9, "y", "A")]
+    short = spark.createDataFrame(rows, "aln_id string, idx long, name string, aseq string").withColumn("alen", F.when(F.col("aln_id") == "a", 11).otherwise(3))
+    spelled = short.select("aln_id", "idx", "name", F.expr("rpad(aseq, alen, '-')").alias("aseq"))
+    wanted = {}
+    for aln, idx, name, text in rows:
+        mask, n = rows[0 if aln == "a" else 4][3], 11 if aln == "a" else 3
+        own = [p < len(mask) and mask[p].isalnum() and mask[p].isascii() for p in range(n)]
+        cased = "".join((x.upper() if o else x.lower()) if x.isascii() and x.isalpha() else "-" for x, o in zip(text.ljust(n, "-"), own, strict=True))
+        wanted[aln, idx] = [name.ljust(3 if aln == "a" else 1) + "  " + cased[k : k + 4] for k in range(0, n, 4)]
+    for each in (short, spelled):
+        assert {(r.aln_id, r.idx): r.lines for r in writers.psiblast_rows(each, 4).collect()} == wanted
+    assert {(r.idx, len(r.lines), r.rest, r.tail) for r in writers.psiblast_held(short, 4).filter("aln_id = 'a'").collect()} == {(1, 2, 1, 3), (2, 3, 0, 3), (3, 0, 3, 3), (4, 3, 0, 3)}
+    assert "rpad(row" not in plan(registry.QUERIES["psiblast_lines"](spark, SMOKE))
+
+
+def test_residues_of_many_texts_are_those_of_each(spark):
+    from helixlake.sources import tables
+
+    texts = ["Xylophone tie", None, "", "éßaİ\n", "JjZz", "acgut" * 50, "ﬁx K"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(1)
+    wanted = {r.k: r.t for r in df.select("k", tables.residues_of(F.col("text")).alias("t")).collect()}
+    assert {r.k: r.t for r in tables.with_residues(df, "text", "t").collect()} == wanted
