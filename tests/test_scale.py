@@ -251,7 +251,8 @@ def test_scores_of_whole_families_are_those_of_their_parses(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["parse_scores", "parsed_rows"])
 def test_rows_are_parsed_once_and_share_trees(spark, name):
     text = plan(registry.QUERIES[name](spark, SMOKE))
-    assert text.count("MapInArrow") == 1 and "MapInPandas" not in text and "Window" not in text
+    # Once for the residues of documents, once for rows.
+    assert text.count("MapInArrow") == 2 and "MapInPandas" not in text and "Window" not in text
 
 
 def test_rows_of_whole_families_are_those_of_their_parses(spark, monkeypatch):
@@ -293,3 +294,19 @@ def test_residues_of_many_texts_are_those_of_each(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(1)
     wanted = {r.k: r.t for r in df.select("k", tables.residues_of(F.col("text")).alias("t")).collect()}
     assert {r.k: r.t for r in tables.with_residues(df, "text", "t").collect()} == wanted
+
+
+def test_counts_are_summed_up_where_their_family_is(spark, monkeypatch):
+    text = plan(registry.QUERIES["parse_counts"](spark, SMOKE))
+    assert "Aggregate" not in text[: text.index("MapInArrow")]
+    lines = spark.createDataFrame(FAMILIES, "model long, ss string, rf string")
+    nodes = trees.guide_trees(lines.selectExpr("model", "ss structure"))
+    aln = spark.createDataFrame(MEMBERS, "model long, seq_id string, row string")
+    of = parses.from_rows(aln, nodes, lines).cache()
+    wanted = {(r.model, r.v, "t", r.y): r.n for r in parses.transition_counts(of).collect()} | {(r.model, r.v, "e", r.k): r.n for r in parses.emission_counts(of).collect()}
+    assert {tuple(r)[:4]: r.n for r in parses.counts_of_rows(aln, lines=lines).collect()} == wanted
+    for rows in (1, 2, 5):
+        monkeypatch.setattr(parses, "ROWS", rows)
+        monkeypatch.setattr(parses, "_families", lambda aln, *_: Rows(MEMBERS, FAMILIES))
+        told = parses.counts_of_rows(None)
+        assert len(told) == len(wanted) and {tuple(r.values())[:4]: r["n"] for r in told} == wanted
