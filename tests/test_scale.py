@@ -310,3 +310,10 @@ def test_counts_are_summed_up_where_their_family_is(spark, monkeypatch):
         monkeypatch.setattr(parses, "_families", lambda aln, *_: Rows(MEMBERS, FAMILIES))
         told = parses.counts_of_rows(None)
         assert len(told) == len(wanted) and {tuple(r.values())[:4]: r["n"] for r in told} == wanted
+
+
+@pytest.mark.parametrize("name", ["parse_bounds"])
+def test_parses_are_told_where_their_rows_are_made(spark, name):
+    """Rows bring their structures, so that they are dealt out by part and by document and not again by family or name."""
+    text = plan(registry.QUERIES[name](spark, SMOKE))
+    assert text.count("SortMergeJoin") == 2 and text.index("MapInArrow") < text.index("SortMergeJoin") and "Aggregate" not in text[: text.index("SortMergeJoin")]
