@@ -312,8 +312,19 @@ def test_counts_are_summed_up_where_their_family_is(spark, monkeypatch):
         assert len(told) == len(wanted) and {tuple(r.values())[:4]: r["n"] for r in told} == wanted
 
 
-@pytest.mark.parametrize("name", ["parse_bounds"])
+@pytest.mark.parametrize("name", ["parse_bounds", "parse_inserts"])
 def test_parses_are_told_where_their_rows_are_made(spark, name):
     """Rows bring their structures, so that they are dealt out by part and by document and not again by family or name."""
     text = plan(registry.QUERIES[name](spark, SMOKE))
     assert text.count("SortMergeJoin") == 2 and text.index("MapInArrow") < text.index("SortMergeJoin") and "Aggregate" not in text[: text.index("SortMergeJoin")]
+
+
+def test_bounds_and_inserts_of_rows_are_those_of_their_parses(spark):
+    lines = spark.createDataFrame(FAMILIES, "model long, ss string, rf string")
+    nodes = trees.guide_trees(lines.selectExpr("model", "ss structure"))
+    aln = spark.createDataFrame([*MEMBERS, (1, "none", "-" * 14), (5, "gaps", "--~-")], "model long, seq_id string, row string")
+    of = parses.from_rows(aln, nodes, lines).cache()
+    for whole, rows in ((parses.bounds, parses.bounds_of_rows), (parses.insert_lines, parses.insert_lines_of_rows)):
+        wanted = {tuple(r) for r in whole(of).collect()}
+        for told in (rows(aln, nodes, lines), rows(aln, lines=lines)):
+            assert {tuple(r) for r in told.collect()} == wanted and len(wanted) == 12
