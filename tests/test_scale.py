@@ -223,7 +223,7 @@ class Rows:
 
     def __init__(self, rows, lines):
         of = {m: (ss, rf) for m, ss, rf in lines}
-        rows = [(m, s, r.upper(), of[m][1], "=" + of[m][0]) for m, s, r in sorted(rows) if m in of and (of[m][1] is None or len(of[m][1]) == len(r))]
+        rows = [(m, s, r, of[m][1], "=" + of[m][0]) for m, s, r in sorted(rows) if m in of and (of[m][1] is None or len(of[m][1]) == len(r))]
         schema = pa.schema([("model", pa.int64()), ("seq_id", pa.string()), ("row", pa.string()), ("rf", pa.string()), ("tree", pa.string())])
         self.batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[k : k + 3]], schema=schema) for k in range(0, len(rows), 3)]
 
@@ -296,35 +296,35 @@ def test_residues_of_many_texts_are_those_of_each(spark):
     assert {r.k: r.t for r in tables.with_residues(df, "text", "t").collect()} == wanted
 
 
-def test_counts_are_summed_up_where_their_family_is(spark, monkeypatch):
-    text = plan(registry.QUERIES["parse_counts"](spark, SMOKE))
-    assert "Aggregate" not in text[: text.index("MapInArrow")]
+def test_bounds_and_inserts_of_rows_are_those_of_their_parses(spark):
     lines = spark.createDataFrame(FAMILIES, "model long, ss string, rf string")
     nodes = trees.guide_trees(lines.selectExpr("model", "ss structure"))
-    aln = spark.createDataFrame(MEMBERS, "model long, seq_id string, row string")
+    aln = spark.createDataFrame([*MEMBERS, (1, "none", "-" * 14), (5, "gaps", "--~-")], "model long, seq_id string, row string")
     of = parses.from_rows(aln, nodes, lines).cache()
-    wanted = {(r.model, r.v, "t", r.y): r.n for r in parses.transition_counts(of).collect()} | {(r.model, r.v, "e", r.k): r.n for r in parses.emission_counts(of).collect()}
-    assert {tuple(r)[:4]: r.n for r in parses.counts_of_rows(aln, lines=lines).collect()} == wanted
-    for rows in (1, 2, 5):
-        monkeypatch.setattr(parses, "ROWS", rows)
-        monkeypatch.setattr(parses, "_families", lambda aln, *_: Rows(MEMBERS, FAMILIES))
-        told = parses.counts_of_rows(None)
-        assert len(told) == len(wanted) and {tuple(r.values())[:4]: r["n"] for r in told} == wanted
+    for whole, rows in ((parses.bounds, parses.bounds_of_rows), (parses.insert_lines, parses.insert_lines_of_rows)):
+        wanted = {tuple(r) for r in whole(of).collect()}
+        for told in (rows(aln, nodes, lines), rows(aln, lines=lines)):
+            assert {tuple(r) for r in told.collect()} == wanted and len(wanted) == 12
 
 
-@pytest.mark.parametrize("name", ["parse_bounds", "parse_inserts"])
+@pytest.mark.parametrize("name", ["parse_trees", "parse_bounds", "parse_inserts"])
 def test_parses_are_told_where_their_rows_are_made(spark, name):
     """Rows bring their structures, so that they are dealt out by part and by document and not again by family or name."""
     text = plan(registry.QUERIES[name](spark, SMOKE))
     assert text.count("SortMergeJoin") == 2 and text.index("MapInArrow") < text.index("SortMergeJoin") and "Aggregate" not in text[: text.index("SortMergeJoin")]
 
 
-def test_bounds_and_inserts_of_rows_are_those_of_their_parses(spark):
+def test_counts_are_summed_up_where_their_family_is(spark, monkeypatch):
+    text = plan(registry.QUERIES["parse_counts"](spark, SMOKE))
+    assert "Aggregate" not in text[: text.index("MapInArrow")]
     lines = spark.createDataFrame(FAMILIES, "model long, ss string, rf string")
     nodes = trees.guide_trees(lines.selectExpr("model", "ss structure"))
-    aln = spark.createDataFrame([*MEMBERS, (1, "none", "-" * 14), (5, "gaps", "--~-")], "model long, seq_id string, row string")
+    aln = spark.createDataFrame(MEMBERS, "model long, seq_id string, row string")
     of = parses.from_rows(aln, nodes, lines).cache()
-    for whole, rows in ((parses.bounds, parses.bounds_of_rows), (parses.insert_lines, parses.insert_lines_of_rows)):
-        wanted = {tuple(r) for r in whole(of).collect()}
-        for told in (rows(aln, nodes, lines), rows(aln, lines=lines)):
-            assert {tuple(r) for r in told.collect()} == wanted and len(wanted) == 12
+    wanted = {(r.model, r.v, "t", r.y): r.n for r in parses.transition_counts(of).collect()} | {(r.model, r.v, "e", r.k): r.n for r in parses.emission_counts(of).collect()}
+    assert {tuple(r)[:4]: r.n for r in parses.counts_of_rows(aln, lines=lines).collect()} == wanted
+    for rows in (1, 2, 5):
+        monkeypatch.setattr(parses, "ROWS", rows)
+        monkeypatch.setattr(parses, "_families", lambda aln, *_: Rows(MEMBERS, FAMILIES))
+        told = parses.counts_of_rows(None)
+        assert len(told) == len(wanted) and {tuple(r.values())[:4]: r["n"] for r in told} == wanted
