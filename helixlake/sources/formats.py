@@ -96,16 +96,18 @@ def parse_stockholm(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (aln_id, name, idx, aseq), and annotations (aln_id, kind, name, tag, value), of lines (aln_id, line_no, line).
 
     Blocks of one row, and of one GC or GR annotation, are put together in the order of the lines; GF and GS texts of one
-    tag are lines of one value. A row's idx is its place among the alignment's rows, from 0.
+    tag are lines of one value. A row's idx is its place among the alignment's rows, from 0. A line may stand for several (`times`, as `writers.stockholm` tells
+    them) that follow each other in its row.
     """
     text = F.rtrim("line")
-    marked = lines.select("aln_id", "line_no", text.alias("line")).filter("line <> '' and line <> '//' and not line like '# STOCKHOLM%'")
+    times = F.col("times") if "times" in lines.columns else F.lit(1)
+    marked = lines.select("aln_id", "line_no", text.alias("line"), times.alias("times")).filter("line <> '' and line <> '//' and not line like '# STOCKHOLM%'")
     fields = F.split("line", r"[ \t]+", -1)
     kind = F.when(F.col("line").startswith("#="), F.substring("line", 3, 2)).when(F.col("line").startswith("#"), "comment").otherwise("row")
     rest = lambda skipped: F.regexp_extract("line", rf"^(?:\S+[ \t]+){{{skipped}}}(.*)$", 1)
     typed = marked.withColumn("kind", kind).filter("kind <> 'comment'")
     typed = typed.select(
-        "aln_id", "line_no", "kind",
+        "aln_id", "line_no", "kind", "times",
         F.when(F.col("kind").isin("GS", "GR"), fields[1]).when(F.col("kind") == "row", fields[0]).alias("name"),
         F.when(F.col("kind").isin("GF", "GC"), fields[1]).when(F.col("kind").isin("GS", "GR"), fields[2]).alias("tag"),
         F.when(F.col("kind") == "row", rest(1)).when(F.col("kind").isin("GF", "GC"), rest(2)).otherwise(rest(3)).alias("value"),
@@ -113,10 +115,10 @@ def parse_stockholm(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     values = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("values")
     # Lines of a row are sent to it once, and rows are numbered by their names and first lines alone, so that no text is sorted by alignment.
     of = typed.filter("kind = 'row'")
-    texts = of.select("aln_id", "name", "line_no", "value").repartition("aln_id", "name").groupBy("aln_id", "name").agg(values)
+    texts = of.select("aln_id", "name", "line_no", "value", "times").repartition("aln_id", "name").groupBy("aln_id", "name").agg(F.collect_list(F.struct("line_no", "value", "times")).alias("values"))
     first = of.groupBy("aln_id", "name").agg(F.min("line_no").alias("first"))
     first = first.select(F.col("aln_id").alias("__a"), F.col("name").alias("__n"), (F.row_number().over(Window.partitionBy("aln_id").orderBy("first")) - 1).alias("idx"))
-    rows = texts.join(first, F.col("aln_id").eqNullSafe(F.col("__a")) & (F.col("name") == F.col("__n"))).select("aln_id", "name", "idx", F.array_join("values", "").alias("aseq"))
+    rows = texts.join(first, F.col("aln_id").eqNullSafe(F.col("__a")) & (F.col("name") == F.col("__n"))).select("aln_id", "name", "idx", F.array_join(F.transform(F.array_sort("values"), lambda x: F.repeat(x["value"], x["times"])), "").alias("aseq"))
     together = typed.filter("kind <> 'row'").groupBy("aln_id", "kind", "name", "tag").agg(values)
     notes = together.select("aln_id", "kind", "name", "tag", F.when(F.col("kind").isin("GC", "GR"), F.array_join("values", "")).otherwise(F.array_join("values", "\n")).alias("value"))
     return rows, notes

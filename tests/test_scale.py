@@ -328,3 +328,22 @@ def test_counts_are_summed_up_where_their_family_is(spark, monkeypatch):
         monkeypatch.setattr(parses, "_families", lambda aln, *_: Rows(MEMBERS, FAMILIES))
         told = parses.counts_of_rows(None)
         assert len(told) == len(wanted) and {tuple(r.values())[:4]: r["n"] for r in told} == wanted
+
+
+@pytest.mark.parametrize("width", [1, 3, 4, 7, 20])
+def test_lines_of_closing_gaps_are_one(spark, width):
+    rows = [("x", 3, "one", "AcG"), ("x", 1, "b", ""), ("x", 2, "z", "ACGUACGUACG"), ("y", 1, "v", "A"), ("y", 2, "u", "ACGU")]
+    short = spark.createDataFrame(rows, "aln_id string, idx long, name string, aseq string").withColumn("alen", F.when(F.col("aln_id") == "x", 11).otherwise(4))
+    spelled = short.select("aln_id", "idx", "name", F.expr("rpad(aseq, alen, '-')").alias("aseq"))
+    notes = spark.createDataFrame([("x", "GF", None, "GA", "1 2")], "aln_id string, kind string, name string, tag string, value string")
+    lines = writers.stockholm(short, notes, width)
+    every = lambda df: sorted(tuple(r) for r in df.select("aln_id", "line_no", "line").collect())
+    assert every(writers.every_line(lines)) == every(writers.stockholm(spelled, notes, width))
+    assert lines.count() < len(every(writers.every_line(lines))) or width > 4
+    read = lambda of: {tuple(r) for r in formats.parse_stockholm(of)[0].select("aln_id", "name", "idx", "aseq").collect()}
+    assert read(lines) == read(writers.every_line(lines)) == {("x", "b", 0, "-" * 11), ("x", "z", 1, "ACGUACGUACG"), ("x", "one", 2, "AcG" + "-" * 8), ("y", "v", 0, "A---"), ("y", "u", 1, "ACGU")}
+    assert formats.parse_stockholm(lines)[1].first().value == "1 2"
+
+
+def test_no_whole_row_is_spelled_out_before_it_is_read(spark):
+    assert "rpad(row" not in plan(registry.QUERIES["stockholm_round_trip"](spark, SMOKE))
