@@ -40,12 +40,14 @@ def _body(record: Column, start: str) -> Column:
 
 def parse_fasta(records: DataFrame, record: str = "record") -> DataFrame:
     """name, desc, seq; records without a name are left out."""
-    plain = F.regexp_replace(record, "^>|\r", "")
-    header = F.ltrim(F.substring_index(plain, "\n", 1))
-    lines = F.split(F.substring(plain, F.length(F.substring_index(plain, "\n", 1)) + 2, F.length(plain)), "\n")
-    name = F.regexp_extract(header, r"^(\S+)", 1)
-    found = records.select(name.alias("name"), F.trim(F.regexp_extract(header, r"^\S+\s+(.*)$", 1)).alias("desc"), F.array_join(F.transform(lines, lambda x: F.trim(x)), "").alias("seq"))
-    return found.filter("name <> ''")
+    marked = F.col(record)
+    texts = records.select(F.replace(F.when(marked.startswith(">"), marked.substr(F.lit(2), F.length(marked))).otherwise(marked), F.lit("\r"), F.lit("")).alias("plain"))
+    # A header has one name or none, and a row is made for each: a filter on the name would be pushed down to where records are written, and write each once more.
+    names = F.regexp_extract_all(F.ltrim(F.substring_index("plain", "\n", 1)), F.lit(r"^(\S+)"), F.lit(1))
+    named = texts.select("plain", F.substring_index("plain", "\n", 1).alias("first"), F.explode(names).alias("name"))
+    header = F.ltrim("first")
+    lines = F.split(F.substring("plain", F.length("first") + 2, F.length("plain")), "\n")
+    return named.select("name", F.trim(F.regexp_extract(header, r"^\S+\s+(.*)$", 1)).alias("desc"), F.array_join(F.transform(lines, lambda x: F.trim(x)), "").alias("seq"))
 
 
 def parse_genbank(records: DataFrame, record: str = "record") -> DataFrame:

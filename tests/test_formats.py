@@ -54,6 +54,16 @@ def test_sequence_files(spark, tmp_path):
         formats.read_sequences(spark, str(tmp_path / "f.gb")).collect()
 
 
+def test_fasta_records_are_written_once(spark):
+    """The plan has one writer and one pass over a record's lines, and no filter that writes records again; odd records are read as before."""
+    made = spark.range(3).select(writers.fasta(F.concat(F.lit("n"), "id"), F.lit("d"), F.repeat(F.translate(F.col("id").cast("string"), "012", "ACG"), 140)).alias("record"))
+    plan = formats.parse_fasta(made)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("(.{1,60})") == 1 and "Filter" not in plan
+    odd = [None, "", ">", "\n", ">\nACG", "> \t\nACG", "\r>x\nAC", ">>x y\nAC", ">x", "x  a  b \r\n AC \r\n\r\n G G \n", ">  n\td e\n-*\n", ">é ü\nÄ C\n", ">xr\rz q\nA", ">x", ">x"]
+    found = [(">x", "", "AC"), (">x", "y", "AC"), *[("x", "", "")] * 3, ("x", "a  b", "ACG G"), ("n", "d e", "-*"), ("é", "ü", "Ä C"), ("xrz", "q", "A")]
+    assert rows(formats.parse_fasta(spark.createDataFrame([(x,) for x in odd], "record string"))) == sorted(found)
+
+
 def test_stockholm_files(spark, tmp_path):
     (tmp_path / "a.sto").write_text(STOCKHOLM)
     found, notes = formats.read_stockholm(spark, str(tmp_path / "a.sto"))
